@@ -1,0 +1,7 @@
+"""Queries of the core operators on the driver's tables."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}

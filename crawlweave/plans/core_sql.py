@@ -1,0 +1,7 @@
+"""The SQL counterparts of the core queries."""
+
+from __future__ import annotations
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
