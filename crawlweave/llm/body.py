@@ -236,8 +236,8 @@ def body_lines(items: DataFrame, id_col: str = "item_id", url_col: str = "url",
     Null and empty pages give no rows; so does a page in which no block can be told to be the body.
     Rows that come twice come out twice. Any text is accepted: broken or missing tags never raise.
     """
-    per = map_pages(items, _line_rows, "item_id long, lines array<int>", id_col, url_col, domain_col, text_col)
-    return per.select("item_id", F.explode("lines").cast("long").alias("line_no"))
+    per = map_pages(items, _line_rows, "item_id long, lines array<bigint>", id_col, url_col, domain_col, text_col)
+    return per.select("item_id", F.explode("lines").alias("line_no"))
 
 
 def _text_rows(item, site, url, page):
