@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.functions.common import site_key, table
-from crawlweave.llm import body, cuckoo, lines, topn
+from crawlweave.llm import body, cuckoo, lines, mix, topn, winnow
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,22 @@ def p5_body(spark: SparkSession, d: str) -> DataFrame:
     return body.body_text(table(spark, d, "cdr_items")).select("item_id", "how", "body")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return winnow.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return winnow.leaked_items(winnow.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict:
     own = globals()
     return {k: own[k] for k in own if k[0] == "p" and k[1].isdigit() and callable(own[k])}
