@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.functions.common import site_key, table
-from crawlweave.llm import body, cuckoo, lines, mix, topn, winnow
+from crawlweave.llm import body, cuckoo, lines, mix, mojibake, topn, winnow
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     own = globals()
     return {k: own[k] for k in own if k[0] == "p" and k[1].isdigit() and callable(own[k])}
