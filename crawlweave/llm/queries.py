@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.functions.common import site_key, table
-from crawlweave.llm import body, cuckoo, lines, mix, mojibake, topn, winnow
+from crawlweave.llm import body, cuckoo, lines, mix, mojibake, residue, spam, topn, winnow
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,14 @@ def p2_skipping(spark: SparkSession, d: str) -> DataFrame:
     return topn.skipping_report(_form_types(spark, d), ["domain", "form_type"], "probability", "url", "form_id", 3)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "cdr_items"))
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(table(spark, d, "cdr_items")).select("item_id", "lang", "words", "sentences", "slope", "residual", "slope_z", "residual_z", "divergence")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     link = cuckoo.seen_before(table(spark, d, "links"), cuckoo.url_key(F.col("url")), "link_id")
     node = cuckoo.seen_before(table(spark, d, "nodes"), cuckoo.url_key(F.col("original_url")), "node_id")
@@ -54,6 +62,14 @@ def p5_body(spark: SparkSession, d: str) -> DataFrame:
     return body.body_text(table(spark, d, "cdr_items")).select("item_id", "how", "body")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "cdr_items")).select("item_id")
+
+
+def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "cdr_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return winnow.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
