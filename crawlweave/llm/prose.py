@@ -17,6 +17,7 @@ FUNCTION = {
 }
 SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION.items()}
 STOP = frozenset().union(*SETS.values())
+LISTED = regex.compile(r"[|,;/•·»#]")
 SENTENCE = regex.compile(r"[^.!?…]+[.!?…]+(?=[\s»”\"')\]]|$)")
 
 
@@ -35,10 +36,10 @@ def language(words: list[str]) -> str:
 
 
 def sentences(text: str, own: frozenset[str] = STOP) -> int:
-    """Full sentences: five words or more up to a closing mark, function words among them."""
+    """Full sentences: five words or more up to a closing mark, with function words or without the separators of a list."""
     n = 0
     for m in SENTENCE.finditer(text):
         ws = tokens(m[0])
-        if len(ws) >= 5 and sum(w in own for w in ws) * 8 >= len(ws):
+        if len(ws) >= 5 and (sum(w in own for w in ws) * 8 >= len(ws) or len(LISTED.findall(m[0])) * 6 < len(ws)):
             n += 1
     return n
