@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import regex
+import re
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[’'\-][\p{L}\p{N}]+)*")
+WORD = re.compile(r"[^\W_]+(?:[’'\-][^\W_]+)*")
 
 # Function words by language.
 FUNCTION = {
@@ -17,29 +17,31 @@ FUNCTION = {
 }
 SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION.items()}
 STOP = frozenset().union(*SETS.values())
-LISTED = regex.compile(r"[|,;/•·»#]")
-SENTENCE = regex.compile(r"[^.!?…]+[.!?…]+(?=[\s»”\"')\]]|$)")
+LANGS: dict[str, tuple[str, ...]] = {w: tuple(n for n, own in SETS.items() if w in own) for w in STOP}
+LISTED = re.compile(r"[|,;/•·»#]")
+STOPS = re.compile(r"[.!?…]+(?=[\s»”\"')\]]|$)")
 
 
 def tokens(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
-def language(words: list[str]) -> str:
+def language(text: str) -> str:
     """The language whose function words are the most; `und` without any."""
-    best, hits = "und", 0
-    for lang, own in SETS.items():
-        n = sum(w in own for w in words)
-        if n > hits:
-            best, hits = lang, n
-    return best
+    hits: dict[str, int] = {}
+    get = LANGS.get
+    for w in text.lower().split():
+        for lang in get(w, ()):
+            hits[lang] = hits.get(lang, 0) + 1
+    return max(hits.items(), key=lambda kv: (kv[1], kv[0]))[0] if hits else "und"
 
 
 def sentences(text: str, own: frozenset[str] = STOP) -> int:
     """Full sentences: five words or more up to a closing mark, with function words or without the separators of a list."""
-    n = 0
-    for m in SENTENCE.finditer(text):
-        ws = tokens(m[0])
-        if len(ws) >= 5 and (sum(w in own for w in ws) * 8 >= len(ws) or len(LISTED.findall(m[0])) * 6 < len(ws)):
+    n = at = 0
+    for m in STOPS.finditer(text):
+        part, at = text[at : m.start()], m.end()
+        ws = tokens(part)
+        if len(ws) >= 5 and (sum(w in own for w in ws) * 8 >= len(ws) or len(LISTED.findall(part)) * 6 < len(ws)):
             n += 1
     return n

@@ -7,7 +7,6 @@ usual slope, residual and curve; pages far off on any of them, without running s
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -16,19 +15,22 @@ from pyspark.sql import functions as F
 from crawlweave.functions.common import written
 from crawlweave.llm import prose
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.residue import FILLER, PLACEHOLDER, STOCK, STOCK_WORDS
+from crawlweave.llm.residue import FILLER, PAGE_WORDS, PLACEHOLDER, STOCK, STOCK_WORDS
 
 SCHEMA = "item_id long, lang string, words int, sentences int, residue boolean, spectrum array<struct<freq:int,types:int>>, curve array<double>"
 #: Parts of the curve: function words, then the other words by rank 1, 2, 3-4, 5-8, ... , 65 and beyond.
 BINS = 9
+#: Full sentences from which a page counts as prose; they are counted no further.
+PROSE = 3
 
 
 def page_row(item, site, url, split):
     lines = [split.texts[n - 1] for n in split.body]
-    ws = [w for x in lines for w in prose.tokens(x)]
+    cut = [prose.tokens(x) for x in lines]
+    ws = [w for x in cut for w in x]
     if not ws:
         return ()
-    lang = prose.language([w for x in split.texts for w in prose.tokens(x)])
+    lang = prose.language("\n".join(split.texts))
     own = prose.SETS.get(lang, prose.STOP)
     counts = Counter(ws)
     curve = [0.0] * BINS
@@ -38,9 +40,13 @@ def page_row(item, site, url, split):
             curve[0] += n
         else:
             rank += 1
-            curve[1 + min(BINS - 2, math.ceil(math.log2(rank)) if rank > 1 else 0)] += n
-    full = sum(prose.sentences(x, own) for x in lines)
-    told = sum(n for x in lines if (n := len(prose.tokens(x))) <= STOCK_WORDS and STOCK.search(x))
+            curve[min(BINS - 1, 1 + (rank - 1).bit_length())] += n
+    full = 0
+    for x in lines:
+        full += prose.sentences(x, own)
+        if full >= PROSE:  # more don't matter
+            break
+    told = sum(len(t) for x, t in zip(lines, cut) if len(t) <= STOCK_WORDS and STOCK.search(x)) if len(ws) <= PAGE_WORDS else 0
     left = PLACEHOLDER.search("\n".join(lines)) is not None or len(FILLER & counts.keys()) > 1 or told * 2 >= len(ws)
     spectrum = [dict(freq=f, types=t) for f, t in sorted(Counter(counts.values()).items())]
     return [(item, lang, len(ws), full, left, spectrum, [c / len(ws) for c in curve])]
@@ -67,7 +73,7 @@ def curves(items: DataFrame, id_col: str = "item_id", url_col: str = "url", doma
 def spam_scores(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """`curves` with `slope_z`, `residual_z` and `divergence` from prose of the language at comparable length."""
     page = written(curves(items, id_col, url_col, domain_col, text_col), "curves")
-    prose_pages = page.where("sentences >= 3 and not residue")
+    prose_pages = page.where(f"sentences >= {PROSE} and not residue")
     stats = [F.count("*").alias("m"), F.avg("slope").alias("ms"), F.stddev_pop("slope").alias("ss"), F.avg("residual").alias("mr"), F.stddev_pop("residual").alias("sr"), F.array(*[F.avg(F.col("curve")[k]) for k in range(BINS)]).alias("mean")]
     # At most languages x 13 classes rows: a bound that doesn't grow with the data.
     near = prose_pages.groupBy("lang", "size").agg(*stats).where("m >= 5")
