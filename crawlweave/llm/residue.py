@@ -25,6 +25,7 @@ PLACEHOLDER = re.compile(
     r"|%%[\w .-]{1,60}%%|@@[\w .-]{1,60}@@|(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?![\w%])|__[A-Z][A-Z_]{2,40}__|\{[a-z]+[_.][a-z_.]+\}"
     r"|\[(?:insert|enter|your|add|put)\b[^\]\n]{1,60}\]|<(?:insert|enter|your)\b[^>\n]{1,60}>",
 )
+SIGN = re.compile(r"[{\[<%@_]")
 # What unset variables print as.
 UNSET = frozenset(["undefined", "null", "nan", "[object object]", "#ref!", "#n/a", "(null)"])
 # Wordings of error messages, script notices and filler.
@@ -74,37 +75,37 @@ def page_row(item, site, url, split):
             path = [page.tag[a] for a in page.up(node)]
             if "pre" in path or "code" in path:
                 code.add(row)
-            where.setdefault(row, "/".join(path))
+            where.setdefault(row, "/".join(path))  # the first piece's place stands for the line
             if piece.strip().lower() in UNSET:
                 unset.add(row)
     blanks = [n for n, t in enumerate(page.tag) if t in ("b", "i", "em", "strong", "dd", "h1", "h2") and page.line[n] in body and not page.hidden[n]]
     filled = {a for node, _, piece, _ in page.pieces if piece.strip() for a in page.up(node)}
     empty = [n for n in blanks if n not in filled and not any(page.parent[k] == n for k in range(n + 1, min(n + 4, len(page.tag))))]
-    lines, held, opened, words, filler = [], [], [], 0, 0
+    lines, held, opened, filler = [], [], [], 0
     known = set()
     rows = sorted(body - code)
-    for row in rows:
-        ws = tokens(texts[row])
-        if FILLER & set(ws):
-            known |= set(ws)
-    for row in rows:
+    cut = [tokens(texts[row]) for row in rows]
+    words = sum(map(len, cut))
+    for ws in cut:
+        if not FILLER.isdisjoint(ws):
+            known.update(ws)
+    for row, ws in zip(rows, cut):
         text = texts[row]
-        ws = tokens(text)
-        words += len(ws)
         place = _h(f"{site}|{where.get(row, '')}")
         held.append((place, _h(text)))
-        if PLACEHOLDER.search(text) or row in unset:
+        if SIGN.search(text) and PLACEHOLDER.search(text) or row in unset:
             opened.append((place, _h(text), False))
         if known and ws and sum(w in known for w in ws) >= 0.7 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
             filler += len(ws)
-        lines.append((_h(masked(text)), len(ws), len(ws) <= STOCK_WORDS and STOCK.search(text) is not None or not masked(text)))
+        if words <= PAGE_WORDS:
+            bare = masked(text)
+            lines.append((_h(bare), len(ws), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
     for n in empty:
         opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True))
     for n in blanks:
         if n in filled:
             held.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), n))
-    short = lines if words <= PAGE_WORDS else []
-    return [(item, site, words, filler, [dict(line=a, words=b, stock=c) for a, b, c in short], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c) for a, b, c in opened])]
+    return [(item, site, words, filler, [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c) for a, b, c in opened])]
 
 
 def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
