@@ -23,13 +23,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"))
 
 
+def _word_gram(words: Column, k: int):
+    return lambda i: F.array_join(F.slice(words, i, k), " ")
+
+
+def _char_gram(text: Column, k: int):
+    return lambda i: F.substr(text, i, F.lit(k))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All 1..n word n-grams, joined by a space; shorter ones first."""
     parts = []
     for k in range(1, n + 1):
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-        grams = F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), " "))
-        parts.append(F.when(F.size(words) >= k, grams).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(F.size(words) >= k, F.transform(starts, _word_gram(words, k))).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts))
 
 
@@ -38,7 +45,7 @@ def char_ngrams(text: Column, lo: int, hi: int) -> Column:
     parts = []
     for k in range(lo, hi + 1):
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
-        parts.append(F.when(F.length(text) >= k, F.transform(starts, lambda i, k=k: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(F.length(text) >= k, F.transform(starts, _char_gram(text, k))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
