@@ -23,6 +23,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside the lambdas of `body` a plain Column would be evaluated per element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _word_gram(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
 
@@ -33,6 +38,10 @@ def _char_gram(text: Column, k: int):
 
 def ngrams(words: Column, n: int) -> Column:
     """All 1..n word n-grams, joined by a space; shorter ones first."""
+    return let(words, lambda w: _ngrams(w, n))
+
+
+def _ngrams(words: Column, n: int) -> Column:
     parts = []
     for k in range(1, n + 1):
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
@@ -42,6 +51,10 @@ def ngrams(words: Column, n: int) -> Column:
 
 def char_ngrams(text: Column, lo: int, hi: int) -> Column:
     """Distinct character n-grams of lengths lo..hi."""
+    return let(text, lambda t: _char_ngrams(t, lo, hi))
+
+
+def _char_ngrams(text: Column, lo: int, hi: int) -> Column:
     parts = []
     for k in range(lo, hi + 1):
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
@@ -71,10 +84,13 @@ def relevancy(text: Column, positive: list[str], negative: list[str], negative_w
     Terms are looked up among the 1..n-grams of the text; n comes from the longest term of either list. A term listed
     twice counts twice.
     """
-    grams = ngrams(tokens(F.lower(text)), max_ngram([*positive, *negative]))
-    hits = lambda terms: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(grams, t))) if terms else F.lit(0)
-    score = log_scale(hits(positive), len(positive)) - F.lit(negative_weight) * log_scale(hits(negative), len(negative))
-    return F.when(text.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score))
+    n = max_ngram([*positive, *negative])
+
+    def score(grams: Column) -> Column:
+        hits = lambda terms: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(grams, t))) if terms else F.lit(0)
+        return F.greatest(F.lit(0.0), log_scale(hits(positive), len(positive)) - F.lit(negative_weight) * log_scale(hits(negative), len(negative)))
+
+    return F.when(text.isNull(), F.lit(0.0)).otherwise(let(ngrams(tokens(F.lower(text)), n), score))
 
 
 # Named entities that are decoded.
