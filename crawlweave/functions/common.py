@@ -8,9 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 
 #: Most rows of a side that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
@@ -71,6 +70,22 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "running") -> DataFrame:
+    """`df` with running sums in a global order, without one task that holds all rows.
+
+    The table is range-partitioned and written; sums run inside each part and start from the totals of the parts before
+    it (one row a part). Rows that are equal in `order` must not exist.
+    """
+    parts = df.select("*", *[c.alias(f"__{k}") for k, c in sums.items()]).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = written(parts, name)
+    totals = parts.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__{k}_sum") for k in sums])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__part", *[F.coalesce(F.sum(f"__{k}_sum").over(before), F.lit(0)).alias(f"__{k}_start") for k in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(F.broadcast(starts), "__part")  # as many rows as shuffle partitions
+    return out.select(*df.columns, *[(F.sum(f"__{k}").over(inside) + F.col(f"__{k}_start")).alias(k) for k in sums])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

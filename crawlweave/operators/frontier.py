@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlweave.functions.numeric import EMPTY_PRIORITY, PRIORITY_SCALE, score_to_priority, softmax_weight
+from crawlweave.functions.common import running_sums
+from crawlweave.functions.numeric import EMPTY_PRIORITY, PRIORITY_SCALE, score_to_priority
 from crawlweave.functions.rand import order_key, uniform
 
 
@@ -80,14 +81,16 @@ def slot_weights(stats: DataFrame, temperature: float = 1.0, slot: str = "slot")
 def sample_slots(stats: DataFrame, n: int, seed: str, temperature: float = 1.0, slot: str = "slot") -> DataFrame:
     """(draw, slot): n draws with replacement, slot k with probability p of `slot_weights`.
 
-    Cumulative ranges meet the seeded uniforms by a range condition on n rows; one number a slot is needed.
+    Cumulative ranges (in slot order) meet the seeded uniforms by an equi-join on 4096 bins of [0, 1); a range spans as
+    many bins as its probability, so all of them together at most slots + 4096.
     """
-    w = slot_weights(stats, temperature, slot)
-    order = Window.orderBy(slot)
-    upto = F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranges = w.select(slot, (upto - F.col("p")).alias("lo"), upto.alias("hi"))
+    w = slot_weights(stats, temperature, slot).select(slot, "p")
+    ranges = running_sums(w, [F.asc(slot)], {"hi": F.col("p")}, "ranges").withColumn("lo", F.col("hi") - F.col("p"))
+    at = lambda c: F.least(F.lit(4095), F.floor(c * 4096)).cast("int")
+    ranges = ranges.withColumn("bin", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
     draws = stats.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u"))
-    return F.broadcast(draws).join(ranges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", slot) if n <= 1000 else draws.join(ranges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", slot)
+    met = draws.withColumn("bin", at(F.col("u"))).join(ranges, "bin")
+    return met.where("u >= lo and u < hi").select("draw", slot)
 
 
 def epsilon_mix(greedy: DataFrame, others: DataFrame, eps: float, seed: str, key: str = "seq") -> DataFrame:

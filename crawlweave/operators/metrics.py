@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlweave.functions.common import running_sums
+
 
 def _gain(truth: str, gains: str) -> Column:
     if gains == "exponential":
@@ -65,15 +67,14 @@ def class_report(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def curve_points(rows: DataFrame, truth: Column, score: str) -> DataFrame:
-    """(score, tp, fp, positives, negatives) per distinct score: the cumulative counts above it.
+    """(score, p, n, tp, fp, positives, negatives) per distinct score: the cumulative counts above it.
 
-    Rows are first counted per score, so the running window holds distinct scores, not rows.
+    Rows are first counted per score; the running sums then go part by part over the sorted scores.
     """
     per = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    run = running_sums(per, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}, "curve")
     total = per.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives")).withColumn("one", F.lit(1))
-    run = per.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).withColumn("one", F.lit(1))
-    return run.join(F.broadcast(total), "one").drop("one")
+    return run.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
 
 
 def precision_recall(rows: DataFrame, truth: Column, score: str) -> DataFrame:
@@ -84,6 +85,5 @@ def precision_recall(rows: DataFrame, truth: Column, score: str) -> DataFrame:
 def roc_auc(rows: DataFrame, truth: Column, score: str) -> DataFrame:
     """(auc): area under the curve by the rank-sum over distinct scores (ties count half); null without both classes."""
     c = curve_points(rows, truth, score)
-    w = Window.orderBy(F.desc("score"))
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2
+    area = F.col("n") * (2 * F.col("tp") - F.col("p")) / 2
     return c.withColumn("a", area).agg(F.try_divide(F.sum("a"), F.max(F.col("positives") * F.col("negatives"))).alias("auc"))

@@ -6,9 +6,10 @@ import importlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlweave.functions.common import running_sums
 from crawlweave.functions.rand import order_key
 
 SEED_PRIORITY = 50_000
@@ -140,12 +141,5 @@ def first_pages(pages: DataFrame, order: str, max_items: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, name: str = "seq") -> DataFrame:
-    """Row numbers in order: ranks inside range partitions plus the sizes of those before; no single-task window."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    from crawlweave.functions.common import written
-
-    parts = written(parts, "numbered")
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    start = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    out = parts.join(F.broadcast(start), "__p").withColumn(name, (F.row_number().over(Window.partitionBy("__p").orderBy(order)) + F.col("__start")).cast("long"))
-    return out.drop("__p", "__start")
+    """Row numbers from 1 in the order of a unique column."""
+    return running_sums(df, [F.asc(order)], {name: F.lit(1)}, "numbered")
