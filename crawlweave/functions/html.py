@@ -54,6 +54,8 @@ def anchors(page: str) -> list[tuple[int, str, list[tuple[str, str]], str]]:
                     alt = next((html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m[3]) if a[1].lower() == "alt"), "").strip()
             elif name and name not in ("br", "input", "hr"):
                 depth += -1 if m[1] else 1
+    if open_ is not None and not skip:
+        text.append(page[last:])
     close()
     return out
 

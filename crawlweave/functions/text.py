@@ -37,7 +37,7 @@ def _char_gram(text: Column, k: int):
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All 1..n word n-grams, joined by a space; shorter ones first."""
+    """All 1..n word n-grams, joined by a space; shorter ones first. Null words have none."""
     return let(words, lambda w: _ngrams(w, n))
 
 

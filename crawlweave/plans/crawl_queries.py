@@ -48,7 +48,7 @@ def cum_distinct_domains(spark, d):
     return C.distinct_so_far(log(spark, d), "item_id", {"crawled": dom, "relevant": F.when(F.col("reward") > 0.5, dom)})
 
 
-@query(f"SELECT domain, count(*)::BIGINT AS requests, count_if(reward >= 0.1)::BIGINT AS relevant FROM {LOG} WHERE domain IS NOT NULL AND is_text AND NOT is_seed GROUP BY 1")
+@query(f"SELECT domain, count(*)::BIGINT AS requests, coalesce(count_if(reward >= 0.1), 0)::BIGINT AS relevant FROM {LOG} WHERE domain IS NOT NULL AND is_text AND NOT is_seed GROUP BY 1")
 def domain_goal_counts(spark, d):
     """Requests and relevant pages per domain; only text pages that are no seeds."""
     return G.domain_counts(log(spark, d).where("domain is not null and is_text and not is_seed"), "domain")
