@@ -142,7 +142,7 @@ class Filter:
         return any(t.delete(h1, fp) for t in self.tables)
 
     def step(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Answers for keys in arrival order, as if each were looked up and then inserted one by one."""
+        """Answers for keys in arrival order. Keys of earlier calls are known by fingerprint, those of this call whole."""
         seen = self.contains(h1, h2)
         new = np.flatnonzero(~seen)
         if len(new):
