@@ -215,13 +215,15 @@ def scored_links_topk(spark, d):
     from pyspark.sql import Window
 
     from crawlweave.functions.rand import uniform
-    from crawlweave.operators.qmodel import predict
 
-    links = table(spark, d, "links").withColumn("domain", site_key(F.col("domain_from"))).where("domain is not null").select("link_id", "domain", "inside_text", "attrs")
-    f = X.char_features(links, "link_id", T.link_text(F.col("inside_text"), F.col("attrs")), "text", 3, 3)
+    text = F.coalesce(T.link_text(F.col("inside_text"), F.col("attrs")), F.lit(""))
+    links = table(spark, d, "links").select("link_id", site_key(F.col("domain_from")).alias("domain"), text.alias("text")).where("domain is not null")
+    # Anchor texts repeat (menus): each text is cut and scored once, then joined back.
+    texts = links.select("text").distinct()
+    f = X.char_features(texts, "text", F.col("text"), "text", 3, 3)
     # A hashed weight is a function of the feature: no weight table has to be joined.
-    f = f.withColumn("value", F.col("value") * F.round(uniform("w", F.substr("feature", F.lit(6))) - 0.5, 9)).groupBy("link_id").agg(F.round(F.sum("value"), 6).alias("q"))
-    q = links.select("link_id", "domain").join(f, "link_id", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    f = f.withColumn("value", F.col("value") * F.round(uniform("w", F.substr("feature", F.lit(6))) - 0.5, 9)).groupBy("text").agg(F.round(F.sum("value"), 6).alias("q"))
+    q = links.join(f, "text", "left").select("link_id", "domain", F.coalesce("q", F.lit(0.0)).alias("q"))
     w = Window.partitionBy("domain").orderBy(F.desc("q"), "link_id")
     top = q.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     return top.select("domain", "link_id", "q", N.score_to_priority(F.col("q")).alias("priority"), F.col("rank").cast("long").alias("rank"))
