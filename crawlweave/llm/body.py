@@ -31,6 +31,7 @@ BY_CLASS = re.compile(r"\b(by|byline|author|dateline|posted|meta)\b", re.I)
 SHARE_CLASS = re.compile(r"\b(share|sharing|social|soc)\b", re.I)
 POINT_CLASS = re.compile(r"\b(rel|related|more|see-also|readmore|recommend\w*)\b", re.I)
 NOTE_CLASS = re.compile(r"\b(cookie\w*|consent|note|notice|banner|news|newsletter|subscribe)\b", re.I)
+SIDE_CLASS = re.compile(r"\b(box|side|sidebar|widget|note|news|foot|footer|menu|rel|share)\b", re.I)
 SENTENCE_END = re.compile(r"[.!?…»”\"][)\]]*$")
 
 
@@ -83,7 +84,7 @@ def _alone(page: P.Page) -> int:
             seen_related = True
         if t not in ("div", "section", "center", "td") or seen_related or page.hidden[n]:
             continue
-        if any(page.tag[a] in ("nav", "aside", "footer", "header") for a in page.up(n)):
+        if any(page.tag[a] in ("nav", "aside", "footer", "header") for a in page.up(n)) or t == "div" and SIDE_CLASS.search(page.attr(n, "class") or ""):
             continue
         inner = [k for k in range(n + 1, len(page.tag)) if _inside(page, k, n)]
         if any(page.tag[k] in ("h3", "table", "td", "section", "main", "article", "center") for k in inner):

@@ -22,8 +22,8 @@ from crawlweave.llm.prose import STOP, tokens
 # Ways in which template languages write a place to be filled.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,80}\}\}|\{%[^%\n]{1,80}%\}|<%[^%\n]{1,80}%>|\$\{[^{}\n]{1,80}\}|#\{[^{}\n]{1,80}\}|\[\[[\w .:-]{1,60}\]\]|\[%[^%\n]{1,80}%\]"
-    r"|%%[\w .-]{1,60}%%|@@[\w .-]{1,60}@@|(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?![\w%])|__[A-Z][A-Z_]{2,40}__|\{[a-z]+[_.][a-z_.]+\}"
-    r"|\[(?:insert|enter|your|add|put)\b[^\]\n]{1,60}\]|<(?:insert|enter|your)\b[^>\n]{1,60}>",
+    r"|%%[\w .-]{1,60}%%|@@[\w .-]{1,60}@@|(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?![\w%])|__[A-Z][A-Z_]{2,40}__|[{\[][a-z]+(?:[_.][a-z]+)+[}\]]|[{\[][A-Z][A-Z_]{3,40}[}\]]"
+    r"|[{\[](?:insert|enter|your|add|put)\b[^}\]\n]{1,60}[}\]]|<(?:insert|enter|your)\b[^>\n]{1,60}>",
 )
 SIGN = re.compile(r"[{\[<%@_]")
 # What unset variables print as.

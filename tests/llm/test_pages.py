@@ -136,11 +136,11 @@ def test_a_constant_placeholder_is_no_slot(spark):
     assert residue.residue(df).count() == 0
 
 
-@pytest.mark.parametrize("text", ["{{ a }}", "{% x %}", "<%= y %>", "${z.w}", "[[price]]", "%%shop%%", "@@n@@", "%user_name%", "[insert city here]", "#{t}", "__NAME__"])
+@pytest.mark.parametrize("text", ["{{ a }}", "{% x %}", "<%= y %>", "${z.w}", "[[price]]", "%%shop%%", "@@n@@", "%user_name%", "[insert city here]", "#{t}", "__NAME__", "[first_name]", "{USERNAME}", "[product.title]", "{insert city here}"])
 def test_placeholders(text):
     assert residue.PLACEHOLDER.search(f"see {text} now") and residue.SIGN.search(text)
 
 
-@pytest.mark.parametrize("text", ["100% of 50% off", "a [1] b", "snake_case __init__", "f(x) { return; }", "{x}", "5 < 6 > 4", "me@x.test"])
+@pytest.mark.parametrize("text", ["100% of 50% off", "a [1] b", "snake_case __init__", "f(x) { return; }", "{x}", "5 < 6 > 4", "me@x.test", "[sic]", "[A] {B}", "{name}"])
 def test_no_placeholders(text):
     assert not residue.PLACEHOLDER.search(text)
