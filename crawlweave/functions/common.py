@@ -23,6 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not given:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         given = got.get() if got.isDefined() else None
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not given:
         given = "file://" + tempfile.mkdtemp(prefix="crawlweave-")
         _local.append(given.removeprefix("file://"))
