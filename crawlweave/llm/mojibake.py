@@ -36,7 +36,7 @@ PAIRS = (
 # Letters with accents that stand inside words of western languages.
 ACCENTS = "éèêëàâáäãåçñîïíìôöóòõùûúüßœæøÉÈÀÇÑÖÜÄÓÁÍÚ"
 SIGNS = "‘’“”„‚‹›«»–—…•€™†‡‰¡¿£¥¢§°ºª©®±²³¹µ¶·¼½¾×÷№ ­​‎﻿ −≤≥"
-CONT_SIGNS = set("©®¢£¤¥¦§¨ª¬±²³¶¹º¼½¾¡¿°µ¯´¸·­")
+CONT_SIGNS = set("©®¢£¤¥¦§¨ª¬±²³¶¹º¼½¾¡¿°µ¯´¸·")
 
 
 def _decode(data: bytes, enc: str) -> str | None:
@@ -125,8 +125,9 @@ def _strong(text: str, a: int, b: int) -> bool:
     if b - a >= 3:
         return not (text[a:b].isalpha() and text[a:b].isascii())
     if x.isalpha():
-        if y.isalpha():  # two letters: only if no word holds them so, e.g. an upper-case letter inside a word
-            return x.isupper() and before.islower() and y.islower() and not _cyrillic(x)
+        if y.isalpha():  # two letters: only if no word holds them so: a capital inside a word
+            first = a < 2 or not text[a - 2].isalpha()
+            return x.isupper() and not _cyrillic(x) and (before.islower() or before.isupper() and first and y.islower())
         if y in CONT_SIGNS:
             return not _cyrillic(x) or after.isalpha() and y not in "«»"
         return x.isupper() and (before.islower() or after.islower() and not _cyrillic(x) and y not in "’'")
@@ -168,28 +169,33 @@ NONASCII = re.compile(r"[^\x00-\x7f]")
 
 
 def _cyrillic_segments(text: str) -> tuple[str, int, str]:
-    """Undo one single-byte encoding read as another, sentence by sentence: (text, replaced spans, pair)."""
-    auto, out, n, name = automaton().pairs, [], 0, ""
+    """Undo one single-byte encoding read as another, sentence by sentence: (text, replaced spans, pair).
+
+    A sentence is decided by its own letter pairs; once the pair of encodings is known, its shorter sentences follow.
+    """
+    auto, parts, votes = automaton().pairs, [], Counter()
     for m in SENTENCE.finditer(text):
         seg = m[0]
         foreign = len(NONASCII.findall(seg))
-        if foreign < 8:
-            out.append(seg)
-            continue
         hits: Counter[tuple[str, str]] = Counter()
-        for _, by in auto.iter(seg):
-            hits.update(by)
+        if foreign >= 3:
+            for _, by in auto.iter(seg):
+                hits.update(by)
         plain = hits.pop(("", ""), 0)
-        if hits:
+        parts.append((seg, hits, plain))
+        if foreign >= 8 and hits:
             pair, best = max(hits.items(), key=lambda kv: (kv[1], -CYRILLIC.index(kv[0][0]), kv[0][1]))
             if best >= 4 and best > 2 * plain and best >= 0.22 * foreign:
-                fixed = _reread(seg, *pair)
-                if fixed is not None:
-                    out.append(fixed)
-                    n, name = n + 1, f"{pair[0]} read as {pair[1]}"
-                    continue
-        out.append(seg)
-    return "".join(out), n, name
+                votes[pair] += best
+    if not votes:
+        return text, 0, ""
+    pair = max(votes.items(), key=lambda kv: (kv[1], -CYRILLIC.index(kv[0][0]), kv[0][1]))[0]
+    out, n = [], 0
+    for seg, hits, plain in parts:
+        fixed = _reread(seg, *pair) if hits[pair] >= 2 and hits[pair] > 2 * plain else seg
+        n += fixed != seg
+        out.append(fixed)
+    return "".join(out), n, f"{pair[0]} read as {pair[1]}"
 
 
 def _reread(seg: str, true: str, enc: str) -> str | None:
