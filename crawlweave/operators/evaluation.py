@@ -12,6 +12,11 @@ def spread_forms(forms: DataFrame, names: dict[str, str], form: str = "form", de
     return forms.select(*[c for c in forms.columns if c != form], *cols)
 
 
+def flatten_forms(pages: DataFrame, forms: str = "forms") -> DataFrame:
+    """A row per form of every page, with the form's map and hash; pages without forms give none."""
+    return pages.select(*[c for c in pages.columns if c != forms], F.explode(forms).alias("__f")).select("*", F.col("__f.form").alias("form"), F.col("__f.hash").alias("hash")).drop("__f")
+
+
 def _clean(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c))
 

@@ -99,3 +99,16 @@ def stop_words() -> list[str]:
 
     known = "danish dutch english finnish french german hungarian italian norwegian portuguese russian spanish swedish turkish".split()
     return sorted({w for lang in known for w in StopWordsRemover.loadDefaultStopWords(lang)})
+
+
+def topic_words(model, n: int = 10, least: float = 0.0) -> DataFrame:
+    """(topic, word, weight, rank) of a fitted `topics` pipeline: the n heaviest words of every topic above `least`.
+
+    Topics times vocabulary is the model's own size, not the data's.
+    """
+    words = model.stages[2].vocabulary
+    best = model.stages[3].describeTopics(maxTermsPerTopic=min(n, len(words)))
+    flat = best.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("k", "t"))
+    names = best.sparkSession.createDataFrame(list(enumerate(words)), "index int, word string")
+    flat = flat.select("topic", F.col("t.termIndices").alias("index"), F.col("t.termWeights").alias("weight"), (F.col("k") + 1).cast("long").alias("rank"))
+    return flat.where(F.col("weight") > least).join(names, "index").select("topic", "word", "weight", "rank")

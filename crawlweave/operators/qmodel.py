@@ -137,3 +137,31 @@ def contributions(features: DataFrame, weights: DataFrame, row_id: str, n: int)
     parts = features.join(small(weights), "feature").select(row_id, "feature", (F.col("w") * F.col("value")).alias("part"))
     w = Window.partitionBy(row_id).orderBy(F.desc(F.abs("part")), "feature")
     return parts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+
+
+def experience(pages: DataFrame, is_seed: Column, is_text: Column, reward: Column) -> DataFrame:
+    """Pages to learn from, with `reward` and `has_choices`: seeds teach nothing; a page without text teaches reward 0
+    and offers no links."""
+    rows = pages.where(~is_seed)
+    return rows.withColumn("reward", F.when(is_text, F.coalesce(reward, F.lit(0.0))).otherwise(F.lit(0.0))).withColumn("has_choices", is_text)
+
+
+def sync_target(weights: DataFrame) -> DataFrame:
+    """(model, feature, w) with the target model as a copy of the online one."""
+    online = weights.where("model = 'online'")
+    return online.unionByName(online.withColumn("model", F.lit("target")))
+
+
+def text_regressor(text: str, label: str, features: int = 1 << 18, ngram: int = 2):
+    """Baseline: hashed 1- to n-grams and a linear regression; an unfitted ML pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, RegexTokenizer
+    from pyspark.ml.regression import LinearRegression
+
+    from crawlweave.functions.text import TOKEN
+
+    stages = [RegexTokenizer(inputCol=text, outputCol="w1", pattern=TOKEN, gaps=False, toLowercase=True)]
+    stages += [NGram(n=n, inputCol="w1", outputCol=f"w{n}") for n in range(2, ngram + 1)]
+    stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(f'w{n}' for n in range(1, ngram + 1))}) AS grams FROM __THIS__"))
+    stages += [HashingTF(inputCol="grams", outputCol="features", numFeatures=features), LinearRegression(labelCol=label, regParam=1e-4, maxIter=20)]
+    return Pipeline(stages=stages)

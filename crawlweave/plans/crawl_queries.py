@@ -95,6 +95,15 @@ def todo_balance(spark, d):
     return Q.todo(table(spark, d, "events"), e != "error", e == "purchase", e == "view")
 
 
+@query(f"SELECT item_id, CASE WHEN is_text THEN coalesce(reward, 0.0) ELSE 0.0 END AS reward, is_text AS has_choices FROM {LOG} WHERE NOT is_seed")
+def experience_rows(spark, d):
+    """Pages to learn from; those without text teach reward 0."""
+    from crawlweave.operators.qmodel import experience
+
+    rows = experience(log(spark, d), F.col("is_seed"), F.col("is_text"), F.col("reward"))
+    return rows.select("item_id", "reward", "has_choices")
+
+
 # --- the frontier: nodes that were not visited -------------------------------------------------------------------
 
 FRONTIER = f"(SELECT node_id AS seq, {registered('url')} AS slot, url, priority, priority >= 5000 AS is_seed, priority < 100 AS removed FROM nodes WHERE NOT visited AND url IS NOT NULL)"
@@ -245,6 +254,13 @@ def _ok(c):
     return f"CASE WHEN NOT isnan({c}) THEN {c} END"
 
 
+@query("SELECT page_id, hash, form['login'] AS login FROM forms WHERE form IS NOT NULL")
+def forms_flatten(spark, d):
+    """Nested forms of pages, a row per form."""
+    pages = table(spark, d, "forms").where("form is not null").groupBy("page_id").agg(F.collect_list(F.struct("form", "hash")).alias("forms"))
+    return E.flatten_forms(pages).select("page_id", "hash", F.try_element_at("form", F.lit("login")).alias("login"))
+
+
 @query(f"SELECT form_id, {', '.join(COLS)} FROM {FORMS}")
 def form_columns(spark, d):
     """Form maps as columns."""

@@ -229,6 +229,67 @@ def scored_links_topk(spark, d):
     return top.select("domain", "link_id", "q", N.score_to_priority(F.col("q")).alias("priority"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"SELECT link_id FROM links WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes WHERE visited AND nodes.url IS NOT NULL AND {canonical('nodes.url')} = {canonical('links.url')})")
+def new_requests(spark, d):
+    """Links as requests that were not made before, by request fingerprint."""
+    done = table(spark, d, "nodes").where("visited and url is not null").select(L.fingerprint(F.lit("GET"), F.col("url")).alias("fingerprint"))
+    r = table(spark, d, "links").where("url is not null").select("link_id", L.fingerprint(F.lit("GET"), F.col("url")).alias("fingerprint"), F.lit(False).alias("dont_filter"))
+    return L.new_requests(r, done).select("link_id")
+
+
+_RUN = "CASE WHEN js THEN 'run-1' ELSE 'run-0' END"
+
+
+@query(f"SELECT link_id FROM links WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes WHERE visited AND nodes.url IS NOT NULL AND {canonical('nodes.url')} = {canonical('links.url')} AND {_RUN} = 'run-0')")
+def new_requests_by_run(spark, d):
+    """The same with a history per run: only one run has one."""
+    done = table(spark, d, "nodes").where("visited and url is not null").select(F.lit("run-0").alias("run_id"), L.fingerprint(F.lit("GET"), F.col("url")).alias("fingerprint"))
+    r = table(spark, d, "links").where("url is not null").select("link_id", F.expr(_RUN).alias("run_id"), L.fingerprint(F.lit("GET"), F.col("url")).alias("fingerprint"), F.lit(False).alias("dont_filter"))
+    return L.new_requests(r, done, "run_id").select("link_id")
+
+
+@query(f"SELECT link_id, (3 + CASE WHEN {canonical('url')} IN (SELECT {canonical('url')} FROM nodes WHERE NOT visited AND url IS NOT NULL) THEN 0 ELSE 1 END)::INT AS depth FROM links WHERE url IS NOT NULL")
+def pagination_depth(spark, d):
+    """Depth of links when links to one kind of page keep it."""
+    from crawlweave.plans.spiders import breadth_first
+
+    l = table(spark, d, "links").where("url is not null").select("link_id", "url", F.lit(3).alias("depth"))
+    return breadth_first(l, table(spark, d, "nodes").where("not visited and url is not null").select("url")).select("link_id", "depth")
+
+
+@query(f"SELECT link_id, {registered('url')} AS slot, trunc(least(length(inside_text), 90) / 100.0 * 10000)::INT AS priority FROM links WHERE url IS NOT NULL")
+def link_requests(spark, d):
+    """Links as requests with slot and priority."""
+    l = table(spark, d, "links").where("url is not null")
+    score = F.least(F.length("inside_text"), F.lit(90)) / F.lit(100.0)
+    return l.select("link_id", U.registered_domain(F.col("url")).alias("slot"), N.score_to_priority(score).alias("priority"))
+
+
+@query("SELECT link_id, 2::BIGINT AS features, round(CASE WHEN lower(trim(domain_from)) = lower(trim(domain_to)) THEN 1.0 ELSE 0.0 END + n, 6)::DOUBLE AS total FROM links JOIN (SELECT page_url, count(*)::DOUBLE AS n FROM links GROUP BY 1) USING (page_url)")
+def joined_page_features(spark, d):
+    """State beside action: link features with those of their page."""
+    l = table(spark, d, "links")
+    pages = l.groupBy("page_url").agg(F.count("*").cast("double").alias("value")).withColumn("feature", F.lit("links"))
+    f = X.join_page(X.same_domain_feature(l, "link_id"), l, pages, "link_id", "page_url")
+    return f.groupBy("link_id").agg(F.count("*").alias("features"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, w, count(*)::DOUBLE AS c FROM t GROUP BY 1, 2),
+    p AS (SELECT doc_id, w, c * (('0x' || substr(md5('c:' || w), 1, 13))::BIGINT / 4503599627370496.0 - 0.5) AS part FROM c)
+    SELECT doc_id, feature, part, rank::BIGINT AS rank FROM (SELECT doc_id, w AS feature, round(part, 6) AS part, row_number() OVER (PARTITION BY doc_id ORDER BY abs(part) DESC, w) AS rank FROM p) WHERE rank <= 3"""
+)
+def score_contributions(spark, d):
+    """The three words that move every document's score the most."""
+    from crawlweave.functions.rand import uniform
+    from crawlweave.operators.qmodel import contributions
+
+    docs = table(spark, d, "documents").where("text is not null")
+    counts = docs.select("doc_id", F.explode(T.tokens(F.lower("text"))).alias("feature")).groupBy("doc_id", "feature").agg(F.count("*").cast("double").alias("value"))
+    weights = counts.select("feature").distinct().withColumn("w", uniform("c", F.col("feature")) - 0.5)
+    return contributions(counts, weights, "doc_id", 3).select("doc_id", "feature", F.round("part", 6).alias("part"), "rank")
+
+
 @query(
     f"""WITH s AS (SELECT 'from' AS side, {site('domain_from')} AS domain FROM links UNION ALL SELECT 'to', {site('domain_to')} FROM links),
     c AS (SELECT side, domain, count(*) AS n FROM s WHERE domain IS NOT NULL GROUP BY 1, 2)

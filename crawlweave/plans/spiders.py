@@ -53,7 +53,7 @@ FORMS = ADAPTIVE
 EXTRACTION = replace(ADAPTIVE, temperature=5.0, replay_maxsize=5000, replay_maxlinks=500_000, use_url=True, use_page_url=True, use_same_domain=False, penalty="l1", alpha=1e-4, queue_maxsize=500_000)
 AUTOPAGER = replace(EXTRACTION, epsilon=0.0, learn=False)
 BASELINE = replace(ADAPTIVE, learn=False, depth_limit=1)
-KINDS = {"relevant-keywords": KEYWORDS, "relevant": CLASSIFIER, "forms": FORMS, "extraction": EXTRACTION, "autopager_extraction": AUTOPAGER, "all": BASELINE}
+KINDS = {"relevant-keywords": KEYWORDS, "relevant": CLASSIFIER, "forms": FORMS, "extraction": EXTRACTION, "autopager_extraction": AUTOPAGER, "all": BASELINE, "checker": replace(BASELINE, depth_limit=0)}
 
 
 def extract_urls(pages: DataFrame, weights: DataFrame, intercept: float | None, settings: Settings = ADAPTIVE) -> DataFrame:

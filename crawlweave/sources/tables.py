@@ -119,6 +119,18 @@ def experiments(spark: SparkSession, root: str, log_schema: str) -> DataFrame:
     return logs.join(params, "run").withColumn("input_size", F.regexp_extract("run", r"(\d+)", 1).cast("int"))
 
 
+def write_params(spark: SparkSession, params: dict, path: str) -> None:
+    """Parameters of a run, or the command, time and input of a started one, as one JSON document."""
+    spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_classifier(path: str):
+    """A fitted ML pipeline by path."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def plugin(name: str) -> Callable:
     """`module:function`, imported."""
     module, _, function = name.partition(":")
