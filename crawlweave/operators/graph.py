@@ -50,15 +50,18 @@ def state_counts(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("created"), F.count_if("visited").alias("visited"), F.count_if(F.col("ok")).alias("ok"), F.count_if(~F.col("ok")).alias("err"))
 
 
-def examples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, via, reward, choices): an example per in-edge of a visited, good node, with the links it offers.
+def choices(edges: DataFrame) -> DataFrame:
+    """(node_id, url): the different addresses a node links to; a row each, so a hub is no large value."""
+    return edges.select(F.col("src").alias("node_id"), F.col("link.url").alias("url")).where("url is not null").distinct()
 
-    `choices` are distinct addresses; a page's links are bounded by its size.
-    """
+
+def examples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, via, reward, choices): an example per in-edge of a visited, good node, with how many addresses it
+    offers; the addresses themselves are in `choices`."""
     good = nodes.where("visited and ok").select("node_id", "reward")
     into = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("via"))
-    offers = edges.groupBy(F.col("src").alias("node_id")).agg(F.sort_array(F.collect_set("link.url")).alias("choices"))
-    return good.join(into, "node_id").join(offers, "node_id", "left").select("node_id", "via", "reward", F.coalesce("choices", F.array().cast("array<string>")).alias("choices"))
+    offers = choices(edges).groupBy("node_id").agg(F.count("*").alias("choices"))
+    return good.join(into, "node_id").join(offers, "node_id", "left").select("node_id", "via", "reward", F.coalesce("choices", F.lit(0)).alias("choices"))
 
 
 def positive_domains(nodes: DataFrame, domain, cut: float = 0.5) -> DataFrame:

@@ -257,7 +257,7 @@ def _ok(c):
 @query("SELECT page_id, hash, form['login'] AS login FROM forms WHERE form IS NOT NULL")
 def forms_flatten(spark, d):
     """Nested forms of pages, a row per form."""
-    pages = table(spark, d, "forms").where("form is not null").groupBy("page_id").agg(F.collect_list(F.struct("form", "hash")).alias("forms"))
+    pages = table(spark, d, "forms").where("form is not null").select("page_id", F.array(F.struct("form", "hash")).alias("forms"))
     return E.flatten_forms(pages).select("page_id", "hash", F.try_element_at("form", F.lit("login")).alias("login"))
 
 
@@ -417,7 +417,7 @@ def visited_counts(spark, d):
 @query("SELECT n.node_id, e.src AS via, n.reward, coalesce(len(c.u), 0)::BIGINT AS choices FROM nodes n JOIN edges e ON e.dst = n.node_id LEFT JOIN (SELECT src, list_distinct(list(link.url)) AS u FROM edges GROUP BY 1) c ON c.src = n.node_id WHERE n.visited AND n.ok")
 def graph_examples(spark, d):
     """Training examples from the graph."""
-    return H.examples(table(spark, d, "nodes"), table(spark, d, "edges")).select("node_id", "via", "reward", F.size("choices").cast("long").alias("choices"))
+    return H.examples(table(spark, d, "nodes"), table(spark, d, "edges")).select("node_id", "via", "reward", "choices")
 
 
 @query(f"SELECT {registered('url')} AS domain, count(*)::BIGINT AS n FROM nodes WHERE reward > 0.5 GROUP BY 1")

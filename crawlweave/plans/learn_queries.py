@@ -86,8 +86,9 @@ def gamma_credit_table(spark, d):
 @query("SELECT sum(n)::BIGINT AS links FROM (SELECT len(list_distinct(list(link.url))) AS n FROM edges GROUP BY src)")
 def replay_link_count(spark, d):
     """Links in the replay memory."""
-    e = table(spark, d, "edges").groupBy("src").agg(F.collect_set("link.url").alias("choices"))
-    return Q.link_count(e, "choices")
+    from crawlweave.operators.graph import choices
+
+    return choices(table(spark, d, "edges")).agg(F.count("*").alias("links"))
 
 
 _WT = f"(SELECT DISTINCT url AS feature, round({uniform('i', 'url')} - 0.5, 9) AS w FROM links WHERE url IS NOT NULL)"

@@ -104,13 +104,10 @@ def priority_heuristic(spark, d):
     return table(spark, d, "links").select("link_id", U.promising(F.col("url")).alias("priority"))
 
 
-@query("SELECT link_id, (-floor((row_number() OVER (PARTITION BY page_url ORDER BY pos, link_id) - 1) / 5))::INT AS priority FROM links")
+@query("SELECT link_id, (-floor(pos / 5))::INT AS priority FROM links")
 def decreasing_priority(spark, d):
-    """Priorities that fall by one every five links of a page."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page_url").orderBy("pos", "link_id")
-    return table(spark, d, "links").select("link_id", N.decreasing_priority(F.row_number().over(w) - 1).alias("priority"))
+    """Priorities that fall by one every five links of a page; the position is a column, so no window is needed."""
+    return table(spark, d, "links").select("link_id", N.decreasing_priority(F.col("pos")).alias("priority"))
 
 
 @query("SELECT item_id, url FROM cdr_items WHERE raw_content IS NOT NULL AND raw_content <> ''")
