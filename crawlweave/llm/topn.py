@@ -75,15 +75,10 @@ def _read(n: int):
                 seen, skipped = 0, 0
                 with _open(uri) as f:
                     for rg in sorted(groups, key=lambda r: (-(r["s_max"] if r["s_max"] is not None else float("inf")), r["rg"])):
-                        lo, hi, top = rg["g_min"], rg["g_max"], rg["s_max"]
-                        if top is not None and lo is not None and lo == hi:
-                            known = best.get(lo, ())
-                            nth = known[0][0] if len(known) == n else None
-                            if rg["floor"] is not None and (nth is None or rg["floor"] > nth):
-                                nth = rg["floor"]
-                            if nth is not None and top < nth:
-                                skipped += 1
-                                continue
+                        lo, top = rg["g_min"], rg["s_max"]
+                        if top is not None and lo is not None and _below(f, rg, best, n):
+                            skipped += 1
+                            continue
                         seen += 1
                         t = f.read_row_group(rg["rg"], columns=["grp", "score", "tie", "id"])
                         for g, s, tie, i in zip(*(c.to_pylist() for c in _leading(t, n).columns)):
@@ -101,6 +96,26 @@ def _read(n: int):
     return read
 
 
+def _below(f: pq.ParquetFile, rg: dict, best: dict[str, list[tuple]], n: int) -> bool:
+    """Whether the row group's best score is strictly below the N-th score known of every group in it.
+
+    With one group the footer tells which. With several, the group column alone is read, and only if the first and the
+    last group leave it possible.
+    """
+    def beaten(g: str, floor: float | None = None) -> bool:
+        known = best.get(g, ())
+        nth = known[0][0] if len(known) == n else None
+        if floor is not None and (nth is None or floor > nth):
+            nth = floor
+        return nth is not None and rg["s_max"] < nth
+
+    if rg["g_min"] == rg["g_max"]:
+        return beaten(rg["g_min"], rg["floor"])
+    if not (beaten(rg["g_min"]) and beaten(rg["g_max"])):
+        return False
+    return all(beaten(g) for g in f.read_row_group(rg["rg"], columns=["grp"]).column("grp").unique().to_pylist())
+
+
 def _leading(t: pa.Table, n: int) -> pa.Table:
     """The rows that reach their group's n-th score inside this row group, ties included."""
     if t.num_rows <= n:
