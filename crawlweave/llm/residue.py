@@ -99,7 +99,7 @@ def page_row(item, site, url, split):
             filler += len(ws)
         if words <= PAGE_WORDS:
             bare = masked(text)
-            lines.append((_h(bare), len(ws), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
+            lines.append((_h(bare), len(tokens(bare)), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
     for n in empty:
         opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True))
     for n in blanks:
@@ -113,7 +113,7 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
 
     slot: a placeholder stands in a place whose text differs between the site's records (or that only this record has).
     blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
-    is filler. message: all but `rest_words` words of the body stand in stock lines: known wordings, or lines that
+    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines that
     pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
     Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
     """
