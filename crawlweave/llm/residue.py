@@ -95,7 +95,7 @@ def page_row(item, site, url, split):
         held.append((place, _h(text)))
         if SIGN.search(text) and PLACEHOLDER.search(text) or row in unset:
             opened.append((place, _h(text), False))
-        if known and ws and sum(w in known for w in ws) >= 0.7 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
+        if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
             filler += len(ws)
         if words <= PAGE_WORDS:
             bare = masked(text)
