@@ -37,13 +37,23 @@ def _with_state(data: DataFrame, state: DataFrame, keys: list[str], rows: int, s
     return data.join(F.broadcast(hot), keys).unionByName(warm.join(cold, keys))
 
 
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """The bin of v between lo and hi. The two ends have bins of their own, so every round parts them, infinite ones too."""
+    part = F.coalesce(F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2), F.lit(float("nan")))
+    inner = F.when(F.isnan(part) | (part < 0) | (part > 1), F.lit(BINS // 2)).otherwise(1 + F.least(F.lit(BINS - 3), F.floor(part * (BINS - 2))))
+    return F.when(v == lo, 0).when(v == hi, BINS - 1).otherwise(inner).cast("int")
+
+
 def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """(keys, n, values, least, most, q1 .. qk): exact quantiles of `value` per key, as doubles.
 
     The quantile of p is the value of rank ceil(p * values), 1 at least, in ascending order. Null and NaN values have
-    no rank; a key without values gets null quantiles. Null keys are a key of their own only if the caller keeps them:
-    rows with a null key column are left out. An empty table gives an empty result.
+    no rank; a key without values gets null quantiles. Rows with a null key column are left out. An empty table gives an
+    empty result. Key columns may have any names.
     """
+    names, keys = keys, [f"__k{i}" for i in range(len(keys))]
+    df = df.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col(value).alias("__value"))
+    value = "__value"
     some = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     v = F.col(value).cast("double")
     data = written(df.where(some).select(*keys, F.when(~F.isnan(v), v).alias("v")), "key-values")
@@ -60,7 +70,7 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]
         packed = state.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(F.struct("p", "rank", "lo", "hi")).alias("at"))  # len(probs) entries a key
         joined = _with_state(data.where("v is not null"), packed, keys, rows, states)
         inside = joined.select(*keys, "n", "v", F.explode(F.filter("at", lambda a: (F.col("v") >= a["lo"]) & (F.col("v") <= a["hi"]))).alias("a"))
-        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("a.lo")) / (F.col("a.hi") - F.col("a.lo")) * BINS)).cast("int")
+        bin_ = _bin(F.col("v"), F.col("a.lo"), F.col("a.hi"))
         hist = inside.groupBy(*keys, "n", F.col("a.p").alias("p"), F.col("a.rank").alias("rank"), bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.sum("c").over(Window.partitionBy(*keys, "p").orderBy("bin"))
         cut = hist.withColumn("upto", upto).where("upto >= rank and upto - c < rank").select(*keys, "n", "p", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), "lo", "hi")
@@ -70,7 +80,8 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]
         left = not state.isEmpty()
     found = reduce(DataFrame.unionByName, done)
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == k, F.col("lo"))).alias(f"q{k}") for k in range(1, len(probs) + 1)])
-    return counts.join(wide, keys, "left")
+    out = counts.join(wide, keys, "left")
+    return out.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in out.columns if c not in keys])
 
 
 def key_profile(df: DataFrame, keys: list[str], value: str, probs: list[float], within: list[str] | None = None, distinct: str | None = None) -> DataFrame:
@@ -84,7 +95,7 @@ def key_profile(df: DataFrame, keys: list[str], value: str, probs: list[float],
         out = out.withColumn("all_rows", F.lit(out.agg(F.sum("n")).first()[0]).cast("long"))
     out = out.withColumn("share", F.col("n") / F.col("all_rows")).drop("all_rows")
     if distinct:
-        pairs = df.where(F.col(distinct).isNotNull()).select(*keys, distinct).distinct()
+        pairs = df.where(F.col(distinct).isNotNull()).select(*keys, F.col(distinct).alias("__distinct")).distinct()
         out = out.join(pairs.groupBy(*keys).agg(F.count("*").alias(f"{distinct}s")), keys, "left").na.fill(0, [f"{distinct}s"])
     return out
 

@@ -150,6 +150,14 @@ def test_quantiles_of_hot_and_odd_keys(spark):
     assert K.key_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
 
 
+def test_quantiles_with_infinite_values_and_any_key_names(spark):
+    inf = float("inf")
+    rows = [("a", 1, v) for v in (-inf, -1.7e308, -5e-324, 0.0, 5e-324, 1.7e308, inf)] + [("b", 1, 2.0)] * 3
+    df = spark.createDataFrame(rows, "v string, n int, p double").withColumn("rank", F.lit("x"))
+    got = {r["v"]: r for r in K.key_quantiles(df, ["v", "n"], "p", [0.01, 0.2, 0.5, 0.7, 0.8, 1.0]).select("v", "q1", "q2", "q3", "q4", "q5", "q6").collect()}
+    assert tuple(got["a"])[1:] == (-inf, -1.7e308, 0.0, 5e-324, 1.7e308, inf) and tuple(got["b"])[1:] == (2.0,) * 6
+
+
 def test_profile_with_few_states_broadcast_or_not(spark, monkeypatch):
     df = spark.range(5000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id % 400) end as k", "id * 7 % 1001 as v", "id % 50 as page")
     a = K.key_profile(df, ["k"], "v", [0.25, 0.9], distinct="page").toPandas().sort_values("k").reset_index(drop=True)
