@@ -63,4 +63,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that fill the catalogue."""
-    from crawlweave.plans import crawl_queries, learn_queries, link_queries  # noqa: F401
+    from crawlweave.plans import crawl_queries, learn_queries, link_queries, stream_queries  # noqa: F401
