@@ -72,6 +72,20 @@ def _chars(page: P.Page, box: int, but: int) -> int:
     return sum(len(t) for node, _, t, _ in page.pieces if not page.hidden[node] and _inside(page, node, box) and not _inside(page, node, but))
 
 
+def _after_header(page: P.Page, header: int) -> int:
+    """The heading stands in a page header: the block after it with the most text outside links is the body."""
+    best, most = 0, 0
+    for n in range(header + 1, len(page.tag)):
+        if page.tag[n] not in ("div", "section", "article", "main", "center", "td") or page.hidden[n] or _inside(page, n, header):
+            continue
+        if any(page.tag[a] in ("nav", "aside", "footer") or a != n and a == best for a in page.up(n)) or SIDE_CLASS.search(page.attr(n, "class") or ""):
+            continue
+        size = sum(len(t) * (1 - 2 * link) for node, _, t, link in page.pieces if t != "\n" and not page.hidden[node] and _inside(page, node, n))
+        if size > most:
+            best, most = n, size
+    return best
+
+
 def _alone(page: P.Page) -> int:
     """Without heading or site: the one block left when menus, side boxes, notices and footers are put aside."""
     text: dict[int, list] = {}
@@ -103,6 +117,8 @@ def split_page(raw: str, url: str | None = None, site_block: str | None = None)
     page = P.parse(raw)
     out = Split(page, [P.line_text(x) for x in page.lines])
     box, head = _heading_box(page)
+    if box and page.tag[box] == "header":
+        box = _after_header(page, box) or box
     out.how = "heading" if box else ""
     if not box and site_block:
         box = next((n for n in range(1, len(page.tag)) if page.signature(n) == site_block and not page.hidden[n]), 0)
@@ -114,6 +130,8 @@ def split_page(raw: str, url: str | None = None, site_block: str | None = None)
         return out
     out.block = page.signature(box)
     out.body = _body_lines(page, out.texts, box, head, host(url))
+    if head and not _inside(page, head, box) and out.texts[page.line[head]]:
+        out.body = sorted({page.line[head] + 1, *out.body})
     return out
 
 

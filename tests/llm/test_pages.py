@@ -34,6 +34,11 @@ def test_plain_byline_and_prompt_without_classes():
     assert lines(raw) == ["How the page works", TEXT]
 
 
+def test_heading_in_a_page_header():
+    raw = f"<body><header>\n<h1>Title</h1>\n<a href='/'>Home</a></header>\n<nav><a href='/a'>Some menu entry</a></nav>\n<div id='w'>\n<p>{TEXT}</p>\n<p>{TEXT}</p>\n</div>\n<aside><p>{TEXT * 9}</p></aside>\n<footer>&copy; x</footer>"
+    assert lines(raw) == ["Title", TEXT, TEXT]
+
+
 def test_page_without_heading_uses_the_sites_block(spark):
     bad = page("<p>404 - Page not found.</p>", head="")
     assert lines(bad, site_block='div class="main"') == ["404 - Page not found."]
