@@ -205,3 +205,63 @@ def test_settings():
         check_blocks(True, True, True, True)
     with pytest.raises(ValueError):
         check_blocks(False, False, False, False)
+
+
+def test_request_history(spark):
+    done = spark.createDataFrame([("r0", "a"), (None, "z")], "run_id string, fingerprint string")
+    reqs = spark.createDataFrame([("r0", "a", False), ("r1", "a", False), ("r0", "b", False), ("r0", "a", True)], "run_id string, fingerprint string, dont_filter boolean")
+    assert L.new_requests(reqs, done).count() == 2
+    assert sorted((r.run_id, r.fingerprint, r.dont_filter) for r in L.new_requests(reqs, done, "run_id").collect()) == [("r0", "a", True), ("r0", "b", False), ("r1", "a", False)]
+
+
+def test_breadth_first_and_depth_penalty(spark):
+    links = spark.createDataFrame([("http://e.x/next", 2), ("http://e.x/item", 2), (None, 2)], "url string, depth int")
+    pages = spark.createDataFrame([("http://E.x/next#1",)], "url string")
+    got = {r.url: (r.depth, r.priority) for r in P.breadth_first(links, pages).collect()}
+    assert got == {"http://e.x/next": (2, -200), "http://e.x/item": (3, -300), None: (3, -300)}
+    req = spark.createDataFrame([(500, 2)], "priority int, depth int")
+    assert P.with_depth_penalty(req).first().priority == 498
+
+
+def test_first_in_crawl_keeps_extra_columns_and_ties(spark):
+    from crawlweave.functions.urls import canonical
+
+    df = spark.createDataFrame([(2, "http://e.x/a#1", "b"), (1, "http://E.x/a", "a"), (3, None, "c"), (1, "http://E.x/a", "a")], "order bigint, url string, r string")
+    assert [tuple(r) for r in L.first_in_crawl(df, canonical(F.col("url")), "order").collect()] == [(1, "http://E.x/a", "a")]
+    assert L.first_in_crawl(df.limit(0), canonical(F.col("url")), "order").count() == 0
+
+
+def test_extraction_rewards(spark):
+    items = spark.createDataFrame([("r", "k1", 1, 1), ("r", "k2", 1, 2), ("r", "k1", 2, 3), ("s", "k1", 3, 4)], "run_id string, key string, page_id int, seq int")
+    assert {(r.run_id, r.page_id): r.reward for r in G.ExtractionGoal().reward(items).collect()} == {("r", 1): 1.0, ("r", 2): -1.0, ("s", 3): 0.0}
+    assert sorted(r.key for r in G.unique_items(items).collect()) == ["k1", "k2"]
+
+
+def test_forms_goal_threshold_is_strict(spark):
+    df = spark.createDataFrame([("a", {"login": 0.7}), ("b", {"login": 0.71}), ("c", None), ("d", {"search": 1.0})], "domain string, form map<string,double>")
+    goal = G.FormGoal("login")
+    assert [r.domain for r in goal.achieved(goal.reward(df), "domain").collect()] == ["b"]
+
+
+def test_close_times_and_versions(spark):
+    log = spark.createDataFrame([("a", t, 0.1 * (t % 2)) for t in range(1, 9)] + [("b", 3, 0.0)], "domain string, t bigint, reward double")
+    assert {r.domain: r.closed_at for r in C.close_times(log, "domain", "t", "reward", 0.1, None, 2).collect()} == {"a": 3}
+    assert {r.domain: r.closed_at for r in C.close_times(log, "domain", "t", "reward", 0.1, 1, None).collect()} == {"a": 1, "b": 3}
+    assert C.close_times(log, "domain", "t", "reward", 0.1, None, None).count() == 0
+    assert [r.t for r in C.every(log, "t", 4, skip_zero=True).orderBy("t").collect()] == [4, 8]
+
+
+def test_priority_updates_spare_seeds(spark):
+    q = spark.createDataFrame([("s", 1, "u", 50_000, True, False), ("s", 2, "v", 1, False, False), ("s", 3, "w", 1, False, False)], QUEUE)
+    scores = spark.createDataFrame([(1, 0.1), (2, 0.12349)], "seq bigint, q double")
+    assert {r.seq: r.priority for r in Q.reprioritise(q, scores).collect()} == {1: 50_000, 2: 1234, 3: 1}
+    kept, rejected = Q.push(q, q.withColumn("seq", F.col("seq") + 10), spark.createDataFrame([("s",)], "slot string"))
+    assert kept.count() == 3 and rejected.count() == 3
+
+
+def test_metrics_of_nothing(spark):
+    none = spark.createDataFrame([], "i int, t double, s double")
+    assert M.ndcg(none, "t", "s", 5, "i").first()[0] is None and M.drift(none, "t", "s").first().n == 0
+    assert M.change_counts(none, "t", "s").where("changed = 0").count() == 7
+    with pytest.raises(ValueError):
+        M.dcg(none, "t", "s", 5, "i", "odd")
