@@ -113,8 +113,8 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
 
     slot: a placeholder stands in a place whose text differs between the site's records (or that only this record has).
     blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
-    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines that
-    pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
+    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines (of
+    22 words at most) that pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
     Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
     """
     pages = written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "residue")
@@ -127,7 +127,7 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
     blank = aligned.where(F.expr(f"blank and uses + gaps >= 20 and uses >= {float(blank_share)} * (uses + gaps)")).select("item_id", F.lit("blank").alias("reason"))
     filler = pages.where("filler > 0 and filler * 2 >= words").select("item_id", F.lit("filler").alias("reason"))
     lines = pages.where("size(lines) > 0").select("item_id", "row", "site", F.explode("lines").alias("l")).select("item_id", "row", "site", "l.*")
-    shown = lines.where("not stock").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line", F.lit(True).alias("shown"))
+    shown = lines.where(f"not stock and words <= {STOCK_WORDS}").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line", F.lit(True).alias("shown"))
     told = lines.join(shown, "line", "left").withColumn("told", F.col("stock") | F.coalesce("shown", F.lit(False)))
     whole = told.groupBy("row", "item_id").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
     message = whole.where(F.col("any") & (F.col("rest") <= rest_words)).select("item_id", F.lit("message").alias("reason"))

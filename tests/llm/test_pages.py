@@ -135,6 +135,13 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_an_article_on_many_sites_is_no_message(spark):
+    story = f"{TEXT} If the user of a page asks for it, the list is shown to them in both versions, and they are told so by letter."
+    rows = [(k, f"http://s{k}.test/", None, page(f"<p>{story}</p>", "The story of the list")) for k in range(6)]
+    df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
+    assert residue.residue(df).count() == 0
+
+
 def test_a_constant_placeholder_is_no_slot(spark):
     rows = [(k, "http://s.test/", None, page("<p>Write {{ name }} here</p>\n" + "\n".join(f"<div>{TEXT.replace('slow', f'slow{k}{n}')}</div>" for n in range(4)))) for k in range(5)]
     df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
