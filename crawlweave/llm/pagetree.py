@@ -41,6 +41,7 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset()),
 }
 CLOSE_STOP = {t: frozenset(["table", "td", "th", "body"]) for t in ("p", "li", "div", "span", "a", "b", "i", "small")}
+HIDE = re.compile(r"\shidden(\s|=|/|$)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -80,6 +81,11 @@ class Page:
         return " ".join([self.tag[node], *self.attrs[node].lower().split()])
 
 
+def _out_of_sight(attrs: str) -> bool:
+    low = attrs.lower()
+    return "style" in low and HIDDEN.search(low) is not None or "hidden" in low and HIDE.search(low) is not None
+
+
 def parse(raw: str) -> Page:
     """Build the page tree. Any string gives a tree; nothing raises."""
     page = Page()
@@ -157,7 +163,7 @@ def parse(raw: str) -> Page:
         attrs.append(m[3])
         lines.append(bisect_right(starts, m.start()) - 1)
         given = m[3]
-        hidden.append(hidden[stack[-1]] or name in UNSEEN or (bool(given) and ("style" in given and bool(HIDDEN.search(given)) or re.search(r"\shidden(\s|=|/|$)", given) is not None)))
+        hidden.append(hidden[stack[-1]] or name in UNSEEN or bool(given) and _out_of_sight(given))
         if name in VOID or given.endswith("/") and name in ("svg", "iframe"):
             continue
         stack.append(len(tags) - 1)
