@@ -45,8 +45,6 @@ STOCK = re.compile(
 FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
 #: Longest line, in words, that counts as a stock line; a message followed by prose is not one.
 STOCK_WORDS = 22
-#: Longest body, in words, that is tested for being all stock lines.
-PAGE_WORDS = 160
 MASK = re.compile(r"\S*[/()\"_.:#]\S*\w\S*|\S*\d\S*")
 
 SCHEMA = (
@@ -86,6 +84,9 @@ def page_row(item, site, url, split):
     rows = sorted(body - code)
     cut = [tokens(texts[row]) for row in rows]
     words = sum(map(len, cut))
+    # A line that keeps more than STOCK_WORDS words can't be a stock line, so its page is no message: the longest line tells.
+    longest = max(range(len(rows)), key=lambda k: len(cut[k]), default=None)
+    short = longest is not None and (len(cut[longest]) <= STOCK_WORDS or len(tokens(masked(texts[rows[longest]]))) <= STOCK_WORDS)
     for ws in cut:
         if not FILLER.isdisjoint(ws):
             known.update(ws)
@@ -97,7 +98,7 @@ def page_row(item, site, url, split):
             opened.append((place, _h(text), False))
         if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
             filler += len(ws)
-        if words <= PAGE_WORDS:
+        if short:
             bare = masked(text)
             lines.append((_h(bare), len(tokens(bare)), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
     for n in empty:
@@ -113,7 +114,7 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
 
     slot: a placeholder stands in a place whose text differs between the site's records (or that only this record has).
     blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
-    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines (of
+    is filler. message: all but `rest_words` (22 at most) words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines (of
     22 words at most) that pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
     Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
     """

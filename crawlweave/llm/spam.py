@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions.common import written
 from crawlweave.llm import prose
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.residue import FILLER, PAGE_WORDS, PLACEHOLDER, STOCK, STOCK_WORDS
+from crawlweave.llm.residue import FILLER, PLACEHOLDER, STOCK, STOCK_WORDS
 
 SCHEMA = "item_id long, lang string, words int, sentences int, residue boolean, spectrum array<struct<freq:int,types:int>>, curve array<double>"
 #: Parts of the curve: function words, then the other words by rank 1, 2, 3-4, 5-8, ... , 65 and beyond.
@@ -46,7 +46,8 @@ def page_row(item, site, url, split):
         full += prose.sentences(x, own)
         if full >= PROSE:  # more don't matter
             break
-    told = sum(len(t) for x, t in zip(lines, cut) if len(t) <= STOCK_WORDS and STOCK.search(x)) if len(ws) <= PAGE_WORDS else 0
+    brief = [(x, len(t)) for x, t in zip(lines, cut) if len(t) <= STOCK_WORDS]
+    told = sum(n for x, n in brief if STOCK.search(x)) if full < PROSE and 2 * sum(n for _, n in brief) >= len(ws) else 0
     left = PLACEHOLDER.search("\n".join(lines)) is not None or len(FILLER & counts.keys()) > 1 or told * 2 >= len(ws)
     spectrum = [dict(freq=f, types=t) for f, t in sorted(Counter(counts.values()).items())]
     return [(item, lang, len(ws), full, left, spectrum, [c / len(ws) for c in curve])]

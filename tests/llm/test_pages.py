@@ -142,6 +142,12 @@ def test_an_article_on_many_sites_is_no_message(spark):
     assert residue.residue(df).count() == 0
 
 
+def test_a_long_stack_trace_is_a_message(spark):
+    trace = "\n".join(f"<p>#{k} app.module.call(file:{k}) of the server loop</p>" for k in range(200))
+    df = spark.createDataFrame([(1, "http://s.test/", None, page(f"<p>Fatal error: call to undefined function</p>\n{trace}", ""))], "item_id bigint, url string, domain string, raw_content string")
+    assert [r.reason for r in residue.residue(df).collect()] == ["message"]
+
+
 def test_a_constant_placeholder_is_no_slot(spark):
     rows = [(k, "http://s.test/", None, page("<p>Write {{ name }} here</p>\n" + "\n".join(f"<div>{TEXT.replace('slow', f'slow{k}{n}')}</div>" for n in range(4)))) for k in range(5)]
     df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
