@@ -253,7 +253,7 @@ def repair(text: str) -> tuple[str, int, str, bool]:
     if text.isascii():
         return text, 0, "", False
     total, names = 0, []
-    for _ in range(4):  # text can be garbled several times over
+    while True:  # text can be garbled several times over; every pass makes it shorter
         text, n, reader = _unread(text)
         if not n:
             break
