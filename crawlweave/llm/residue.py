@@ -2,7 +2,8 @@
 
 Body lines outside code are aligned by site and place in the page's tree: a place whose text differs between records
 is a slot of the template. A slot that still holds a variable name, a default or nothing where other records hold
-text is residue. Beside that, pages whose whole body is made of stock lines (lines that several sites show, known
+text is residue; a placeholder in a place that never differs is residue too, unless the text names it as an example
+("write {{ name }} here"). Beside that, pages whose whole body is made of stock lines (lines that several sites show, known
 error, notice and filler wordings, stack traces) are error or filler pages.
 """
 
@@ -26,6 +27,12 @@ PLACEHOLDER = re.compile(
     r"|[{\[](?:insert|enter|your|add|put)\b[^}\]\n]{1,60}[}\]]|<(?:insert|enter|your)\b[^>\n]{1,60}>",
 )
 SIGN = re.compile(r"[{\[<%@_]")
+# Words right before a placeholder that is written about, not left unfilled.
+NAMED = re.compile(
+    r"\b(writes?|puts?|uses?|using|inserts?|replaces?|placeholder|variable|syntax|schreib\w*|verwende\w*|ersetz\w*|platzhalter|écrivez|écrire|utilis\w+|remplac\w+"
+    r"|escrib\w+|escrev\w+|utiliz\w+|reemplaz\w+|substitu\w+|variável|marcador|напишите|пишите|введите|используйте|замените|переменн\w+)[\s«„“\"'‘`(]*$",
+    re.I,
+)
 # What unset variables print as.
 UNSET = frozenset(["undefined", "null", "nan", "[object object]", "#ref!", "#n/a", "(null)"])
 # Wordings of error messages, script notices and filler.
@@ -49,7 +56,7 @@ MASK = re.compile(r"\S*[/()\"_.:#]\S*\w\S*|\S*\d\S*")
 
 SCHEMA = (
     "item_id long, site string, words int, filler int, lines array<struct<line:long,words:int,stock:boolean>>,"
-    " held array<struct<place:long,value:long>>, open array<struct<place:long,value:long,blank:boolean>>"
+    " held array<struct<place:long,value:long>>, open array<struct<place:long,value:long,blank:boolean,sure:boolean>>"
 )
 
 
@@ -62,6 +69,11 @@ def masked(text: str) -> str:
     return " ".join(MASK.sub(" ", text.lower()).split())
 
 
+def unfilled(text: str) -> bool:
+    """Whether a line holds a placeholder that the text doesn't name as an example."""
+    return any(not NAMED.search(text[: m.start()]) for m in PLACEHOLDER.finditer(text))
+
+
 def page_row(item, site, url, split):
     page, texts = split.page, split.texts
     body = {n - 1 for n in split.body}
@@ -95,24 +107,25 @@ def page_row(item, site, url, split):
         place = _h(f"{site}|{where.get(row, '')}")
         held.append((place, _h(text)))
         if SIGN.search(text) and PLACEHOLDER.search(text) or row in unset:
-            opened.append((place, _h(text), False))
+            opened.append((place, _h(text), False, unfilled(text)))
         if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
             filler += len(ws)
         if short:
             bare = masked(text)
             lines.append((_h(bare), len(tokens(bare)), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
     for n in empty:
-        opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True))
+        opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True, False))
     for n in blanks:
         if n in filled:
             held.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), n))
-    return [(item, site, words, filler, [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c) for a, b, c in opened])]
+    return [(item, site, words, filler, [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c, sure=d) for a, b, c, d in opened])]
 
 
 def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """(item_id, reason) of pages to exclude; reason: `slot`, `blank`, `filler` or `message`.
 
-    slot: a placeholder stands in a place whose text differs between the site's records (or that only this record has).
+    slot: a placeholder stands unfilled, in whatever place; a default (`null`), or a placeholder that the text names as an
+    example, counts only in a place whose text differs between the site's records (or that only this record has).
     blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
     is filler. message: all but `rest_words` (22 at most) words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines (of
     22 words at most) that pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
@@ -124,7 +137,7 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
     open_ = pages.select("item_id", F.explode("open").alias("o")).select("item_id", "o.*")
     gaps = open_.where("blank").groupBy("place").agg(F.count("*").alias("gaps"))
     aligned = open_.join(slots, "place", "left").join(gaps, "place", "left")
-    slot = aligned.where(F.expr("not blank and (least <> most or uses = 1)")).select("item_id", F.lit("slot").alias("reason"))
+    slot = aligned.where(F.expr("not blank and (sure or least <> most or uses = 1)")).select("item_id", F.lit("slot").alias("reason"))
     blank = aligned.where(F.expr(f"blank and uses + gaps >= 20 and uses >= {float(blank_share)} * (uses + gaps)")).select("item_id", F.lit("blank").alias("reason"))
     filler = pages.where("filler > 0 and filler * 2 >= words").select("item_id", F.lit("filler").alias("reason"))
     lines = pages.where("size(lines) > 0").select("item_id", "row", "site", F.explode("lines").alias("l")).select("item_id", "row", "site", "l.*")

@@ -154,6 +154,13 @@ def test_a_constant_placeholder_is_no_slot(spark):
     assert residue.residue(df).count() == 0
 
 
+@pytest.mark.parametrize("head,line", [("{{title}}", TEXT), ("How the page works", "Dear user {{name}}, your order is on its way."), ("How the page works", "Type: {{type}}")])
+def test_a_template_broken_on_every_page(spark, head, line):
+    rows = [(k, f"http://s.test/{k}", None, page(f"<p>{line}</p>", head)) for k in range(5)] + [(9, "http://other.test/", None, page(f"<p>{line}</p>", head)), (10, "http://other.test/", None, page(f"<p>{line}</p>", head))]
+    df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
+    assert {r.item_id: r.reason for r in residue.residue(df).collect()} == {k: "slot" for k in (0, 1, 2, 3, 4, 9, 10)}
+
+
 @pytest.mark.parametrize("text", ["{{ a }}", "{% x %}", "<%= y %>", "${z.w}", "[[price]]", "%%shop%%", "@@n@@", "%user_name%", "[insert city here]", "#{t}", "__NAME__", "[first_name]", "{USERNAME}", "[product.title]", "{insert city here}"])
 def test_placeholders(text):
     assert residue.PLACEHOLDER.search(f"see {text} now") and residue.SIGN.search(text)
