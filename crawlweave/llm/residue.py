@@ -3,8 +3,8 @@
 Body lines outside code are aligned by site and place in the page's tree: a place whose text differs between records
 is a slot of the template. A slot that still holds a variable name, a default or nothing where other records hold
 text is residue; a placeholder in a place that never differs is residue too, unless the text names it as an example
-("write {{ name }} here"). Beside that, pages whose whole body is made of stock lines (lines that several sites show, known
-error, notice and filler wordings, stack traces) are error or filler pages.
+("write {{ name }} here"). Beside that, pages whose whole body is made of stock lines or sentences (those that several sites or many addresses
+show, known error, notice and filler wordings, stack traces) are error or filler pages.
 """
 
 from __future__ import annotations
@@ -49,13 +49,21 @@ STOCK = re.compile(
     r"|removed or never existed|could not find what you|link may be old|contact the webmaster|try again later|team has been told|check the address|gone fishing",
     re.I,
 )
+# Every STOCK wording holds one of these, so that running text is passed over quickly.
+STOCK_SIGN = re.compile(
+    r"[45]\d\d|not found|gefunden|introuvable|encontr|найден|denied|forbidden|verweigert|refusé|denegado|запрещ|negado|suspended|gateway|unavailable|intern|внутренняя|wrong|connect|is down"
+    r"|script|skript|скрипт|cookie|témoins|checking|traceback|fatal|warning|sql|stack|\#\d|unhandled|under|coming|разработке|obras|constru|aufbau|text|insert|edit|fresh|just another|текст|hier steht"
+    r"|asdf|untitled|new page|heading|title|oops|removed|could not|link may|webmaster|try again|team has|check the|fishing",
+    re.I,
+)
 FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
-#: Longest line, in words, that counts as a stock line; a message followed by prose is not one.
+#: Lines of more words are told sentence by sentence, so that a message followed by prose is not one.
 STOCK_WORDS = 22
+CUT = re.compile(r"(?<=[.!?…])\s+")
 MASK = re.compile(r"\S*[/()\"_.:#]\S*\w\S*|\S*\d\S*")
 
 SCHEMA = (
-    "item_id long, site string, words int, filler int, lines array<struct<line:long,words:int,stock:boolean>>,"
+    "item_id long, site string, path long, words int, filler int, long boolean, known double, whole long, lines array<struct<line:long,words:int,stock:boolean>>,"
     " held array<struct<place:long,value:long>>, open array<struct<place:long,value:long,blank:boolean,sure:boolean>>"
 )
 
@@ -96,9 +104,19 @@ def page_row(item, site, url, split):
     rows = sorted(body - code)
     cut = [tokens(texts[row]) for row in rows]
     words = sum(map(len, cut))
-    # A line that keeps more than STOCK_WORDS words can't be a stock line, so its page is no message: the longest line tells.
-    longest = max(range(len(rows)), key=lambda k: len(cut[k]), default=None)
-    short = longest is not None and (len(cut[longest]) <= STOCK_WORDS or len(tokens(masked(texts[rows[longest]]))) <= STOCK_WORDS)
+    bodies = [texts[row] for row in rows]
+    # Pages of short lines are compared line by line; others sentence by sentence, if any sentence is a known wording.
+    tall = any(len(ws) > STOCK_WORDS and len(tokens(masked(t))) > STOCK_WORDS for t, ws in zip(bodies, cut))
+    units = [(t, len(ws)) for t, ws in zip(bodies, cut)]
+    if tall:
+        units = [(x, len(tokens(x))) for t, n in units for x in (CUT.split(t) if n > STOCK_WORDS else [t])]
+    told = [(n <= STOCK_WORDS or tall) and STOCK.search(t) is not None for t, n in units] if not tall or STOCK_SIGN.search("\n".join(bodies)) else []
+    if not tall or any(told):
+        for (t, n), known_wording in zip(units, told):
+            bare = masked(t)
+            lines.append((_h(bare), len(tokens(bare)), not bare or known_wording))
+    part = sum(n for (_, n), known_wording in zip(units, told) if known_wording) / max(1, words)
+    whole = "\n".join(map(masked, bodies) if lines else bodies)
     for ws in cut:
         if not FILLER.isdisjoint(ws):
             known.update(ws)
@@ -110,25 +128,26 @@ def page_row(item, site, url, split):
             opened.append((place, _h(text), False, unfilled(text)))
         if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
             filler += len(ws)
-        if short:
-            bare = masked(text)
-            lines.append((_h(bare), len(tokens(bare)), not bare or len(ws) <= STOCK_WORDS and STOCK.search(text) is not None))
     for n in empty:
         opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True, False))
     for n in blanks:
         if n in filled:
             held.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), n))
-    return [(item, site, words, filler, [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c, sure=d) for a, b, c, d in opened])]
+    return [(item, site, _h((url or '').split('#')[0].split('?')[0]), words, filler, tall, part, _h(whole), [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c, sure=d) for a, b, c, d in opened])]
 
 
-def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
+def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, known_share: float = 0.25, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """(item_id, reason) of pages to exclude; reason: `slot`, `blank`, `filler` or `message`.
 
     slot: a placeholder stands unfilled, in whatever place; a default (`null`), or a placeholder that the text names as an
     example, counts only in a place whose text differs between the site's records (or that only this record has).
     blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
-    is filler. message: all but `rest_words` (22 at most) words of the body (numbers, addresses and ids aside) stand in stock lines: known wordings, or lines (of
-    22 words at most) that pages of `min_sites` sites show. Code is never looked at; a message followed by running text is no stock line.
+    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known
+    wordings, or lines that pages of `min_sites` sites show. In a body with a line of more than 22 words sentences count
+    in place of that line, at any length, also those that `min_paths` addresses of one site show; then known wordings must
+    hold `known_share` of the words, or the whole body must stand at several addresses a site, as articles don't. A long body
+    without known wording is a message where `min_sites` sites show it so. Addresses count without query and fragment.
+    Code is never looked at; a message followed by running text is no stock line.
     Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
     """
     pages = written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "residue")
@@ -140,9 +159,15 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
     slot = aligned.where(F.expr("not blank and (sure or least <> most or uses = 1)")).select("item_id", F.lit("slot").alias("reason"))
     blank = aligned.where(F.expr(f"blank and uses + gaps >= 20 and uses >= {float(blank_share)} * (uses + gaps)")).select("item_id", F.lit("blank").alias("reason"))
     filler = pages.where("filler > 0 and filler * 2 >= words").select("item_id", F.lit("filler").alias("reason"))
-    lines = pages.where("size(lines) > 0").select("item_id", "row", "site", F.explode("lines").alias("l")).select("item_id", "row", "site", "l.*")
-    shown = lines.where(f"not stock and words <= {STOCK_WORDS}").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line", F.lit(True).alias("shown"))
-    told = lines.join(shown, "line", "left").withColumn("told", F.col("stock") | F.coalesce("shown", F.lit(False)))
-    whole = told.groupBy("row", "item_id").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
-    message = whole.where(F.col("any") & (F.col("rest") <= rest_words)).select("item_id", F.lit("message").alias("reason"))
+    lines = pages.where("size(lines) > 0").select("item_id", "row", "site", "path", "long", "known", "whole", F.explode("lines").alias("l")).select("item_id", "row", "site", "path", "long", "known", "whole", "l.*")
+    places = lines.where("not stock").groupBy("line", "site").agg(F.count_distinct("path").alias("paths")).groupBy("line").agg(F.count("site").alias("sites"), F.max("paths").alias("paths"))
+    shown = places.where((F.col("sites") >= min_sites) | (F.col("paths") >= min_paths)).select("line", (F.col("sites") >= min_sites).alias("wide"))
+    # Whole bodies: an article stands at one address of a site, a template at many.
+    copies = pages.where("long and words > 0").groupBy("whole", "site").agg(F.count_distinct("path").alias("paths")).groupBy("whole").agg(F.count("site").alias("sites"), F.sum("paths").alias("paths"), F.max("paths").alias("most"))
+    copied = copies.where((F.col("paths") >= 2 * F.col("sites")) & ((F.col("sites") >= min_sites) | (F.col("most") >= min_paths))).select("whole", (F.col("sites") >= min_sites).alias("everywhere"))
+    told = lines.join(shown, "line", "left").withColumn("told", F.col("stock") | F.when(F.col("long"), F.col("wide").isNotNull()).otherwise(F.coalesce("wide", F.lit(False)) & (F.col("words") <= STOCK_WORDS)))
+    rest = told.groupBy("row", "item_id", "long", "known", "whole").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
+    rest = rest.where(F.col("any") & (F.col("rest") <= rest_words)).join(copied, "whole", "left")
+    message = rest.where(F.expr(f"not long or known >= {float(known_share)} or everywhere is not null")).select("item_id", F.lit("message").alias("reason"))
+    message = message.unionByName(pages.where("long").join(copied.where("everywhere"), "whole", "left_semi").select("item_id", F.lit("message").alias("reason")))
     return slot.unionByName(blank).unionByName(filler).unionByName(message).groupBy("item_id").agg(F.max("reason").alias("reason"))

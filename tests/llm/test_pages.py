@@ -148,6 +148,28 @@ def test_a_long_stack_trace_is_a_message(spark):
     assert [r.reason for r in residue.residue(df).collect()] == ["message"]
 
 
+SERVER = "The server encountered an internal error or misconfiguration and was unable to complete your request. Please contact the server administrator at {} and inform them of the time the error occurred, and of anything you might have done that may have caused it."
+WALL = "We have noticed some odd traffic from your part of the network lately, so that for now every visit is held back until one of our people has had a look at what you were up to and let you go on with it."
+
+
+def test_messages_of_one_long_paragraph(spark):
+    rows = [(k, f"http://s{k}.test/", None, page(f"<p>{SERVER.format(f'a{k}@x.test')}</p>", "Internal Server Error")) for k in range(3)]
+    rows += [(10 + k, f"http://one.test/{k}", None, page(f"<p>{SERVER.format('us').replace('done', 'typed')}</p>", "")) for k in range(5)]
+    rows += [(20 + k, f"http://w{k % 3}.test/{k}", None, page(f"<p>{WALL}</p>", "")) for k in range(6)]
+    # Own prose after a known sentence, and a long body at one address a site, are no messages.
+    rows += [(30, "http://p.test/", None, page(f"<p>{SERVER.format('them')} {TEXT} So I told my sister of it.</p>", "My server story"))]
+    rows += [(40 + k, f"http://v{k}.test/", None, page(f"<p>{WALL.replace('odd', 'strange')}</p>", "")) for k in range(4)]
+    rows += [(50 + k, f"http://{d}.test/p{k}", None, page(f"<p>{TEXT.replace('slow', 'slow' + chr(97 + k))}</p>", "A page like others")) for k, d in enumerate(["s0", "s1", "s2", "one", "w0", "w1", "w2", "p", "v0", "v1", "v2", "v3"])]
+    df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
+    got = {r.item_id: r.reason for r in residue.residue(df).collect()}
+    assert got == {k: "message" for k in (0, 1, 2, 10, 11, 12, 13, 14, 20, 21, 22, 23, 24, 25)}
+
+
+def test_stock_signs_pass_every_known_wording():
+    for word in ("not found", "fehler 404", "erro 500", "ошибка 404", "404 - gone", "zugriff verweigert", "service is down", "activate script", "skripte und cookies", "#1 a.b(", "seu texto", "asdf", "blindtext", "bad gateway", "erreur interne", "em construção", "oops"):
+        assert residue.STOCK.search(word) and residue.STOCK_SIGN.search(word), word
+
+
 def test_a_constant_placeholder_is_no_slot(spark):
     rows = [(k, "http://s.test/", None, page("<p>Write {{ name }} here</p>\n" + "\n".join(f"<div>{TEXT.replace('slow', f'slow{k}{n}')}</div>" for n in range(4)))) for k in range(5)]
     df = spark.createDataFrame(rows, "item_id bigint, url string, domain string, raw_content string")
