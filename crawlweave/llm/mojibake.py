@@ -4,7 +4,8 @@ For every pair (encoding of the bytes, encoding they were read with) the garbled
 frequent pair of letters is computed beforehand and put into one multi-pattern automaton. Matches are replaced where
 they stand; what surrounds them, correct accents included, is left alone.
 
-Two kinds of pairs: UTF-8 read as a single-byte encoding garbles each character into its own sequence of 2 or 3;
+Two kinds of pairs: UTF-8 read as a single-byte encoding garbles each character into its own sequence of 2 to 4
+(those of other symbols and scripts follow from the classes of lead and continuation bytes);
 one single-byte encoding read as another maps letters to letters, so there the share of a language's frequent
 letter pairs decides, sentence by sentence, against the share in the text as it stands.
 """
@@ -12,8 +13,10 @@ letter pairs decides, sentence by sentence, against the share in the text as it
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -63,6 +66,72 @@ def _alphabet() -> list[str]:
     return latin + greek + cyrillic + list(SIGNS)
 
 
+# Signs that stand after letters in correct text.
+ORDINARY = frozenset("\xa0\xad…–—‘’“”„‚«»‹›•·°©®™§№€£")
+
+
+def _classes() -> tuple[dict[str, dict[str, int]], re.Pattern]:
+    """Per reader its characters of the bytes 80-F4, and what starts a UTF-8 sequence of three or four bytes in any of them."""
+    of: dict[str, dict[str, int]] = {}
+    lead, cont = set(), set()
+    for enc in READ_AS:
+        chars = {g: b for b in range(0x80, 0xF5) if (g := _decode(bytes([b]), enc))}
+        of[enc] = chars
+        lead |= {g for g, b in chars.items() if b >= 0xE0}
+        cont |= {g for g, b in chars.items() if b < 0xC0}
+    some = lambda s: "[" + "".join(map(re.escape, sorted(s))) + "]"
+    # Three lower-case Cyrillic letters are a word, not a sequence.
+    return of, re.compile(f"(?![а-яё]{{3}})(?={some(lead)}{some(cont)}{{2}})")
+
+
+@lru_cache(1 << 16)
+def _sequences(four: str) -> list[tuple[int, dict[str, str]]]:
+    """[(length, {reader: character})] of the sequences at the start of these four characters."""
+    found: dict[int, dict[str, str]] = {}
+    for enc, chars in automaton().bytes_of.items():
+        lead = chars.get(four[0], 0)
+        if lead < 0xE0:
+            continue
+        n = 3 if lead < 0xF0 else 4
+        data = [chars.get(c, 0) for c in four[:n]]
+        try:
+            c = bytes(data).decode("utf-8") if len(data) == n else ""
+        except UnicodeDecodeError:
+            continue
+        if len(c) == 1 and unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc") and not "⠀" <= c <= "⣿":
+            found.setdefault(n, {})[enc] = c
+    return list(found.items())
+
+
+def _by_rule(text: str) -> list[tuple[int, int, dict[str, str]]]:
+    """Sequences that some reader turns back into one character of three or four UTF-8 bytes: (start, end, {reader: character}).
+
+    Symbols and four-byte characters stand for themselves; letters and marks only beside another sequence of the reader,
+    and nothing that correct text writes: a letter with quotes, dots or dashes after it.
+    """
+    found = {}
+    for m in automaton().start.finditer(text):
+        for n, by in _sequences(text[m.start() : m.start() + 4]):
+            found[m.start(), m.start() + n] = by
+    if not found:
+        return []
+    out = []
+    if any(_cyrillic(text[a]) for a, _ in found) and _cyrillic_segments(text)[1]:  # its letters make such sequences by chance
+        found = {k: by for k, by in found.items() if not _cyrillic(text[k[0]])}
+    for (a, b), by in found.items():
+        seq, before = text[a:b], text[a - 1] if a else " "
+        mixed = not seq.isalpha() or any(x.islower() and y.isupper() for x, y in zip(seq, seq[1:])) or seq[:2] == "ЁЯ" or "Ͱ" <= seq[0] < "Ѐ" and not "Ͱ" <= seq[1] < "Ѐ"
+        plain = all(c in ORDINARY for c in seq[1:]) and (seq[0] != "â" or before.isalpha())
+        if not mixed or plain:
+            continue
+        sure = {e: c for e, c in by.items() if len(seq) == 4 or unicodedata.category(c)[0] == "S"}
+        side = {e for (x, y), other in found.items() if y == a or x == b for e in other} if len(sure) < len(by) else set()
+        keep = sure | {e: c for e, c in by.items() if e in side}
+        if keep:
+            out.append((a, b, keep))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
 class Automaton:
     """Built once a worker. `multi`: garbled sequence -> {reader: character}; `pairs`: letters -> [(bytes in, read as)]."""
 
@@ -74,6 +143,7 @@ class Automaton:
                 if g and len(g) > 1 and g != c:
                     multi.setdefault(g, {}).setdefault(enc, c)
         multi.setdefault("â€", {})["cp1252"] = "”"
+        self.bytes_of, self.start = _classes()
         self.multi = ahocorasick.Automaton()
         for g, by in multi.items():
             self.multi.add_word(g, (len(g), by))
@@ -115,7 +185,17 @@ def automaton() -> Automaton:
 
 def _matches(text: str) -> list[tuple[int, int, dict[str, str]]]:
     """Leftmost-longest matches of the multi-character garbles: (start, end, {reader: character})."""
-    return [(end - n + 1, end + 1, by) for end, (n, by) in automaton().multi.iter_long(text)]
+    listed = [(end - n + 1, end + 1, by) for end, (n, by) in automaton().multi.iter_long(text)]
+    rule = _by_rule(text)
+    if not rule:
+        return listed
+    out: list[tuple[int, int, dict[str, str]]] = []
+    for a, b, by in sorted([*listed, *rule], key=lambda x: (x[0], -x[1])):
+        if out and (a, b) == out[-1][:2]:
+            out[-1] = (a, b, by | out[-1][2])
+        elif not out or a >= out[-1][1]:
+            out.append((a, b, by))
+    return out
 
 
 def _strong(text: str, a: int, b: int) -> bool:

@@ -42,6 +42,19 @@ def test_russian(pair):
     assert M.repair(bad)[0] == text
 
 
+@pytest.mark.parametrize("reader", ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp866"])
+@pytest.mark.parametrize("sign", ["→", "✓", "★", "♥", "😀", "👍🏽", "❤️"])
+def test_signs_and_emoji(sign, reader):
+    text = f"Go on {sign} to the next page"
+    fixed, n, names, lost = M.repair(M._decode(text.encode(), reader))
+    assert fixed == text and n >= 1 and "utf-8" in names and not lost
+
+
+@pytest.mark.parametrize("text", ["Il va à\xa0« la mer » et au café…” dit-il.", "Он в\xa0«городе», чтоб работать в…» и мир»…” слов”…", "中文 and 日本語 stay → ★ 😀", "чтобы трамвай рабочий растает"])
+def test_signs_after_letters_stay(text):
+    assert M.repair(text) == (text, 0, "", False)
+
+
 def test_only_the_garbled_part_is_replaced():
     good = "Größe – café. "
     fixed, n, *_ = M.repair(good + M._decode("für Änderungen".encode(), "cp1252") + " und é")
