@@ -77,8 +77,12 @@ def join_page(link_features: DataFrame, links: DataFrame, page_features: DataFra
     return link_features.unionByName(pages)
 
 
-def topics(docs: DataFrame, text: str, n_topics: int = 50, vocabulary: int = 100_000, min_df: float = 4, iterations: int = 10, seed: int = 1):
-    """Topic model of texts: stop words out, counts, online LDA, topic shares that sum to 1. Returns the fitted pipeline."""
+def topics(docs: DataFrame, text: str, n_topics: int = 50, vocabulary: int = 100_000, min_df: float = 4, iterations: int = 20, seed: int = 1):
+    """Topic model of texts: stop words out, counts, online LDA, topic shares that sum to 1. Returns the fitted pipeline.
+
+    Every iteration draws as many documents as there are, with replacement: a document is in none of n with probability
+    exp(-n). Learning offset 10 and decay 0.7 let so few and large steps move the model.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
@@ -87,7 +91,7 @@ def topics(docs: DataFrame, text: str, n_topics: int = 50, vocabulary: int = 100
         RegexTokenizer(inputCol=text, outputCol="words", pattern=T.TOKEN, gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="words", outputCol="content", stopWords=stop_words()),
         CountVectorizer(inputCol="content", outputCol="counts", vocabSize=vocabulary, minDF=min_df),
-        LDA(featuresCol="counts", topicDistributionCol="raw_topics", k=n_topics, maxIter=iterations, optimizer="online", seed=seed),
+        LDA(featuresCol="counts", topicDistributionCol="raw_topics", k=n_topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7, seed=seed),
         Normalizer(inputCol="raw_topics", outputCol="topics", p=1.0),
     ]
     return Pipeline(stages=stages).fit(docs.where(F.col(text).isNotNull()))

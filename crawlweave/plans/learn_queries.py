@@ -223,7 +223,7 @@ def lda_topics(spark, d):
     from crawlweave.operators.features import topics
 
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    model = topics(docs, "text", n_topics=8, vocabulary=5000, iterations=3)
+    model = topics(docs, "text")
     return model.transform(docs).select("doc_id", F.transform(vector_to_array("topics"), lambda x: F.round(x, 4)).alias("topics"))
 
 

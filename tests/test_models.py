@@ -23,6 +23,29 @@ def test_topics_and_their_words(texts):
     assert "the" in X.stop_words() and "und" in X.stop_words()
 
 
+def test_registered_topics_use_the_whole_job(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from crawlweave.plans import learn_queries as L
+
+    seen = {}
+
+    def stop(docs, text, **k):
+        seen.update(k)
+        raise StopIteration
+
+    monkeypatch.setattr(X, "topics", stop)
+    monkeypatch.setattr(L, "table", MagicMock())
+    with pytest.raises(StopIteration):
+        L.lda_topics(None, "")
+    assert seen == {}
+
+
+def test_every_document_is_drawn(texts):
+    lda = X.topics(texts, "text", n_topics=2, vocabulary=50, min_df=1, iterations=2).stages[3]
+    assert lda.getOrDefault("subsamplingRate") == 1.0
+
+
 def test_text_regressor_and_classifier_by_path(spark, texts, tmp_path):
     model = Z.text_regressor("text", "label", 1 << 10).fit(texts)
     got = {r.id: r.prediction for r in model.transform(texts).collect()}
