@@ -7,13 +7,14 @@ they stand; what surrounds them, correct accents included, is left alone.
 Two kinds of pairs: UTF-8 read as a single-byte encoding garbles each character into its own sequence of 2 to 4
 (those of other symbols and scripts follow from the classes of lead and continuation bytes);
 one single-byte encoding read as another maps letters to letters, so there the share of a language's frequent
-letter pairs decides, sentence by sentence, against the share in the text as it stands.
+letter pairs (Cyrillic) or triples with an accent (western) decides, sentence by sentence, against the share in the text as it stands.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlweave.llm import prose
+
 # Encodings UTF-8 bytes are read with by mistake.
 READ_AS = "cp1252 latin-1 cp1250 iso8859-2 cp1251 koi8-r cp866 mac_cyrillic mac_roman cp437 cp850 cp1254 iso8859-15 cp1253 cp1257".split()
 # Single-byte encodings of Cyrillic text, and what they are read as besides each other.
@@ -38,6 +41,17 @@ PAIRS = (
 ).split()
 # Letters with accents that stand inside words of western languages.
 ACCENTS = "éèêëàâáäãåçñîïíìôöóòõùûúüßœæøÉÈÀÇÑÖÜÄÓÁÍÚ"
+# Frequent words with accents; their letter triples, word edges included, tell garbled western text.
+WORDS = {
+    "de": "für über können möglich müssen natürlich während würde wäre hätte größe größer große straße weiß heißt schließen schön grüße zurück stück übersicht überblick später nächste erklären ändern änderung anhänge anhänger verfügbar gültig ungültig löschen öffnen hinzufügen ausgewählt auswählen wählen zählen länge länder häufig fähig tätig täglich jährlich persönlich höhe hören gehört böse lösung größte fünf frühling früher führen grün gemäß außer außerdem maß spaß fuß schlüssel tür büro bücher prüfen einführung unterstützt benötigt geöffnet erhöhen völlig wörter mädchen käufer verkäufer geschäft qualität universität realität gebäude bäume träume räume ärger ähnlich ämter älter äußern öl österreich übung übrig müde süß kürzlich künftig rückgabe glück brücke lücke dünn schützen stützen nützlich nötig gewöhnlich königlich",
+    "fr": "été être même après très déjà voilà là où à élève école équipe étude état éviter écrire numéro général généralement sécurité société qualité université activité réalité priorité clé clés créer créé créée année journée idée entrée durée résumé résultat réponse répondre réservé réseau détail détails développer déplacer début dépôt élément élémentaire modèle problème système thème père mère frère première dernière manière matière lumière règle siècle pièce vérifier vérité préféré préférer présent présenter prévu français française leçon façon garçon reçu ça commençons fenêtre fête tête forêt intérêt arrêter prêt bientôt côté hôtel contrôle rôle tôt plutôt dû sûr sûre août goût coût connaître paraître boîte île maîtriser naître noël maïs naïf haïr supérieur intérieur extérieur médical matériel mélange célèbre événement légal légère théâtre âge bâtiment tâche château pâte grâce drôle dès accès succès progrès près exprès auprès français café marché privé publié modifié terminé vidéo",
+    "es": "está están más también así después según aquí allí además página página número números teléfono cómo qué quién cuándo dónde sólo día días todavía mañana año años niño niña señor señora español española pequeño pequeña compañía contraseña diseño enseñar añadir baño sueño tamaño información sección acción opción función sesión versión situación educación dirección atención canción razón corazón televisión menú único última último útil fácil difícil rápido rápida médico público pública música política república económico artículo título vehículo país raíz maíz café bebé sofá mamá papá será hará podrá tendrá dirá allá jamás detrás través francés inglés interés mes árbol área ángel éxito época índice sí mí tú él sé dé té avión camión jardín catálogo diálogo código método período básico clásico práctica técnico histórico vergüenza pingüino cigüeña",
+    "pt": "não são está estão também então até já só você vocês três mês português portuguesa inglês francês após através atrás ação ações informação informações atenção função opção opções versão sessão seção situação educação direção inscrição descrição solução questão razão coração mão mãe pão irmão irmã manhã amanhã avião João põe põem ações anões lições serviço serviços preço preços começar começo força cabeça criança espaço março açúcar página número números último última único útil fácil difícil rápido público pública música política república história memória série notícia início próprio próxima próximo médico código catálogo método período básico prática técnico histórico é às à àquele avó avô robô café pé fé será fará terá dirá lá cá será há país saída saúde conteúdo usuário usuários endereço português família família experiência ciência agência importância distância câmera ângulo âmbito você bebê ênfase êxito gêmeo índice área água águas",
+}
+#: Signs that correct text writes beside a word.
+BESIDE = frozenset("‘’“”„‚‹›«»–—…•€™†‡°©®§·¡¿\xa0\xad")
+#: Of these, what stands inside a word too.
+WITHIN = frozenset("’‘–—…·\xa0\xad")
 SIGNS = "‘’“”„‚‹›«»–—…•€™†‡‰¡¿£¥¢§°ºª©®±²³¹µ¶·¼½¾×÷№ ­​‎﻿ −≤≥"
 CONT_SIGNS = set("©®¢£¤¥¦§¨ª¬±²³¶¹º¼½¾¡¿°µ¯´¸·")
 
@@ -161,6 +175,7 @@ class Automaton:
         for g, by in letters.items():
             self.pairs.add_word(g, tuple(by))
         self.pairs.make_automaton()
+        self.triples, self.garbled_triples, self.letters = _western_table()
         #: a garbled accent: a foreign letter, capital or box sign, which can't stand inside a lower-case Latin word
         self.western: dict[str, list[tuple[str, str, str]]] = {}
         for c in ACCENTS:
@@ -174,6 +189,35 @@ class Automaton:
                         self.western.setdefault(g, []).append((true, enc, c))
 
 
+def _triples(word: str) -> list[str]:
+    """Each letter with an accent between its neighbours; a space is the edge of the word."""
+    w = f" {word} "
+    return [w[k - 1 : k + 2] for k in range(1, len(w) - 1) if not w[k].isascii()]
+
+
+def _western_table() -> tuple[dict[str, set[str]], dict[str, list[tuple[str, str, str, str]]], dict[str, frozenset[str]]]:
+    """(triple -> languages), (garbled triple -> [(bytes in, read as, language, letter)]), (language -> its letters)."""
+    plain: dict[str, set[str]] = {}
+    for lang, words in WORDS.items():
+        for w in words.split():
+            for form in (w, w.capitalize(), w.upper()):
+                for t in _triples(form):
+                    plain.setdefault(t, set()).add(lang)
+    table: dict[str, list[tuple[str, str, str, str]]] = {}
+    for t, langs in plain.items():
+        for true in WESTERN:
+            try:
+                data = t.encode(true)
+            except UnicodeEncodeError:
+                continue
+            for enc in dict.fromkeys([*WESTERN_READERS, *READ_AS]):
+                g = _decode(data, enc) if enc != true else None
+                if g and g[1] != t[1] and not g[1].isascii() and g not in plain and re.search("[A-Za-z]", g):
+                    table.setdefault(g, []).extend((true, enc, lang, t[1]) for lang in langs)
+    letters = {lang: frozenset(c for w in words.split() for c in w + w.upper() if not c.isascii()) for lang, words in WORDS.items()}
+    return plain, table, letters
+
+
 _built: list[Automaton] = []
 
 
@@ -245,6 +289,7 @@ def _unread(text: str) -> tuple[str, int, str]:
 
 
 SENTENCE = re.compile(r"[^\n.!?…]*[\n.!?…]*")
+WHITE = frozenset(" \t\r\n.,;:!?()[]\"'/-*_<>")
 NONASCII = re.compile(r"[^\x00-\x7f]")
 
 
@@ -316,6 +361,55 @@ def _western(text: str) -> tuple[str, int, str]:
     return "".join([*out, text[at:]]), n, f"{pair[0]} read as {pair[1]}"
 
 
+def _western_words(text: str) -> tuple[str, int, str]:
+    """Undo western letters read with another single-byte encoding by the frequent triples of the text's language: (text, spans, pair).
+
+    A sentence votes for a pair of encodings by its garbled triples, against those that the pair would spoil. A text of
+    no western language, as its function words tell, needs two of them. A sign beside a word is no vote.
+    """
+    auto = automaton()
+    spots = [(m.start(), f"{text[m.start() - 1] if m.start() and text[m.start() - 1] not in WHITE else ' '}{m[0]}{text[m.end()] if m.end() < len(text) and text[m.end()] not in WHITE else ' '}") for m in NONASCII.finditer(text)]
+    if not any(t in auto.garbled_triples for _, t in spots):
+        return text, 0, ""
+    lang = prose.language(text)
+    known = lang in WORDS
+    langs = {lang} if known else set(WORDS)
+    sentences = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
+    ends = [b for _, b in sentences]
+    votes: Counter[tuple[str, str]] = Counter()
+    hits: dict[tuple[int, tuple[str, str]], dict[int, str]] = {}
+    spoiled: dict[int, list[str]] = {}
+    for at, t in spots:
+        k = bisect_right(ends, at)
+        for true, enc, own, c in auto.garbled_triples.get(t, ()):
+            if own in langs:
+                hits.setdefault((k, (true, enc)), {})[at] = c
+        if not langs.isdisjoint(auto.triples.get(t, ())):
+            spoiled.setdefault(k, []).append(t[1])
+    for (k, pair), by in hits.items():
+        sure = sum(text[at] not in BESIDE or text[at] not in WITHIN and text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha() or text[at] in "‚„" and text[at - 1 : at].isalpha() for at in by)
+        against = sum(_reread(c, *pair) != c for c in spoiled.get(k, ()))
+        if sure and len(by) > against:
+            votes[pair] += sure
+    if not votes:
+        return text, 0, ""
+    order = {p: -n for n, p in enumerate((t, e) for t in WESTERN for e in dict.fromkeys([*WESTERN_READERS, *READ_AS]))}
+    pair = max(votes.items(), key=lambda kv: (kv[1], order[kv[0]]))[0]
+    if votes[pair] < (1 if known else 2):
+        return text, 0, ""
+    letters = frozenset().union(*(auto.letters[x] for x in langs))
+    to: dict[int, str] = {}
+    for at, t in spots:
+        own = hits.get((bisect_right(ends, at), pair))
+        if not own:
+            continue
+        c = own.get(at) or _reread(text[at], *pair)
+        inside = text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha()
+        if at in own or c in letters and text[at] not in letters and (inside or text[at] not in BESIDE):
+            to[at] = c
+    return "".join(to.get(k, c) for k, c in enumerate(text)), len(to), f"{pair[0]} read as {pair[1]}"
+
+
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
@@ -339,7 +433,7 @@ def repair(text: str) -> tuple[str, int, str, bool]:
             break
         total += n
         names.append(f"utf-8 read as {reader}")
-    for step in (_controls, _cyrillic_segments, _western):
+    for step in (_western_words, _controls, _cyrillic_segments, _western):
         text, n, name = step(text)
         if n:
             total += n

@@ -55,6 +55,29 @@ def test_signs_after_letters_stay(text):
     assert M.repair(text) == (text, 0, "", False)
 
 
+WEST = ["A informação da página não está em português e a opção também não.", "Der Überblick über die Größe ist für den Käufer möglich, wenn er die Tür öffnen kann.", "La información de la página está en el menú pequeño, según el señor.", "Le résumé de la pièce est après la première journée, et le problème est réservé."]
+
+
+@pytest.mark.parametrize("pair", [("cp1252", "cp1250"), ("cp850", "cp1252"), ("cp850", "cp1250"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437")])
+@pytest.mark.parametrize("text", WEST)
+def test_western_words(text, pair):
+    bad = M._decode(text.encode(pair[0]), pair[1])
+    fixed, n, *_ = M.repair(bad)
+    assert bad == text or n > 0 and fixed == text
+
+
+def test_accents_at_the_edges_of_words():
+    for word in ("está", "café"):
+        text = f"El señor de la casa {word} en el centro de la ciudad."
+        for pair in (("cp1252", "mac_roman"), ("cp1252", "cp850")):
+            assert M.repair(M._decode(text.encode(pair[0]), pair[1]))[0] == text
+
+
+@pytest.mark.parametrize("text", ["Der Zug nach Poznań und die Oper von Dvořák sind für alle.", "El vuelo a Brăila… y el «menú» – está aquí.", "Momoka’s mailbox skips Momoka’s list and Ana’s page.", "Наш новый ответ проверяет сайт и другой профиль в 5 случаях.", "Žluťoučký kůň úpěl ďábelské ódy.", "Zażółć gęślą jaźń, proszę o więcej."])
+def test_names_and_other_languages_stay(text):
+    assert M.repair(text) == (text, 0, "", False)
+
+
 def test_only_the_garbled_part_is_replaced():
     good = "Größe – café. "
     fixed, n, *_ = M.repair(good + M._decode("für Änderungen".encode(), "cp1252") + " und é")
