@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a side that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
+#: Most bytes of such a side.
+BROADCAST_BYTES = 32 << 20
 
 _local: list[str] = []
 
@@ -67,9 +69,33 @@ def site_key(domain: Column) -> Column:
     return F.when(key != "", key)
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted rows stay within `bound`; else the plan's own join is used."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when both the counted rows and the measured bytes stay within bounds; else the plan's own join is used."""
+    return F.broadcast(df) if fits(df, rows, size) else df
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most `rows` rows and `size` bytes (text and nested values measured, 16 bytes for any other)."""
+    plain = {"bigint", "int", "double", "float", "boolean", "date", "timestamp", "smallint", "tinyint"}
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        width = width + (F.lit(16) if kind in plain else F.coalesce(F.octet_length(c if kind in ("string", "binary") else c.cast("string")), F.lit(0)) + 16)
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return got.n <= rows and got.b <= size
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join a table with hot keys to one with a row a key, without all rows of a key meeting in one task.
+
+    The one-row side is broadcast when it was counted and measured small. Else each of its rows is copied `salts` times
+    and a key's rows of the other side are dealt over the copies by `spread`, a hash of something that differs among them.
+    """
+    if fits(one):
+        return many.join(F.broadcast(one), keys, how)
+    left = many.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "running") -> DataFrame:
