@@ -55,17 +55,23 @@ def line_text(line: str) -> str:
 
 
 class Page:
-    """Parallel lists of nodes and of text pieces. Node 0 is the root."""
+    """Parallel lists of nodes and of text pieces. Node 0 is the root.
 
-    __slots__ = ("lines", "tag", "parent", "attrs", "line", "hidden", "pieces", "size")
+    A node comes before what it holds, and `end` is the last node inside it, so that containment is two comparisons.
+    """
+
+    __slots__ = ("lines", "tag", "parent", "attrs", "line", "hidden", "pieces", "end")
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.tag, self.parent, self.attrs, self.line, self.hidden = ["#root"], [-1], [""], [0], [False]
         #: (node, line index, text, inside a link); the text of a line break element is "\n"
         self.pieces: list[tuple[int, int, str, bool]] = []
+        self.end: list[int] = []
 
     def attr(self, node: int, name: str) -> str | None:
+        if not self.attrs[node]:
+            return None
         for m in ATTR.finditer(self.attrs[node]):
             if m[1].lower() == name:
                 return html.unescape(m[2] or m[3] or m[4] or "")
@@ -76,6 +82,23 @@ class Page:
             yield node
             node = self.parent[node]
 
+    def inside(self, node: int, box: int) -> bool:
+        return box <= node <= self.end[box]
+
+    def nearest(self, tags: frozenset[str]) -> list[int]:
+        """Per node the nearest node around it, or itself, with one of these tags; 0 without."""
+        out = [0] * len(self.tag)
+        for n in range(1, len(out)):
+            out[n] = n if self.tag[n] in tags else out[self.parent[n]]
+        return out
+
+    def running(self, values: list[int]) -> list[int]:
+        """Running totals of a value per node: what a node holds is `total[end + 1] - total[node]`."""
+        out = [0]
+        for v in values:
+            out.append(out[-1] + v)
+        return out
+
     def signature(self, node: int) -> str:
         """Tag with its attributes as written: how a site's template names this block."""
         return " ".join([self.tag[node], *self.attrs[node].lower().split()])
@@ -87,14 +110,18 @@ def _out_of_sight(attrs: str) -> bool:
 
 
 def parse(raw: str) -> Page:
-    """Build the page tree. Any string gives a tree; nothing raises."""
+    """Build the page tree, in time linear in the text. Any string gives a tree; nothing raises."""
     page = Page()
     page.lines = raw.split("\n")
     starts, at = [0], -1
     while (at := raw.find("\n", at + 1)) >= 0:
         starts.append(at + 1)
     tags, parent, attrs, lines, hidden, pieces = page.tag, page.parent, page.attrs, page.line, page.hidden, page.pieces
-    stack, links, skip, last = [0], 0, None, 0
+    stack = [0]
+    open_at: dict[str, list[int]] = {}  # tag -> places on the stack where it is open
+    blocks: list[int] = []  # places of open block tags
+    ended: set[int] = set()  # links ended by another link while tags inside them are still open
+    links, skip, last = 0, None, 0
 
     def text(begin: int, end: int) -> None:
         chunk = raw[begin:end]
@@ -106,6 +133,36 @@ def parse(raw: str) -> Page:
                 pieces.append((stack[-1], row, part, links > 0))
             row += 1
 
+    def cut(k: int) -> None:
+        """Close what is open from place k on."""
+        nonlocal links
+        if k == len(stack) - 1 and not ended:  # the usual case: only the innermost tag
+            t = tags[stack.pop()]
+            open_at[t].pop()
+            if blocks and blocks[-1] == k:
+                blocks.pop()
+            links -= t == "a"
+            return
+        while len(stack) > k or stack[-1] in ended:
+            gone = stack.pop()
+            if gone in ended:
+                ended.discard(gone)
+                continue
+            t = tags[gone]
+            open_at[t].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            links -= t == "a"
+
+    def lowest(names, default: int = 0) -> int:
+        """The place of the innermost open tag of these names."""
+        best = default
+        for t in names:
+            p = open_at.get(t)
+            if p and p[-1] > best:
+                best = p[-1]
+        return best
+
     for m in TAG.finditer(raw):
         name = m[2]
         if skip:
@@ -120,130 +177,157 @@ def parse(raw: str) -> Page:
             continue
         name = name.lower()
         if m[1]:
-            stop = CLOSE_STOP.get(name, ())
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t == name:
-                    for gone in stack[k:]:
-                        links -= tags[gone] == "a"
-                    del stack[k:]
-                    break
-                if t in stop:
-                    break
+            at = open_at.get(name)
+            if at and (name not in CLOSE_STOP or lowest(CLOSE_STOP[name]) < at[-1]):
+                cut(at[-1])
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t == "p" or t in HEADINGS and name in HEADINGS:
-                    for gone in stack[k:]:
-                        links -= tags[gone] == "a"
-                    del stack[k:]
-                    break
-                if t in BLOCK:
-                    break
+        if name in CLOSES_P and blocks:
+            t = tags[stack[blocks[-1]]]
+            if t == "p" or t in HEADINGS and name in HEADINGS:
+                cut(blocks[-1])
         if name in IMPLIED:
             ends, stop = IMPLIED[name]
-            k = len(stack) - 1
-            while k > 0 and tags[stack[k]] not in stop:
-                if tags[stack[k]] in ends:
-                    for gone in stack[k:]:
-                        links -= tags[gone] == "a"
-                    del stack[k:]
-                k -= 1
+            held = [p for t in ends if (p := open_at.get(t))]
+            if held:
+                floor = lowest(stop)
+                at = min((p[k] for p in held if (k := bisect_right(p, floor)) < len(p)), default=0)
+                if at:
+                    cut(at)
         elif name == "a" and links:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "a":
-                    del stack[k]
-                    links -= 1
-                    break
+            ended.add(stack[open_at["a"].pop()])
+            links -= 1
+            if stack[-1] in ended:
+                cut(len(stack))
+        row = bisect_right(starts, m.start()) - 1
         if name == "br":
-            pieces.append((stack[-1], bisect_right(starts, m.start()) - 1, "\n", False))
+            pieces.append((stack[-1], row, "\n", False))
         tags.append(name)
         parent.append(stack[-1])
-        attrs.append(m[3])
-        lines.append(bisect_right(starts, m.start()) - 1)
         given = m[3]
+        attrs.append(given)
+        lines.append(row)
         hidden.append(hidden[stack[-1]] or name in UNSEEN or bool(given) and _out_of_sight(given))
         if name in VOID or given.endswith("/") and name in ("svg", "iframe"):
             continue
+        open_at.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append(len(tags) - 1)
         links += name == "a"
         if name in RAWTEXT:
             skip = name
     if last < len(raw):
         text(last, len(raw))
+    page.end = list(range(len(tags)))
+    for n in range(len(tags) - 1, 0, -1):
+        if page.end[n] > page.end[parent[n]]:
+            page.end[parent[n]] = page.end[n]
     return page
 
 
-def render(page: Page, keep: set[int] | None = None) -> str:
-    """All visible text (of the source lines in `keep`, when given) laid out as a reader sees it.
+class Block:
+    """A block as a reader sees it: `node` of the tree, `kind` (its tag, `cell` in a data table), its text pieces in order."""
 
-    A blank line parts paragraphs, headings and tables; list items start with "- "; cells of a table
-    row stand in columns as wide as their widest cell; `pre` keeps its white space.
+    __slots__ = ("node", "kind", "cell", "table", "pre", "parts", "rows", "nodes", "linked", "size")
+
+    def __init__(self, node: int, kind: str, cell: int, table: int, pre: bool) -> None:
+        self.node, self.kind, self.cell, self.table, self.pre = node, kind, cell, table, pre
+        self.parts: list[str] = []
+        self.rows: list[int] = []
+        self.nodes: list[int] = []
+        self.linked = self.size = 0
+
+    @property
+    def text(self) -> str:
+        if not self.pre:
+            return " ".join(self.parts)
+        out = self.parts[0]
+        for k in range(1, len(self.parts)):
+            out += ("\n" if self.rows[k] != self.rows[k - 1] else " ") + self.parts[k]
+        return out
+
+
+CELLS, TABLES, PRE = frozenset(["td", "th"]), frozenset(["table"]), frozenset(["pre"])
+HOLDS_BLOCKS = frozenset("div p h1 h2 h3 h4 li ul form section".split())
+ROW = frozenset(["tr"])
+
+
+def layout(page: Page, keep: set[int] | None = None) -> list[Block]:
+    """The visible text (of the source lines in `keep`, when given) as blocks in reading order.
+
+    A block ends where a block tag begins or ends and at line breaks; text that stands bare in a container is cut at
+    source lines. Table cells whose table holds no blocks of its own are cells of a data table.
     """
-    out: list[str] = []
-    rows: dict[int, list[list[str]]] = {}
-    blocks: list[tuple[int, str, str]] = []  # (block node, kind, text)
+    tags, hidden = page.tag, page.hidden
+    around, cells, tables, pres = page.nearest(BLOCK), page.nearest(CELLS), page.nearest(TABLES), page.nearest(PRE)
+    holds = page.running([t in HOLDS_BLOCKS for t in tags])
+    out: list[Block] = []
     prev, breaks = None, 0
-    for node, row, chunk, _ in page.pieces:
-        if page.hidden[node] or keep is not None and row not in keep:
+    for node, row, chunk, link in page.pieces:
+        if hidden[node] or keep is not None and row not in keep:
             continue
-        block, kind, table, cell, pre = 0, "p", 0, 0, False
-        for n in page.up(node):
-            t = page.tag[n]
-            pre |= t == "pre"
-            if not block and t in BLOCK:
-                block, kind = n, t
-            if t in ("td", "th") and not cell:
-                cell = n
-            if t == "table":
-                table = n
-                break
         if chunk == "\n":
             breaks += 1
             continue
-        chunk = html.unescape(chunk)
+        pre = pres[node] > 0
+        if "&" in chunk:
+            chunk = html.unescape(chunk)
         chunk = chunk.rstrip() if pre else " ".join(chunk.split())
         if not chunk:
             continue
-        key = (block, cell, (row if kind in CONTAINER and kind != "td" else -1, 0 if pre else breaks), row)
-        if prev is not None and key[:3] == prev[:3]:
-            b, k, t = blocks[-1]
-            blocks[-1] = (b, k, f"{t}\n{chunk}" if pre and prev[3] != row else f"{t} {chunk}")
-        else:
-            blocks.append((block, f"cell {table}" if cell and _data_table(page, table) else kind, chunk))
-        prev = key
-    widths: dict[str, list[int]] = {}
-    for block, kind, chunk in blocks:  # cells of data tables, row by row
-        if kind.startswith("cell "):
-            line = next((n for n in page.up(block) if page.tag[n] == "tr"), 0)
-            rows.setdefault(line, []).append([kind, chunk])
-    for cells in rows.values():
-        for k, (table, chunk) in enumerate(cells):
-            w = widths.setdefault(table, [])
-            w.extend([0] * (k + 1 - len(w)))
-            w[k] = max(w[k], len(chunk))
-    done, was = set(), ""
-    for block, kind, chunk in blocks:
-        if kind.startswith("cell "):
-            line = next((n for n in page.up(block) if page.tag[n] == "tr"), 0)
-            if line in done:
+        block, table = around[node], tables[node]
+        cell = cells[node] if cells[node] > table else 0
+        kind = tags[block] if block else "p"
+        key = (block, cell, row if kind in CONTAINER and kind != "td" else -1, 0 if pre else breaks)
+        if key != prev:
+            data = cell and not holds[page.end[table] + 1] - holds[table + 1]
+            out.append(Block(block, "cell" if data else kind, cell, table, pre))
+            prev = key
+        b = out[-1]
+        b.parts.append(chunk)
+        b.rows.append(row)
+        b.nodes.append(node)
+        b.size += len(chunk)
+        b.linked += len(chunk) * link
+    return out
+
+
+def render(page: Page, keep: set[int] | None = None) -> str:
+    """All visible text (of the source lines in `keep`, when given) laid out as a reader sees it.
+
+    A blank line parts paragraphs, headings and tables; list items start with "- "; cells of a table
+    row stand in columns as wide as their widest cell; `pre` keeps its white space.
+    """
+    return render_blocks(page, layout(page, keep))
+
+
+def render_blocks(page: Page, blocks: list[Block]) -> str:
+    trs = page.nearest(ROW)
+    rows: dict[int, list[tuple[int, str]]] = {}
+    widths: dict[int, list[int]] = {}
+    for b in blocks:
+        if b.kind == "cell":
+            row = rows.setdefault(trs[b.node], [])
+            w = widths.setdefault(b.table, [])
+            text = b.text
+            w.extend([0] * (len(row) + 1 - len(w)))
+            w[len(row)] = max(w[len(row)], len(text))
+            row.append((b.table, text))
+    out: list[str] = []
+    done: set[int] = set()
+    was = ""
+    for b in blocks:
+        kind = b.kind
+        if kind == "cell":
+            row = trs[b.node]
+            if row in done:
                 continue
-            done.add(line)
-            chunk = "  ".join(c.ljust(widths[t][k]) for k, (t, c) in enumerate(rows[line])).rstrip()
-            kind = "cell"
-        elif kind == "li":
-            chunk = f"- {chunk}"
+            done.add(row)
+            text = "  ".join(c.ljust(widths[t][k]) for k, (t, c) in enumerate(rows[row])).rstrip()
+        else:
+            text = f"- {b.text}" if kind == "li" else b.text
         if out and not (kind == was and kind in ("li", "cell")):
             out.append("")
-        out.append(chunk)
+        out.append(text)
         was = kind
     return "\n".join(out)
-
-
-def _data_table(page: Page, table: int) -> bool:
-    """A table whose cells hold no blocks of their own; others only place parts of the page."""
-    for n in range(table + 1, len(page.tag)):
-        if page.tag[n] in ("div", "p", "h1", "h2", "h3", "h4", "li", "ul", "form", "section") and table in page.up(n):
-            return False
-    return True

@@ -1,30 +1,36 @@
 """Template residue and error-page text (problem 6).
 
-Body lines outside code are aligned by site and place in the page's tree: a place whose text differs between records
-is a slot of the template. A slot that still holds a variable name, a default or nothing where other records hold
-text is residue; a placeholder in a place that never differs is residue too, unless the text names it as an example
-("write {{ name }} here"). Beside that, pages whose whole body is made of stock lines or sentences (those that several sites or many addresses
-show, known error, notice and filler wordings, stack traces) are error or filler pages.
+Slots: body lines outside code that stand in the same place of a site's pages are aligned by their tokens. Tokens that nearly
+all of them hold are the template, what stands between two such tokens is a slot. A slot that keeps a variable's name, a
+default or nothing where other records hold a value is residue. A name in the marks of a template language is residue
+wherever it stands, also where every record shows it, unless the text names it as an example ("write {{ name }} here").
+
+Whole pages: sentences with their slots (numbers, addresses, ids) left out are counted over sites. A page of nothing but
+sentences that several sites show, or of standard messages of servers and interpreters, is an error page, notice or default page.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.functions.common import written
+from crawlweave.functions.common import salted_join, small, written
 from crawlweave.llm import pagetree as P
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.prose import STOP, tokens
+from crawlweave.llm.prose import STOP, sentences, tokens
 
 # Ways in which template languages write a place to be filled.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\{%[^%\n]{1,80}%\}|<%[^%\n]{1,80}%>|\$\{[^{}\n]{1,80}\}|#\{[^{}\n]{1,80}\}|\[\[[\w .:-]{1,60}\]\]|\[%[^%\n]{1,80}%\]"
-    r"|%%[\w .-]{1,60}%%|@@[\w .-]{1,60}@@|(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?![\w%])|__[A-Z][A-Z_]{2,40}__|[{\[][a-z]+(?:[_.][a-z]+)+[}\]]|[{\[][A-Z][A-Z_]{3,40}[}\]]"
-    r"|[{\[](?:insert|enter|your|add|put)\b[^}\]\n]{1,60}[}\]]|<(?:insert|enter|your)\b[^>\n]{1,60}>",
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%[^%\n]+%>|\$\{[^{}\n]+\}|#\{[^{}\n]+\}|\[\[[\w .:-]+\]\]|\[%[^%\n]+%\]"
+    r"|%%[\w .-]+%%|@@[\w .-]+@@|(?<![\w%])%[A-Za-z_][\w.]+%(?![\w%])|__[A-Z][A-Z_]{2,}__|[{\[][a-z]+(?:[_.][a-z]+)+[}\]]|[{\[][A-Z][A-Z_]{3,}[}\]]"
+    r"|[{\[](?:insert|enter|your|add|put)\b[^}\]\n]+[}\]]|<(?:insert|enter|your)\b[^>\n]+>",
 )
 SIGN = re.compile(r"[{\[<%@_]")
 # Words right before a placeholder that is written about, not left unfilled.
@@ -33,38 +39,37 @@ NAMED = re.compile(
     r"|escrib\w+|escrev\w+|utiliz\w+|reemplaz\w+|substitu\w+|variável|marcador|напишите|пишите|введите|используйте|замените|переменн\w+)[\s«„“\"'‘`(]*$",
     re.I,
 )
+#: Bracketed names that are variables only where other records hold a value in their place.
+DOUBTFUL = re.compile(r"[{\[<]\s*[A-Za-z][\w. -]*[}\]>]|\$[A-Za-z_]\w*")
 # What unset variables print as.
 UNSET = frozenset(["undefined", "null", "nan", "[object object]", "#ref!", "#n/a", "(null)"])
-# Wordings of error messages, script notices and filler.
-STOCK = re.compile(
+UNSET_SIGN = re.compile(r"undefined|null|nan|object\]|#ref!|n/a", re.I)
+UNSET_SPAN = re.compile(r"[\[(#]?\w[\w/ ]*?[\])!]|[\w/]+")
+EMPTY = re.compile(r"(?<=\S)\s+(?=[,.)])|\(\s*\)|\"\s*\"|:\s*$")
+# Standard wordings of servers, browsers and interpreters: status codes and reasons, script notices, traces.
+STANDARD = re.compile(
     r"\b(error|fehler|erreur|erro|http)\s*[45]\d\d\b|ошибка\s*[45]\d\d|^\W*[45]\d\d\b\W*(-|–|:|not|page|gone|forbidden|$|\w+ \w+$)|\bnot found\b|nicht gefunden|introuvable|no se encontr|no encontrad|не найден|não encontrad"
     r"|access denied|permission denied|forbidden|zugriff verweigert|accès refusé|acceso denegado|доступ запрещ|acesso negado"
-    r"|account (has been|is|was) suspended|bad gateway|gateway time-?out|service (is )?unavailable|internal (server )?error|error interno|erreur interne|interner fehler|внутренняя ошибка|erro interno|something went wrong"
-    r"|could not connect|cannot connect|unable to connect|service is down"
-    r"|(enable|activate|turn on|without|requires?) (java)?scripts?\b|javascript|\bscripts? (and|et|und|y|e|и) cookies?|\bscripts? et les témoins|skripte und cookies|скрипты и cookie|checking your browser"
-    r"|^traceback\b|^fatal error|^warning: |\bsql error\b|stack trace|^\W*#\d+ \S+\(|unhandled exception"
-    r"|under construction|coming soon|в разработке|en obras|en construcción|en construction|im aufbau|em construção"
-    r"|your (content|text) here|sample text|placeholder text|insert a short description|edit or delete this|fresh site|just another|пример текста|будет ваш текст|votre texte ici|texte d.exemple|ihr text hier|hier steht später|blindtext|su texto va|texto de muestra|seu texto"
-    r"|\basdf\b|^untitled\b|^new page$|^heading \d+$|^title$|^oops\b"
-    r"|removed or never existed|could not find what you|link may be old|contact the webmaster|try again later|team has been told|check the address|gone fishing",
-    re.I,
-)
-# Every STOCK wording holds one of these, so that running text is passed over quickly.
-STOCK_SIGN = re.compile(
-    r"[45]\d\d|not found|gefunden|introuvable|encontr|найден|denied|forbidden|verweigert|refusé|denegado|запрещ|negado|suspended|gateway|unavailable|intern|внутренняя|wrong|connect|is down"
-    r"|script|skript|скрипт|cookie|témoins|checking|traceback|fatal|warning|sql|stack|\#\d|unhandled|under|coming|разработке|obras|constru|aufbau|text|insert|edit|fresh|just another|текст|hier steht"
-    r"|asdf|untitled|new page|heading|title|oops|removed|could not|link may|webmaster|try again|team has|check the|fishing",
+    r"|bad gateway|gateway time-?out|service (is )?unavailable|internal (server )?error|error interno|erreur interne|interner fehler|внутренняя ошибка|erro interno"
+    r"|(enable|activate|turn on|without|requires?) (java)?scripts?\b|javascript"
+    r"|^traceback\b|^fatal error|^warning: |\bsql error\b|stack trace|^\W*#\d+ \S+\(|unhandled exception",
     re.I,
 )
+# Every STANDARD wording holds one of these, or a status code, so that running text is passed over quickly.
+STANDARD_SIGNS = "not found,gefunden,introuvable,encontr,найден,denied,forbidden,verweigert,refusé,denegado,запрещ,negado,gateway,unavailable,intern,внутренняя,script,traceback,fatal,warning,sql,stack,unhandled".split(",")
+NUMBER_SIGN = re.compile(r"[45]\d\d|#\d")
+# The words of the usual filler text.
 FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
-#: Lines of more words are told sentence by sentence, so that a message followed by prose is not one.
-STOCK_WORDS = 22
 CUT = re.compile(r"(?<=[.!?…])\s+")
 MASK = re.compile(r"\S*[/()\"_.:#]\S*\w\S*|\S*\d\S*")
+TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Full sentences from which a body that stands at one address a site is taken for an article that sites copy.
+ARTICLE = 2
+VALUE, BLANK = 1, 2
 
 SCHEMA = (
-    "item_id long, site string, path long, words int, filler int, long boolean, known double, whole long, lines array<struct<line:long,words:int,stock:boolean>>,"
-    " held array<struct<place:long,value:long>>, open array<struct<place:long,value:long,blank:boolean,sure:boolean>>"
+    "item_id long, site string, path long, words int, filler int, article boolean, open boolean, whole long, units array<struct<line:long,words:int,known:boolean>>,"
+    " recs array<struct<place:long,form:long,text:string,cands:array<struct<lo:int,hi:int,kind:int>>>>, held array<struct<place:long,gap:boolean>>"
 )
 
 
@@ -72,8 +77,16 @@ def _h(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def standard_sign(low: str) -> bool:
+    return any(w in low for w in STANDARD_SIGNS) or NUMBER_SIGN.search(low) is not None
+
+
+def _code(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
 def masked(text: str) -> str:
-    """A line without what differs between two uses of one message: numbers, addresses, ids."""
+    """A sentence without what differs between two uses of one message: numbers, addresses, ids."""
     return " ".join(MASK.sub(" ", text.lower()).split())
 
 
@@ -82,92 +95,176 @@ def unfilled(text: str) -> bool:
     return any(not NAMED.search(text[: m.start()]) for m in PLACEHOLDER.finditer(text))
 
 
+def candidates(text: str) -> list[dict]:
+    """Parts of a line that may be open slots, as token positions (the tokens lo + 1 to hi): names, defaults, nothing."""
+    found = []
+    if "$" in text or SIGN.search(text):
+        found += [(m.start(), m.end(), VALUE) for r in (PLACEHOLDER, DOUBTFUL) for m in r.finditer(text)]
+    if UNSET_SIGN.search(text):
+        found += [(m.start(), m.end(), VALUE) for m in UNSET_SPAN.finditer(text) if m[0].lower() in UNSET]
+    for m in EMPTY.finditer(text):
+        at = m.start() + (m[0][0] in '(":')
+        found.append((at, at, BLANK))
+    if not found:
+        return []
+    spans = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    begins, ends = [a for a, _ in spans], [b for _, b in spans]
+    out = []
+    for a, b, kind in found:
+        lo = bisect_right(ends, a)
+        out.append(dict(lo=lo, hi=lo if kind == BLANK else max(lo, bisect_left(begins, b)), kind=kind))
+    return out
+
+
 def page_row(item, site, url, split):
-    page, texts = split.page, split.texts
-    body = {n - 1 for n in split.body}
-    where: dict[int, str] = {}
-    code: set[int] = set()
-    unset: set[int] = set()
-    for node, row, piece, _ in page.pieces:
-        if row in body and piece != "\n":
-            path = [page.tag[a] for a in page.up(node)]
-            if "pre" in path or "code" in path:
-                code.add(row)
-            where.setdefault(row, "/".join(path))  # the first piece's place stands for the line
-            if piece.strip().lower() in UNSET:
-                unset.add(row)
-    blanks = [n for n, t in enumerate(page.tag) if t in ("b", "i", "em", "strong", "dd", "h1", "h2") and page.line[n] in body and not page.hidden[n]]
-    filled = {a for node, _, piece, _ in page.pieces if piece.strip() for a in page.up(node)}
-    empty = [n for n in blanks if n not in filled and not any(page.parent[k] == n for k in range(n + 1, min(n + 4, len(page.tag))))]
-    lines, held, opened, filler = [], [], [], 0
-    known = set()
-    rows = sorted(body - code)
-    cut = [tokens(texts[row]) for row in rows]
+    page = split.page
+    body = {n - 1 for n in split.body} | {n - 1 for n in split.closing}
+    code: dict[int, list[str]] = {}
+    lines: dict[int, list[str]] = {}
+    where: dict[int, int] = {}
+    pre = page.nearest(frozenset(["pre", "code"]))
+    for b in split.blocks:
+        for node, row, piece in zip(b.nodes, b.rows, b.parts):
+            if row in body:
+                where.setdefault(row, node)  # the first piece's place stands for the line
+                (code if pre[node] else lines).setdefault(row, []).append(piece)
+    paths: dict[int, str] = {}
+
+    def place(node: int) -> str:
+        """Tags from the root; shared prefixes are built once."""
+        chain = []
+        while node > 0 and node not in paths:
+            chain.append(node)
+            node = page.parent[node]
+        got = paths.get(node, "")
+        for n in reversed(chain):
+            # Deep nesting is folded into a hash, so that the path's length stays bounded.
+            got = paths[n] = f"{got if len(got) < 256 else _h(got)}/{page.tag[n]}"
+        return got
+
+    texts = {row: (" ".join(" ".join(parts).split()) if row in code else split.text(row)) for row, parts in lines.items()}
+    bodies = [texts[row] for row in sorted(texts) if texts[row]]
+    cut = [tokens(x) for x in bodies]
     words = sum(map(len, cut))
-    bodies = [texts[row] for row in rows]
-    # Pages of short lines are compared line by line; others sentence by sentence, if any sentence is a known wording.
-    tall = any(len(ws) > STOCK_WORDS and len(tokens(masked(t))) > STOCK_WORDS for t, ws in zip(bodies, cut))
-    units = [(t, len(ws)) for t, ws in zip(bodies, cut)]
-    if tall:
-        units = [(x, len(tokens(x))) for t, n in units for x in (CUT.split(t) if n > STOCK_WORDS else [t])]
-    told = [(n <= STOCK_WORDS or tall) and STOCK.search(t) is not None for t, n in units] if not tall or STOCK_SIGN.search("\n".join(bodies)) else []
-    if not tall or any(told):
-        for (t, n), known_wording in zip(units, told):
-            bare = masked(t)
-            lines.append((_h(bare), len(tokens(bare)), not bare or known_wording))
-    part = sum(n for (_, n), known_wording in zip(units, told) if known_wording) / max(1, words)
-    whole = "\n".join(map(masked, bodies) if lines else bodies)
-    for ws in cut:
-        if not FILLER.isdisjoint(ws):
-            known.update(ws)
-    for row, ws in zip(rows, cut):
+    sign = standard_sign("\n".join(bodies).lower())
+    units, whole = [], []
+    for text in bodies:
+        for part in CUT.split(text):
+            bare = masked(part)
+            whole.append(bare)
+            units.append(dict(line=_h(bare), words=len(tokens(bare)), known=not bare or sign and standard_sign(part.lower()) and STANDARD.search(part) is not None))
+    known = {w for ws in cut if not FILLER.isdisjoint(ws) for w in ws}
+    filler = sum(len(ws) for ws in cut if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws))
+    opened, recs = False, []
+    for row in sorted(texts):
         text = texts[row]
-        place = _h(f"{site}|{where.get(row, '')}")
-        held.append((place, _h(text)))
-        if SIGN.search(text) and PLACEHOLDER.search(text) or row in unset:
-            opened.append((place, _h(text), False, unfilled(text)))
-        if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws):
-            filler += len(ws)
-    for n in empty:
-        opened.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), 0, True, False))
-    for n in blanks:
-        if n in filled:
-            held.append((_h(f"{site}|blank|{page.tag[n]}|{'/'.join(page.tag[a] for a in page.up(n))}"), n))
-    return [(item, site, _h((url or '').split('#')[0].split('?')[0]), words, filler, tall, part, _h(whole), [dict(line=a, words=b, stock=c) for a, b, c in lines], [dict(place=a, value=b) for a, b in held], [dict(place=a, value=b, blank=c, sure=d) for a, b, c, d in opened])]
-
-
-def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, known_share: float = 0.25, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
-    """(item_id, reason) of pages to exclude; reason: `slot`, `blank`, `filler` or `message`.
-
-    slot: a placeholder stands unfilled, in whatever place; a default (`null`), or a placeholder that the text names as an
-    example, counts only in a place whose text differs between the site's records (or that only this record has).
-    blank: an emphasised place is empty that holds text in `blank_share` of at least 20 uses. filler: half of the body
-    is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside) stand in stock lines: known
-    wordings, or lines that pages of `min_sites` sites show. In a body with a line of more than 22 words sentences count
-    in place of that line, at any length, also those that `min_paths` addresses of one site show; then known wordings must
-    hold `known_share` of the words, or the whole body must stand at several addresses a site, as articles don't. A long body
-    without known wording is a message where `min_sites` sites show it so. Addresses count without query and fragment.
-    Code is never looked at; a message followed by running text is no stock line.
-    Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
+        if not text:
+            continue
+        if SIGN.search(text) and PLACEHOLDER.search(text) and unfilled(text):
+            opened = True
+        spot = f"{site}|{place(where[row])}"
+        recs.append(dict(place=_h(spot), form=_h(f"{spot}|{TOKEN.search(text)[0]}"), text=text, cands=candidates(text)))
+    held = []
+    if body:
+        filled = page.running([0] * len(page.tag))
+        own = [0] * len(page.tag)
+        for node, _, piece, _ in page.pieces:
+            own[node] += bool(piece.strip())
+        filled = page.running(own)
+        for n, t in enumerate(page.tag):
+            if t in ("b", "i", "em", "strong", "dd", "h1", "h2") and page.line[n] in body and not page.hidden[n]:
+                gap = filled[page.end[n] + 1] == filled[n]
+                if not gap or page.end[n] == n:
+                    held.append(dict(place=_h(f"{site}|blank|{place(n)}"), gap=gap))
+    full = 0
+    for x in bodies:
+        full += sentences(x)
+        if full >= ARTICLE:
+            break
+    return [(item, site, _h((url or "").split("#")[0].split("?")[0]), words, filler, full >= ARTICLE and not any(u["known"] and u["words"] for u in units), opened, _h("\n".join(whole)), units, recs, held)]
+
+
+def _token_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toks = [[_code(t) for t in TOKEN.findall(x)] for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("g"), batch.column("cands"), pa.array(toks, pa.list_(pa.int32()))], ["row", "g", "cands", "toks"])
+
+
+def open_slots(pages: DataFrame, blank_share: float, min_uses: int, constant: float = 0.9) -> DataFrame:
+    """(row) of the records that leave a slot open which other records of their place fill.
+
+    Only places with a candidate take part. Lines of a place, and those of them that begin alike, are aligned: tokens that the
+    share `constant` of at least 3 lines hold are the template. Counts merge map-side, so a hot site is no hot group.
+    """
+    recs = pages.select("row", F.explode("recs").alias("r")).select("row", "r.*")
+    marked = recs.where("size(cands) > 0").select(F.explode(F.array("place", "form")).alias("g")).distinct()
+    marked = written(marked, "marked-places")
+    lines = recs.select("row", "text", F.to_json("cands").alias("cands"), F.explode(F.array("place", "form")).alias("g"))
+    lines = salted_join(lines, marked, ["g"], F.xxhash64("row"), how="inner")
+    lines = lines.select("row", "g", "cands", "text").mapInArrow(_token_codes, "row long, g long, cands string, toks array<int>")
+    lines = written(lines.withColumn("cands", F.from_json("cands", "array<struct<lo:int,hi:int,kind:int>>")), "aligned")
+    uses = lines.groupBy("g").agg(F.count("*").alias("uses")).where("uses >= 3")
+    held = lines.select("g", F.explode(F.array_distinct("toks")).alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    fixed = held.join(small(uses), "g").where(F.col("n") >= constant * F.col("uses")).groupBy("g").agg(F.collect_set("t").alias("fixed"))  # no more than a line has tokens, / 0.9
+    groups = uses.join(fixed, "g", "left").select("g", "uses", F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
+    cut = salted_join(lines, groups, ["g"], F.xxhash64("row"), how="inner")
+    # Positions of template tokens, with the line's edges; the slots lie between neighbours.
+    cut = cut.withColumn("at", F.expr("concat(array(0), filter(transform(toks, (t, i) -> if(array_contains(fixed, t), i + 1, -1)), p -> p > 0), array(size(toks) + 1))"))
+    slots = cut.select(
+        "row", "g", "uses", "cands",
+        F.explode(F.expr("transform(sequence(1, size(at) - 1), k -> struct(at[k - 1] as a, at[k] as b, if(at[k - 1] = 0, 0L, xxhash64(toks[at[k - 1] - 1])) as l, if(at[k] > size(toks), 0L, xxhash64(toks[at[k] - 1])) as r, xxhash64(slice(toks, at[k - 1] + 1, at[k] - at[k - 1] - 1)) as v))")).alias("s"),
+    ).select("row", "g", "uses", "cands", "s.*")
+    slots = written(slots, "slots")
+    stats = slots.groupBy("g", "l", "r").agg(F.sum(F.expr("if(b > a + 1, 1L, 0L)")).alias("filled"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    mine = slots.where("size(cands) > 0").select("row", "g", "l", "r", "a", "b", F.explode("cands").alias("c")).where("c.lo = a and c.hi = b - 1")
+    told = mine.join(stats, ["g", "l", "r"])
+    value = F.expr(f"c.kind = {VALUE} and least <> most")
+    blank = F.expr(f"c.kind = {BLANK} and n >= {int(min_uses)} and filled >= {float(blank_share)} * n")
+    return told.where(value | blank).select("row").distinct()
+
+
+def page_rows(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
+    """What `residue_of` needs of every page with text; a row a page."""
+    return map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col)
+
+
+def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, min_uses: int = 20, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
+    """(item_id, reason) of pages to exclude; reason: `slot`, `filler` or `message`.
+
+    slot: a placeholder stands unfilled, in whatever place; a default (`null`), a bracketed word, or a placeholder that the
+    text names as an example, counts only as the whole value of a slot that other records of the site fill otherwise; nothing
+    counts in a slot, or an emphasised place, that holds text in `blank_share` of at least `min_uses` uses.
+    filler: half of the body is filler. message: all but `rest_words` words of the body (numbers, addresses and ids aside)
+    stand in sentences that pages of `min_sites` sites show, or in standard messages; or the whole body stands at `min_paths`
+    addresses of one site. A body of 2 full sentences without a standard message that only ever comes whole, at one address a
+    site, is an article that sites copy and no message. Sentences and bodies count at any length. Addresses count without query and fragment.
+    Code is never looked at. Null and empty pages, and pages without body, give no rows. Rows that come twice give one.
     """
-    pages = written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "residue")
-    # Places that differ between records: smallest and largest hash and the count merge map-side, whatever a site's size.
-    slots = pages.select(F.explode("held").alias("s")).groupBy("s.place").agg(F.min("s.value").alias("least"), F.max("s.value").alias("most"), F.count("*").alias("uses"))
-    open_ = pages.select("item_id", F.explode("open").alias("o")).select("item_id", "o.*")
-    gaps = open_.where("blank").groupBy("place").agg(F.count("*").alias("gaps"))
-    aligned = open_.join(slots, "place", "left").join(gaps, "place", "left")
-    slot = aligned.where(F.expr("not blank and (sure or least <> most or uses = 1)")).select("item_id", F.lit("slot").alias("reason"))
-    blank = aligned.where(F.expr(f"blank and uses + gaps >= 20 and uses >= {float(blank_share)} * (uses + gaps)")).select("item_id", F.lit("blank").alias("reason"))
-    filler = pages.where("filler > 0 and filler * 2 >= words").select("item_id", F.lit("filler").alias("reason"))
-    lines = pages.where("size(lines) > 0").select("item_id", "row", "site", "path", "long", "known", "whole", F.explode("lines").alias("l")).select("item_id", "row", "site", "path", "long", "known", "whole", "l.*")
-    places = lines.where("not stock").groupBy("line", "site").agg(F.count_distinct("path").alias("paths")).groupBy("line").agg(F.count("site").alias("sites"), F.max("paths").alias("paths"))
-    shown = places.where((F.col("sites") >= min_sites) | (F.col("paths") >= min_paths)).select("line", (F.col("sites") >= min_sites).alias("wide"))
-    # Whole bodies: an article stands at one address of a site, a template at many.
-    copies = pages.where("long and words > 0").groupBy("whole", "site").agg(F.count_distinct("path").alias("paths")).groupBy("whole").agg(F.count("site").alias("sites"), F.sum("paths").alias("paths"), F.max("paths").alias("most"))
-    copied = copies.where((F.col("paths") >= 2 * F.col("sites")) & ((F.col("sites") >= min_sites) | (F.col("most") >= min_paths))).select("whole", (F.col("sites") >= min_sites).alias("everywhere"))
-    told = lines.join(shown, "line", "left").withColumn("told", F.col("stock") | F.when(F.col("long"), F.col("wide").isNotNull()).otherwise(F.coalesce("wide", F.lit(False)) & (F.col("words") <= STOCK_WORDS)))
-    rest = told.groupBy("row", "item_id", "long", "known", "whole").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
-    rest = rest.where(F.col("any") & (F.col("rest") <= rest_words)).join(copied, "whole", "left")
-    message = rest.where(F.expr(f"not long or known >= {float(known_share)} or everywhere is not null")).select("item_id", F.lit("message").alias("reason"))
-    message = message.unionByName(pages.where("long").join(copied.where("everywhere"), "whole", "left_semi").select("item_id", F.lit("message").alias("reason")))
-    return slot.unionByName(blank).unionByName(filler).unionByName(message).groupBy("item_id").agg(F.max("reason").alias("reason"))
+    pages = written(page_rows(items, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "residue")
+    return residue_of(pages, min_sites, blank_share, rest_words, min_paths, min_uses)
+
+
+def residue_of(pages: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, min_uses: int = 20) -> DataFrame:
+    """`residue` of written page rows with a unique `row`."""
+    why = lambda df, reason: df.select("item_id", F.lit(reason).alias("reason"))
+    sure = why(pages.where("open"), "slot")
+    ids = pages.select("row", "item_id")
+    slot = why(ids.join(small(open_slots(pages, blank_share, min_uses)), "row"), "slot")
+    held = pages.where("size(held) > 0").select("item_id", F.explode("held").alias("h")).select("item_id", "h.*")
+    gaps = held.groupBy("place").agg(F.count("*").alias("n"), F.sum(F.col("gap").cast("long")).alias("gaps")).where(f"gaps > 0 and n >= {int(min_uses)} and n - gaps >= {float(blank_share)} * n").select("place", F.lit(True).alias("filled"))
+    blank = why(salted_join(held.where("gap"), gaps, ["place"], F.xxhash64("item_id")).where("filled"), "slot")
+    filler = why(pages.where("filler > 0 and filler * 2 >= words"), "filler")
+    # Whole bodies: the addresses of each site that show it.
+    copies = pages.where("words > 0").groupBy("whole", "site").agg(F.count_distinct("path").alias("paths"))
+    copies = copies.groupBy("whole").agg(F.count("site").alias("sites"), F.sum("paths").alias("paths"), F.max("paths").alias("most"))
+    template = copies.where((F.col("most") >= min_paths) | (F.col("sites") >= min_sites) & (F.col("paths") >= 2 * F.col("sites"))).select("whole", F.lit(True).alias("template"))
+    own = salted_join(pages.where("words > 0").select("row", "item_id", "site", "whole", "article", "units"), template, ["whole"], F.xxhash64("row"))
+    units = own.where("size(units) > 0").select("row", "item_id", "site", "whole", "article", F.explode("units").alias("u")).select("row", "item_id", "site", "whole", "article", "u.*")
+    # A sentence that always comes within the same long body is a copied article's.
+    shown = units.where("not known").groupBy("line", "site").agg(F.min("whole").alias("w0"), F.max("whole").alias("w1"), F.min("article").alias("copied"))
+    shown = shown.groupBy("line").agg(F.count("site").alias("sites"), F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("copied").alias("copied"))
+    shown = shown.where((F.col("sites") >= min_sites) & ((F.col("w0") != F.col("w1")) | ~F.col("copied"))).select("line", F.lit(True).alias("shown"))
+    told = salted_join(units, shown, ["line"], F.xxhash64("row")).withColumn("told", F.col("known") | F.col("shown").isNotNull())
+    rest = told.groupBy("row", "item_id").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
+    message = why(rest.where(F.col("any") & (F.col("rest") <= rest_words)), "message").unionByName(why(own.where("template"), "message"))
+    return sure.unionByName(slot).unionByName(blank).unionByName(filler).unionByName(message).groupBy("item_id").agg(F.max("reason").alias("reason"))

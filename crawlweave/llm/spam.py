@@ -2,7 +2,8 @@
 
 A page gives its frequency spectrum (how many words occur how often), about ten rows instead of one a word. SQL
 windows turn it into ranks and fit ln(frequency) on ln(rank). Prose pages give, per language and length class, the
-usual slope, residual and curve; pages far off on any of them, without running sentences, are spam.
+usual slope, residual and curve; a page far off on any of them is spam. Sentences tell which pages serve as the
+reference of prose, and an exact check afterwards leaves out lists with running text beside them.
 """
 
 from __future__ import annotations
@@ -13,24 +14,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.functions.common import written
-from crawlweave.llm import prose
+from crawlweave.llm import prose, residue
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.residue import FILLER, PLACEHOLDER, STOCK, STOCK_WORDS
 
-SCHEMA = "item_id long, lang string, words int, sentences int, residue boolean, spectrum array<struct<freq:int,types:int>>, curve array<double>"
+SCHEMA = residue.SCHEMA + ", lang string, sentences int, spectrum array<struct<freq:int,types:int>>, curve array<double>"
 #: Parts of the curve: function words, then the other words by rank 1, 2, 3-4, 5-8, ... , 65 and beyond.
 BINS = 9
-#: Full sentences from which a page counts as prose; they are counted no further.
+#: Full sentences from which a page counts as prose.
 PROSE = 3
 
 
 def page_row(item, site, url, split):
-    lines = [split.texts[n - 1] for n in split.body]
+    lines = [split.text(n - 1) for n in sorted([*split.body, *split.closing])]
     cut = [prose.tokens(x) for x in lines]
     ws = [w for x in cut for w in x]
     if not ws:
         return ()
-    lang = prose.language("\n".join(split.texts))
+    lang = prose.language("\n".join(b.text for b in split.blocks))
     own = prose.SETS.get(lang, prose.STOP)
     counts = Counter(ws)
     curve = [0.0] * BINS
@@ -41,20 +41,14 @@ def page_row(item, site, url, split):
         else:
             rank += 1
             curve[min(BINS - 1, 1 + (rank - 1).bit_length())] += n
-    full = 0
-    for x in lines:
-        full += prose.sentences(x, own)
-        if full >= PROSE:  # more don't matter
-            break
-    brief = [(x, len(t)) for x, t in zip(lines, cut) if len(t) <= STOCK_WORDS]
-    told = sum(n for x, n in brief if STOCK.search(x)) if full < PROSE and 2 * sum(n for _, n in brief) >= len(ws) else 0
-    left = PLACEHOLDER.search("\n".join(lines)) is not None or len(FILLER & counts.keys()) > 1 or told * 2 >= len(ws)
+    full = sum(prose.sentences(x, own) for x in lines)
     spectrum = [dict(freq=f, types=t) for f, t in sorted(Counter(counts.values()).items())]
-    return [(item, lang, len(ws), full, left, spectrum, [c / len(ws) for c in curve])]
+    rest = residue.page_row(item, site, url, split)[0]
+    return [(*rest[:3], len(ws), *rest[4:], lang, full, spectrum, [c / len(ws) for c in curve])]
 
 
 def curves(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
-    """(row, item_id, lang, size, words, sentences, residue, curve, slope, residual): the fitted curve of every page body."""
+    """The page rows with size, slope and residual of the fitted curve of every page body; `residue`'s columns ride along."""
     pages = written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "spectra")
     points = pages.select("row", F.explode("spectrum").alias("p")).select("row", "p.freq", "p.types")
     w = Window.partitionBy("row").orderBy(F.desc("freq"))
@@ -67,19 +61,24 @@ def curves(items: DataFrame, id_col: str = "item_id", url_col: str = "url", doma
     vx, vy, cxy = F.expr("sxx - sx*sx/n"), F.expr("syy - sy*sy/n"), F.expr("sxy - sx*sy/n")
     slope = F.when(vx > 1e-9, cxy / vx).otherwise(F.lit(0.0))
     fit = fit.select("row", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), vy - F.when(vx > 1e-9, cxy * cxy / vx).otherwise(F.lit(0.0))) / F.col("n")).alias("residual"))
-    size = F.least(F.lit(12), F.floor(F.log2("words"))).cast("int")
+    size = F.floor(F.log2("words")).cast("int")
     return pages.drop("spectrum").join(fit, "row").withColumn("size", size)
 
 
 def spam_scores(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """`curves` with `slope_z`, `residual_z` and `divergence` from prose of the language at comparable length."""
     page = written(curves(items, id_col, url_col, domain_col, text_col), "curves")
-    prose_pages = page.where(f"sentences >= {PROSE} and not residue")
+    return scores_of(page)
+
+
+def scores_of(page: DataFrame, least: int = 20) -> DataFrame:
+    """Scores of written `curves`. Where a class has fewer than `least` prose pages the language's, the class's, then all prose stands in."""
+    prose_pages = page.where(f"sentences >= {PROSE} and not open and filler = 0")
     stats = [F.count("*").alias("m"), F.avg("slope").alias("ms"), F.stddev_pop("slope").alias("ss"), F.avg("residual").alias("mr"), F.stddev_pop("residual").alias("sr"), F.array(*[F.avg(F.col("curve")[k]) for k in range(BINS)]).alias("mean")]
-    # At most languages x 13 classes rows: a bound that doesn't grow with the data.
-    near = prose_pages.groupBy("lang", "size").agg(*stats).where("m >= 5")
-    lang = prose_pages.groupBy("lang").agg(*stats).where("m >= 5")
-    every = prose_pages.groupBy("size").agg(*stats)
+    # Languages x length classes (powers of two): a bound that doesn't grow with the data.
+    near = prose_pages.groupBy("lang", "size").agg(*stats).where(F.col("m") >= least)
+    lang = prose_pages.groupBy("lang").agg(*stats).where(F.col("m") >= least)
+    every = prose_pages.groupBy("size").agg(*stats).where(F.col("m") >= least)
     whole = prose_pages.agg(*stats)
     cols = ["ms", "ss", "mr", "sr", "mean"]
     out = page
@@ -93,18 +92,23 @@ def spam_scores(items: DataFrame, id_col: str = "item_id", url_col: str = "url",
     return out.select("*", z("slope", "ms", "ss", 0.05).alias("slope_z"), z("residual", "mr", "sr", 0.02).alias("residual_z"), kl.alias("divergence")).drop("ref")
 
 
-def spam_pages(items: DataFrame, z: float = 4.0, divergence: float = 0.25, least_words: int = 12, most_sentences: int = 1, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
+def off_prose(z: float = 6.0, divergence: float = 0.25, spread: float = 10.0):
+    """The condition on `scores_of` that a curve is not prose; short texts stray further by chance, as `spread` / words allows for."""
+    return (F.abs("slope_z") > z) | (F.abs("residual_z") > z) | (F.col("divergence") > divergence + spread / F.col("words"))
+
+
+def spam_pages(items: DataFrame, z: float = 6.0, divergence: float = 0.25, spread: float = 10.0, most_sentences: int | None = 1, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """(item_id) of the pages whose body is keywords, tags or links in place of sentences.
 
     A page is flagged when its slope or residual lies `z` deviations off same-language prose of its length class, or
-    its curve diverges by more than `divergence` (relative entropy); then it must hold at most `most_sentences` full
-    sentences, `least_words` words, and be no template residue. Where a class has fewer than 5 prose pages the
-    language's, then the class's, then all prose stands in; without any prose no page is flagged.
+    its curve diverges by more than `divergence` + `spread` / words (relative entropy), and `residue` doesn't tell it to be an error
+    page, filler or an unfilled template. Of those, pages with more than `most_sentences` full sentences (None: no such check)
+    are lists with running text and no spam. Without any prose no page is flagged.
     Null and empty pages and pages without body are never flagged. Rows that come twice give one row.
     """
-    s = spam_scores(items, id_col, url_col, domain_col, text_col)
-    off = (F.abs("slope_z") > z) | (F.abs("residual_z") > z) | (F.col("divergence") > divergence)
-    few = (F.col("sentences") <= most_sentences) & (F.col("words") >= least_words) & ~F.col("residue")
-    # One sentence is allowed beside the keywords, not as the whole body.
-    bare = F.col("curve")[0] < 0.2
-    return s.where(off & few & bare).select("item_id").distinct()
+    page = written(curves(items, id_col, url_col, domain_col, text_col), "curves")
+    off = scores_of(page).where(off_prose(z, divergence, spread))
+    if most_sentences is not None:
+        off = off.where(F.col("sentences") <= most_sentences)
+    off = off.select("item_id").distinct()
+    return off.join(residue.residue_of(page).select("item_id"), "item_id", "left_anti")
