@@ -26,6 +26,13 @@ from pyspark.sql import functions as F
 
 from crawlweave.llm import prose
 
+# Frequent letter pairs of Ukrainian beside those, and of Greek.
+UKRAINIAN = "ні ті ві рі лі мі ді сі пі бі кі зі ін ік ів ід із іс іт їн їх єт єм ює ії ою ую ають ську ський ьк цьк йс".split()
+GREEK = "ου αι το ει τη ον ιν αν να στ τα εν ρο τι κα τε ατ νο σε με πο ης ος ας ια απ ερ ετ υν δε αρ λο μα ντ ικ λε ρα θα μο πα οι σα γι ισ μέ ού ασ ησ υτ τό ίν αυ πλ νι κό κε είμ ιμ εν απ βά στ ηκ λά θο ολ ογ στή ής".split()
+# Single-byte encodings of Greek text.
+GREEK_IN = "cp1253 iso8859-7".split()
+# Single-byte encodings of Central European text.
+CENTRAL = "cp1250 iso8859-2".split()
 # Encodings UTF-8 bytes are read with by mistake.
 READ_AS = "cp1252 latin-1 cp1250 iso8859-2 cp1251 koi8-r cp866 mac_cyrillic mac_roman cp437 cp850 cp1254 iso8859-15 cp1253 cp1257".split()
 # Single-byte encodings of Cyrillic text, and what they are read as besides each other.
@@ -46,8 +53,11 @@ WORDS = {
     "de": "für über können möglich müssen natürlich während würde wäre hätte größe größer große straße weiß heißt schließen schön grüße zurück stück übersicht überblick später nächste erklären ändern änderung anhänge anhänger verfügbar gültig ungültig löschen öffnen hinzufügen ausgewählt auswählen wählen zählen länge länder häufig fähig tätig täglich jährlich persönlich höhe hören gehört böse lösung größte fünf frühling früher führen grün gemäß außer außerdem maß spaß fuß schlüssel tür büro bücher prüfen einführung unterstützt benötigt geöffnet erhöhen völlig wörter mädchen käufer verkäufer geschäft qualität universität realität gebäude bäume träume räume ärger ähnlich ämter älter äußern öl österreich übung übrig müde süß kürzlich künftig rückgabe glück brücke lücke dünn schützen stützen nützlich nötig gewöhnlich königlich",
     "fr": "été être même après très déjà voilà là où à élève école équipe étude état éviter écrire numéro général généralement sécurité société qualité université activité réalité priorité clé clés créer créé créée année journée idée entrée durée résumé résultat réponse répondre réservé réseau détail détails développer déplacer début dépôt élément élémentaire modèle problème système thème père mère frère première dernière manière matière lumière règle siècle pièce vérifier vérité préféré préférer présent présenter prévu français française leçon façon garçon reçu ça commençons fenêtre fête tête forêt intérêt arrêter prêt bientôt côté hôtel contrôle rôle tôt plutôt dû sûr sûre août goût coût connaître paraître boîte île maîtriser naître noël maïs naïf haïr supérieur intérieur extérieur médical matériel mélange célèbre événement légal légère théâtre âge bâtiment tâche château pâte grâce drôle dès accès succès progrès près exprès auprès français café marché privé publié modifié terminé vidéo",
     "es": "está están más también así después según aquí allí además página página número números teléfono cómo qué quién cuándo dónde sólo día días todavía mañana año años niño niña señor señora español española pequeño pequeña compañía contraseña diseño enseñar añadir baño sueño tamaño información sección acción opción función sesión versión situación educación dirección atención canción razón corazón televisión menú único última último útil fácil difícil rápido rápida médico público pública música política república económico artículo título vehículo país raíz maíz café bebé sofá mamá papá será hará podrá tendrá dirá allá jamás detrás través francés inglés interés mes árbol área ángel éxito época índice sí mí tú él sé dé té avión camión jardín catálogo diálogo código método período básico clásico práctica técnico histórico vergüenza pingüino cigüeña",
+    "pl": "się że być może też więc już są będzie będą może można proszę każdy każda każde który która które którzy również także ponieważ żeby człowiek mężczyzna dziękuję książka książki godność miłość wartość możliwość większość ilość część części cześć wiadomość treść źródło źródła źle łódź łatwo łącznie połączenie wyłącznie główna główny główne stały stała małe mały była było były miał miała chciał chciała dał mógł mogą mówi mówić późno później wcześniej dzień dziś dzięki gdzież jeśli jeżeli cię mię imię pięć dziesięć sześć dziewięć tysiąc miesiąc ząb rąk ręka ręce święto świat światło śnieg środa środek wśród oś góra góry górny król królowa sól ból wóz żona życie życzenia żółty żółć żaden dużo duży różne różny róża gęś jaźń koń końca końcu dłoń cień słońce słowo słów ćwiczenie zażyć pomylić przecież zgłoś zgłoszenie hasło hasła użytkownik użytkownika użycie ścieżka ściana łóżko żądanie błąd błędy błędu zarządzanie własny własność".replace("  ", " "),
     "pt": "não são está estão também então até já só você vocês três mês português portuguesa inglês francês após através atrás ação ações informação informações atenção função opção opções versão sessão seção situação educação direção inscrição descrição solução questão razão coração mão mãe pão irmão irmã manhã amanhã avião João põe põem ações anões lições serviço serviços preço preços começar começo força cabeça criança espaço março açúcar página número números último última único útil fácil difícil rápido público pública música política república história memória série notícia início próprio próxima próximo médico código catálogo método período básico prática técnico histórico é às à àquele avó avô robô café pé fé será fará terá dirá lá cá será há país saída saúde conteúdo usuário usuários endereço português família família experiência ciência agência importância distância câmera ângulo âmbito você bebê ênfase êxito gêmeo índice área água águas",
 }
+#: Signs of correct text that garbled ones are read back to.
+WRITTEN = frozenset("‘’“”«»–—…€œŒ")
 #: Signs that correct text writes beside a word.
 BESIDE = frozenset("‘’“”„‚‹›«»–—…•€™†‡°©®§·¡¿\xa0\xad")
 #: Of these, what stands inside a word too.
@@ -74,10 +84,13 @@ def _one(b: int, enc: str) -> str:
 
 
 def _alphabet() -> list[str]:
-    latin = [chr(c) for c in range(0x80, 0x180)] + list("ƒˆ˜")
-    greek = [chr(c) for c in range(0x391, 0x3CA) if chr(c).isalpha()]
-    cyrillic = [chr(c) for c in range(0x400, 0x460)] + ["Ґ", "ґ"]
-    return latin + greek + cyrillic + list(SIGNS)
+    """Every letter and mark that UTF-8 writes with two bytes, and the signs."""
+    return [chr(c) for c in range(0x80, 0x800) if c < 0xA0 or unicodedata.category(chr(c)) != "Cn"] + list(SIGNS)
+
+
+def _usual(c: str) -> bool:
+    """Latin, Greek and Cyrillic letters and signs."""
+    return c < "ƀ" or c in "ƒˆ˜Ґґ" or "Ά" <= c <= "ώ" or "Ѐ" <= c <= "џ" or c in SIGNS
 
 
 # Signs that stand after letters in correct text.
@@ -130,16 +143,18 @@ def _by_rule(text: str) -> list[tuple[int, int, dict[str, str]]]:
     if not found:
         return []
     out = []
-    if any(_cyrillic(text[a]) for a, _ in found) and _cyrillic_segments(text)[1]:  # its letters make such sequences by chance
+    if any(_cyrillic(text[a]) for a, _ in found) and _segments(text)[1]:  # its letters make such sequences by chance
         found = {k: by for k, by in found.items() if not _cyrillic(text[k[0]])}
+    begins, ends = {a for a, _ in found}, {b for _, b in found}
     for (a, b), by in found.items():
         seq, before = text[a:b], text[a - 1] if a else " "
         mixed = not seq.isalpha() or any(x.islower() and y.isupper() for x, y in zip(seq, seq[1:])) or seq[:2] == "ЁЯ" or "Ͱ" <= seq[0] < "Ѐ" and not "Ͱ" <= seq[1] < "Ѐ"
         plain = all(c in ORDINARY for c in seq[1:]) and (seq[0] != "â" or before.isalpha())
-        if not mixed or plain:
+        beside = a in ends or b in begins
+        if (not mixed or plain) and not beside:
             continue
-        sure = {e: c for e, c in by.items() if len(seq) == 4 or unicodedata.category(c)[0] == "S"}
-        side = {e for (x, y), other in found.items() if y == a or x == b for e in other} if len(sure) < len(by) else set()
+        sure = {} if not mixed or plain else {e: c for e, c in by.items() if len(seq) == 4 or unicodedata.category(c)[0] == "S"}
+        side = {e for (x, y), other in found.items() if y == a or x == b for e in other} if beside and len(sure) < len(by) else set()
         keep = sure | {e: c for e, c in by.items() if e in side}
         if keep:
             out.append((a, b, keep))
@@ -157,20 +172,28 @@ class Automaton:
                 if g and len(g) > 1 and g != c:
                     multi.setdefault(g, {}).setdefault(enc, c)
         multi.setdefault("â€", {})["cp1252"] = "”"
+        #: sequences of rarer scripts: taken only beside another sequence of the reader
+        rare = {g for g, by in multi.items() if not any(_usual(c) for c in by.values())}
         self.bytes_of, self.start = _classes()
         self.multi = ahocorasick.Automaton()
         for g, by in multi.items():
-            self.multi.add_word(g, (len(g), by))
+            self.multi.add_word(g, (len(g), by, g in rare))
         self.multi.make_automaton()
         letters: dict[str, set] = {}
-        for p in dict.fromkeys(PAIRS):
-            for form in (p, p.title()):
-                letters.setdefault(form, set()).add(("", ""))
-                for true in CYRILLIC:
-                    for enc in CYRILLIC + LATIN_READERS:
-                        g = _decode(form.encode(true), enc) if enc != true else None
-                        if g and g != form:
-                            letters.setdefault(g, set()).add((true, enc))
+        for pairs, trues, readers in ((PAIRS + UKRAINIAN, CYRILLIC, CYRILLIC + LATIN_READERS + ["cp1253"]), (GREEK, GREEK_IN, GREEK_IN + LATIN_READERS + CYRILLIC)):
+            for p in dict.fromkeys(pairs):
+                letters.setdefault(p.upper(), set()).add(("", "upper"))
+                for form in (p, p.title()):
+                    letters.setdefault(form, set()).add(("", ""))
+                    for true in trues:
+                        try:
+                            data = form.encode(true)
+                        except UnicodeEncodeError:
+                            continue
+                        for enc in readers:
+                            g = _decode(data, enc) if enc != true else None
+                            if g and g != form:
+                                letters.setdefault(g, set()).add((true, enc))
         self.pairs = ahocorasick.Automaton()
         for g, by in letters.items():
             self.pairs.add_word(g, tuple(by))
@@ -205,7 +228,7 @@ def _western_table() -> tuple[dict[str, set[str]], dict[str, list[tuple[str, str
                     plain.setdefault(t, set()).add(lang)
     table: dict[str, list[tuple[str, str, str, str]]] = {}
     for t, langs in plain.items():
-        for true in WESTERN:
+        for true in WESTERN if langs - {"pl"} else CENTRAL:
             try:
                 data = t.encode(true)
             except UnicodeEncodeError:
@@ -229,7 +252,12 @@ def automaton() -> Automaton:
 
 def _matches(text: str) -> list[tuple[int, int, dict[str, str]]]:
     """Leftmost-longest matches of the multi-character garbles: (start, end, {reader: character})."""
-    listed = [(end - n + 1, end + 1, by) for end, (n, by) in automaton().multi.iter_long(text)]
+    got = [(end - n + 1, end + 1, by, rare) for end, (n, by, rare) in automaton().multi.iter_long(text)]
+    listed = []
+    for k, (a, b, by, rare) in enumerate(got):
+        if rare and not any(0 <= j < len(got) and (got[j][1] == a or got[j][0] == b) and not by.keys().isdisjoint(got[j][2]) for j in (k - 1, k + 1)):
+            continue
+        listed.append((a, b, by))
     rule = _by_rule(text)
     if not rule:
         return listed
@@ -293,47 +321,127 @@ WHITE = frozenset(" \t\r\n.,;:!?()[]\"'/-*_<>")
 NONASCII = re.compile(r"[^\x00-\x7f]")
 
 
-def _cyrillic_segments(text: str) -> tuple[str, int, str]:
-    """Undo one single-byte encoding read as another, sentence by sentence: (text, replaced spans, pair).
+RUN = re.compile(r"[^\x00-\x7f]+")
+# Words of one letter.
+SINGLE = frozenset("иИвВсСкКуУоОаАяЯіІйЙзЗηΗοΟ")
 
-    A sentence is decided by its own letter pairs; once the pair of encodings is known, its shorter sentences follow.
-    """
-    auto, parts, votes = automaton().pairs, [], Counter()
-    for m in SENTENCE.finditer(text):
-        seg = m[0]
-        foreign = len(NONASCII.findall(seg))
-        hits: Counter[tuple[str, str]] = Counter()
-        if foreign >= 3:
-            for _, by in auto.iter(seg):
-                hits.update(by)
-        plain = hits.pop(("", ""), 0)
-        parts.append((seg, hits, plain))
-        if foreign >= 8 and hits:
-            pair, best = max(hits.items(), key=lambda kv: (kv[1], -CYRILLIC.index(kv[0][0]), kv[0][1]))
-            if best >= 4 and best > 2 * plain and best >= 0.22 * foreign:
-                votes[pair] += best
-    if not votes:
-        return text, 0, ""
-    pair = max(votes.items(), key=lambda kv: (kv[1], -CYRILLIC.index(kv[0][0]), kv[0][1]))[0]
-    out, n = [], 0
-    for seg, hits, plain in parts:
-        fixed = _reread(seg, *pair) if hits[pair] >= 2 and hits[pair] > 2 * plain else seg
-        n += fixed != seg
-        out.append(fixed)
-    return "".join(out), n, f"{pair[0]} read as {pair[1]}"
 
+def _segments(text: str) -> tuple[str, int, str]:
+    """Undo one single-byte encoding of Cyrillic or Greek read as another, run by run: (text, replaced spans, pair).
 
-def _reread(seg: str, true: str, enc: str) -> str | None:
+    Every run of foreign characters counts the letter pairs that are frequent after re-reading against those frequent as it
+    stands. Neighbouring runs that speak for one pair of encodings are a garbled stretch if they hold enough of them; only
+    its runs are replaced, so correct words beside it stay.
+    """
+    runs = [(m.start(), m.end()) for m in RUN.finditer(text)]
+    if not runs:
+        return text, 0, ""
+    begins = [a for a, _ in runs]
+    hits: list[Counter[tuple[str, str]] | None] = [None] * len(runs)
+    plain, upper = [0] * len(runs), [0] * len(runs)
+    for end, by in automaton().pairs.iter(text):
+        k = bisect_right(begins, end) - 1
+        if k < 0 or runs[k][1] <= end:
+            continue
+        for pair in by:
+            if pair[0]:
+                if hits[k] is None:
+                    hits[k] = Counter()
+                hits[k][pair] += 1
+            elif pair[1]:
+                upper[k] += 1
+            else:
+                plain[k] += 1
+    total: Counter[tuple[str, str]] = Counter()
+    for h, n in zip(hits, plain):
+        if h:
+            total.update({p: c - n for p, c in h.items() if c > n})
+    order = lambda p: ([*CYRILLIC, *GREEK_IN].index(p[0]), p[1])
+    best = (0, None, [])
+    for pair, n in sorted(total.items(), key=lambda kv: (-kv[1], order(kv[0])))[:8]:
+        if n < 2:
+            break
+        chosen = _stretches(text, runs, hits, plain, upper, pair)
+        score = sum((hits[k] or {}).get(pair, 0) - 2 * _wrong(_reread(text[slice(*runs[k])], *pair)) for k in chosen)
+        if score > best[0]:
+            best = (score, pair, chosen)
+    _, pair, chosen = best
+    if not pair:
+        return text, 0, ""
+    out, at = [], 0
+    for k in chosen:
+        a, b = runs[k]
+        out += [text[at:a], _reread(text[a:b], *pair)]
+        at = b
+    return "".join([*out, text[at:]]), len(chosen), f"{pair[0]} read as {pair[1]}"
+
+
+def _wrong(run: str) -> int:
+    """Signs inside a word and capitals after small letters: what a wrong reading leaves."""
+    return sum((x.islower() and y.isupper()) + (x.isalpha() and not y.isalpha() and y not in BESIDE) + (not x.isalpha() and x not in BESIDE and y.isalpha()) for x, y in zip(run, run[1:]))
+
+
+def _stretches(text: str, runs: list[tuple[int, int]], hits: list, plain: list[int], upper: list[int], pair: tuple[str, str]) -> list[int]:
+    """The runs to re-read with this pair of encodings."""
+    # A run inside a word of ASCII letters is an accent, no word of its own.
+    inside = [text[a - 1 : a].isascii() and text[a - 1 : a].isalpha() or text[b : b + 1].isascii() and text[b : b + 1].isalpha() for a, b in runs]
+    gain = [-1 if inner else (h[pair] if h else 0) - n for h, n, inner in zip(hits, plain, inside)]
+    strange = [_odd(text[a:b], pair[1]) for a, b in runs]
+    out: list[int] = []
+    k = 0
+    while k < len(runs):
+        if gain[k] <= 0:
+            k += 1
+            continue
+        last = j = k
+        while j < len(runs) and gain[j] >= 0 and (j == k or "\n" not in text[runs[j - 1][1] : runs[j][0]]):
+            if gain[j] > 0:
+                last = j
+            j += 1
+        own = range(k, last + 1)
+        score, size = sum(gain[i] for i in own), sum(b - a for a, b in runs[k : last + 1])
+        found = sum(h[pair] for i in own if (h := hits[i]))
+        if found >= 0.22 * size and score > sum(upper[i] for i in own) and (score >= 4 or score >= 2 and size >= 4 and all(strange[i] for i in own)):
+            first = k
+            # Words too short to speak for themselves follow their neighbours.
+            while first and gain[first - 1] == 0 and first - 1 not in out and _follows(text, runs[first - 1], pair, strange[first - 1]):
+                first -= 1
+            while last + 1 < len(runs) and gain[last + 1] == 0 and _follows(text, runs[last + 1], pair, strange[last + 1]):
+                last += 1
+            out.extend(range(first, last + 1))
+        k = max(j, last + 1)
+    return sorted(set(out))
+
+
+def _odd(run: str, reader: str) -> bool:
+    """Whether no correct text writes this run: four foreign Latin letters in a row, or a capital after a small letter."""
+    if _cyrillic(run[0]) or "Ͱ" <= run[0] < "Ѐ":
+        return len(run) > 2 and sum(x.islower() and y.isupper() for x, y in zip(run, run[1:])) > 0
+    return len(run) >= 4
+
+
+def _follows(text: str, span: tuple[int, int], pair: tuple[str, str], odd: bool) -> bool:
+    """Whether a run without frequent pairs belongs to the garbled stretch beside it."""
+    run = text[span[0] : span[1]]
+    again = _reread(run, *pair)
+    if again == run or not all(_cyrillic(c) or "Ͱ" <= c < "Ѐ" or not c.isalpha() for c in again):
+        return False
+    latin = not any(_cyrillic(c) or "Ͱ" <= c < "Ѐ" for c in run)
+    if len(run) == 1:
+        return again in SINGLE and (latin or run not in SINGLE) or not again.isalpha() and latin
+    return latin and again[1:].islower() or odd or again.islower() and run.isupper()
+
+
+def _reread(seg: str, true: str, enc: str) -> str:
     """Characters that `enc` has are read again as `true`; ASCII and others stay."""
     out = []
     for c in seg:
-        if c.isascii():
-            out.append(c)
-            continue
-        try:
-            out.append(c.encode(enc).decode(true))
-        except UnicodeError:
-            out.append(c)
+        if not c.isascii():
+            try:
+                c = (c.encode("latin-1") if "\x80" <= c < "\xa0" else c.encode(enc)).decode(true)
+            except UnicodeError:
+                pass
+        out.append(c)
     return "".join(out)
 
 
@@ -371,31 +479,40 @@ def _western_words(text: str) -> tuple[str, int, str]:
     spots = [(m.start(), f"{text[m.start() - 1] if m.start() and text[m.start() - 1] not in WHITE else ' '}{m[0]}{text[m.end()] if m.end() < len(text) and text[m.end()] not in WHITE else ' '}") for m in NONASCII.finditer(text)]
     if not any(t in auto.garbled_triples for _, t in spots):
         return text, 0, ""
-    lang = prose.language(text)
-    known = lang in WORDS
-    langs = {lang} if known else set(WORDS)
     sentences = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
     ends = [b for _, b in sentences]
-    votes: Counter[tuple[str, str]] = Counter()
-    hits: dict[tuple[int, tuple[str, str]], dict[int, str]] = {}
-    spoiled: dict[int, list[str]] = {}
-    for at, t in spots:
-        k = bisect_right(ends, at)
-        for true, enc, own, c in auto.garbled_triples.get(t, ()):
-            if own in langs:
-                hits.setdefault((k, (true, enc)), {})[at] = c
-        if not langs.isdisjoint(auto.triples.get(t, ())):
-            spoiled.setdefault(k, []).append(t[1])
-    for (k, pair), by in hits.items():
-        sure = sum(text[at] not in BESIDE or text[at] not in WITHIN and text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha() or text[at] in "‚„" and text[at - 1 : at].isalpha() for at in by)
-        against = sum(_reread(c, *pair) != c for c in spoiled.get(k, ()))
-        if sure and len(by) > against:
-            votes[pair] += sure
-    if not votes:
-        return text, 0, ""
-    order = {p: -n for n, p in enumerate((t, e) for t in WESTERN for e in dict.fromkeys([*WESTERN_READERS, *READ_AS]))}
-    pair = max(votes.items(), key=lambda kv: (kv[1], order[kv[0]]))[0]
-    if votes[pair] < (1 if known else 2):
+    order = {p: -n for n, p in enumerate((t, e) for t in [*WESTERN, *CENTRAL] for e in dict.fromkeys([*WESTERN_READERS, *READ_AS]))}
+
+    def vote(langs: set[str]) -> tuple[int, tuple[str, str] | None, dict]:
+        """The pair of encodings with the most votes of these languages' triples, and its hits by sentence."""
+        votes: Counter[tuple[str, str]] = Counter()
+        hits: dict[tuple[int, tuple[str, str]], dict[int, str]] = {}
+        spoiled: dict[int, list[str]] = {}
+        for at, t in spots:
+            k = bisect_right(ends, at)
+            for true, enc, own, c in auto.garbled_triples.get(t, ()):
+                if own in langs:
+                    hits.setdefault((k, (true, enc)), {})[at] = c
+            if not langs.isdisjoint(auto.triples.get(t, ())):
+                spoiled.setdefault(k, []).append(t[1])
+        for (k, pair), by in hits.items():
+            sure = sum(text[at] not in BESIDE or text[at] not in WITHIN and text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha() or text[at] in "‚„" and text[at - 1 : at].isalpha() for at in by)
+            against = sum(_reread(c, *pair) != c for c in spoiled.get(k, ()))
+            if sure and len(by) > against:
+                votes[pair] += sure
+        pair = max(votes.items(), key=lambda kv: (kv[1], order[kv[0]]))[0] if votes else None
+        return votes[pair], pair, hits
+
+    # The text's own language tells by one triple; another one needs two, twice as many, and more than stand right.
+    lang = prose.language(text)
+    langs = {lang} if lang in WORDS else set(WORDS)
+    n, pair, hits = vote(langs)
+    if lang in WORDS:
+        other = vote(set(WORDS))
+        if other[0] > max(1, 2 * n, sum(t in auto.triples for _, t in spots)):
+            langs = set(WORDS)
+            n, pair, hits = other
+    if pair is None or n < (1 if len(langs) == 1 else 2):
         return text, 0, ""
     letters = frozenset().union(*(auto.letters[x] for x in langs))
     to: dict[int, str] = {}
@@ -405,7 +522,7 @@ def _western_words(text: str) -> tuple[str, int, str]:
             continue
         c = own.get(at) or _reread(text[at], *pair)
         inside = text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha()
-        if at in own or c in letters and text[at] not in letters and (inside or text[at] not in BESIDE):
+        if at in own or c in letters and text[at] not in letters and (inside or text[at] not in BESIDE) or c in WRITTEN and text[at] not in BESIDE and text[at] not in letters:
             to[at] = c
     return "".join(to.get(k, c) for k, c in enumerate(text)), len(to), f"{pair[0]} read as {pair[1]}"
 
@@ -414,31 +531,57 @@ CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
 def _controls(text: str) -> tuple[str, int, str]:
-    """C1 controls are quotes, dashes and the like of Windows text read as latin-1."""
-    text, n = CONTROL.subn(lambda m: _decode(m[0].encode("latin-1"), "cp1252"), text)
-    return text, n, "cp1252 read as latin-1"
+    """C1 controls beside ASCII are quotes, dashes and the like of Windows text read as latin-1; others stay."""
+    n = 0
+
+    def back(m: re.Match) -> str:
+        nonlocal n
+        a, b = m.span()
+        sides = [text[a - 1 : a], text[b : b + 1]]
+        if all(x and not x.isascii() for x in sides) or any(not x.isascii() and not x.islower() for x in sides):
+            return m[0]
+        n += 1
+        return _decode(m[0].encode("latin-1"), "cp1252")
+
+    return CONTROL.sub(back, text), n, "cp1252 read as latin-1"
 
 
 def repair(text: str) -> tuple[str, int, str, bool]:
-    """(restored text, replaced spans, encodings, damaged): damaged says that bytes were lost and can't come back.
+    """(restored text, replaced spans, encodings, damaged): damaged says that some of the text can't be brought back.
 
     Text without garbled sequences is returned as it is, with 0 spans.
     """
     if text.isascii():
         return text, 0, "", False
     total, names = 0, []
+
+    def note(n: int, name: str) -> None:
+        nonlocal total
+        total += n
+        if name not in names:
+            names.append(name)
+
+    for _ in range(8):  # stretches of other pairs of encodings
+        text, n, name = _segments(text)
+        if not n:
+            break
+        note(n, name)
     while True:  # text can be garbled several times over; every pass makes it shorter
         text, n, reader = _unread(text)
         if not n:
             break
-        total += n
-        names.append(f"utf-8 read as {reader}")
-    for step in (_western_words, _controls, _cyrillic_segments, _western):
-        text, n, name = step(text)
+        note(n, f"utf-8 read as {reader}")
+    text, n, name = _western_words(text)
+    if n:
+        note(n, name)
+    else:
+        text, n, name = _western(text)
         if n:
-            total += n
-            names.append(name)
-    return text, total, ", ".join(names), "�" in text
+            note(n, name)
+    text, n, name = _controls(text)
+    if n:
+        note(n, name)
+    return text, total, ", ".join(names), "�" in text or CONTROL.search(text) is not None
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +598,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans, encodings, damaged, restored): the documents that were decoded wrongly, wholly or in part.
 
-    damaged: the text holds replacement characters, so some of it can't be restored. Null, empty and ASCII-only texts
+    damaged: the text holds replacement characters or control characters of an unknown reading, so some of it can't be restored. Null, empty and ASCII-only texts
     are no cases. Rows that come twice come out twice. A narrow map: no shuffle.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))

@@ -95,3 +95,73 @@ def test_table_cases(spark):
     got = sorted((r.doc_id, r.spans, r.damaged) for r in M.garbled(df).collect())
     assert got == [(1, 1, False), (1, 1, False), (5, 100_000, False), (6, 0, True)]
     assert M.garbled(df.limit(0)).count() == 0
+
+
+SCRIPTS = {
+    "ru": "Привет, это обычный русский текст, который был прочитан с неверной кодировкой на этом сайте.",
+    "uk": "Звичайний український текст, який було прочитано з невірним кодуванням, і його слід відновити.",
+    "pl": "Zażółć gęślą jaźń, ponieważ każdy człowiek może się przecież pomylić i będzie źle, więc proszę.",
+    "el": "Καλημέρα σας, αυτό είναι ένα απλό ελληνικό κείμενο που διαβάστηκε λάθος από τον υπολογιστή.",
+    "ar": "هذا نص عربي عادي تمت قراءته بترميز خاطئ في هذا الموقع",
+    "he": "זהו טקסט רגיל בעברית שנקרא בקידוד שגוי",
+    "ja": "これは間違った文字コードで読まれた普通の日本語の文章です。",
+    "zh": "这是一个用错误编码读取的普通中文文本。",
+    "emoji": "Nice work 😀 and thanks ❤ for all → go ✓ now ★ ok 🎉",
+}
+#: Script and reader of UTF-8 for which a sentence does not come back whole.
+UTF8_LIMITS = {("ja", "cp866"), ("zh", "cp866"), ("emoji", "cp850")}
+
+
+def read_as(text, true, enc):
+    return M._decode(text.encode(true), enc)
+
+
+@pytest.mark.parametrize("enc", M.READ_AS)
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_utf8_round_trips(script, enc):
+    garbled = read_as(SCRIPTS[script], "utf-8", enc)
+    if garbled is None:
+        return
+    fixed, n, _, _ = M.repair(garbled)
+    assert n and (fixed == SCRIPTS[script] or (script, enc) in UTF8_LIMITS)
+
+
+@pytest.mark.parametrize("true,enc", [(t, e) for t in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5") for e in ("cp1252", "latin-1", "cp1250", "koi8-r", "cp866", "mac_roman", "cp437", "cp850") if t != e])
+def test_russian_pairs_round_trip(true, enc):
+    fixed, n, _, _ = M.repair(read_as(SCRIPTS["ru"], true, enc))
+    assert n and fixed == SCRIPTS["ru"]
+
+
+@pytest.mark.parametrize("true", ["cp1253", "iso8859-7"])
+@pytest.mark.parametrize("enc", ["cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "mac_cyrillic"])
+def test_greek_pairs_round_trip(true, enc):
+    assert M.repair(read_as(SCRIPTS["el"], true, enc))[0] == SCRIPTS["el"]
+
+
+@pytest.mark.parametrize("script,true,enc", [("uk", "cp1251", "cp1252"), ("uk", "cp1251", "latin-1"), ("uk", "iso8859-5", "cp1252"), ("pl", "cp1250", "cp1251"), ("pl", "cp1250", "koi8-r"), ("pl", "iso8859-2", "cp1250")])
+def test_other_alphabets_round_trip(script, true, enc):
+    assert M.repair(read_as(SCRIPTS[script], true, enc))[0] == SCRIPTS[script]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_correct_text_of_any_script_stays(script):
+    assert M.repair(SCRIPTS[script]) == (SCRIPTS[script], 0, "", False)
+    assert M.repair(SCRIPTS[script].upper())[1] == 0
+
+
+@pytest.mark.parametrize("true,enc", [("koi8-r", "cp1251"), ("cp1251", "cp1252"), ("cp866", "cp1251"), ("cp1251", "koi8-r")])
+def test_correct_words_beside_garbled_ones_stay(true, enc):
+    before, middle, after = "Он сказал, что ", "этот текст был прочитан неверно", " и ушёл домой."
+    fixed, n, _, _ = M.repair(before + read_as(middle, true, enc) + after)
+    assert n and fixed == before + middle + after
+
+
+def test_a_lone_word():
+    assert M.repair(read_as("Привет", "cp1251", "cp1252"))[0] == "Привет"
+    assert M.repair("He said " + read_as("Привет", "cp1251", "cp1252") + " to all")[0] == "He said Привет to all"
+
+
+def test_bytes_of_an_unknown_reading_are_reported_not_changed():
+    text = "これは日本語です".encode("shift-jis").decode("latin-1")
+    fixed, n, _, damaged = M.repair(text)
+    assert damaged and fixed.encode("latin-1", "ignore").decode("shift-jis", "ignore")[:3] == "これは"
