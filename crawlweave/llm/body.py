@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from crawlweave.functions.common import salted_join, site_key, written
 from crawlweave.llm import pagetree as P
+from crawlweave.llm.prose import tokens
 
 DATE = re.compile(r"\d{4}-\d\d?-\d\d?|\d\d?[./]\d\d?[./]\d{2,4}")
 # Class names by which templates mark bylines, share links, pointers to other pages, notices and side boxes.
@@ -52,7 +53,7 @@ class Split:
     end so, with the hash of its text and whether share links follow; block: signature of the body's block;
     how: `heading`, `site`, `alone` or ``; blocks: the page's layout."""
 
-    __slots__ = ("page", "blocks", "body", "closing", "closing_text", "shared", "block", "how", "_texts")
+    __slots__ = ("page", "blocks", "body", "closing", "closing_text", "shared", "block", "how", "_texts", "_words")
 
     def __init__(self, page: P.Page) -> None:
         self.page, self.blocks = page, P.layout(page)
@@ -62,6 +63,7 @@ class Split:
         self.shared = False
         self.block = self.how = ""
         self._texts: dict[int, str] = {}
+        self._words: dict[int, list[str]] = {}
 
     def text(self, row: int) -> str:
         """The text of a source line, counted from 0."""
@@ -69,6 +71,12 @@ class Split:
             self._texts[row] = P.line_text(self.page.lines[row])
         return self._texts[row]
 
+    def words(self, row: int) -> list[str]:
+        """The words of a source line."""
+        if row not in self._words:
+            self._words[row] = tokens(self.text(row))
+        return self._words[row]
+
     @property
     def lines(self) -> list[str]:
         """The texts of the body lines."""

@@ -88,8 +88,11 @@ class Page:
     def nearest(self, tags: frozenset[str]) -> list[int]:
         """Per node the nearest node around it, or itself, with one of these tags; 0 without."""
         out = [0] * len(self.tag)
+        if tags.isdisjoint(self.tag):
+            return out
+        tag, parent = self.tag, self.parent
         for n in range(1, len(out)):
-            out[n] = n if self.tag[n] in tags else out[self.parent[n]]
+            out[n] = n if tag[n] in tags else out[parent[n]]
         return out
 
     def running(self, values: list[int]) -> list[int]:
@@ -260,7 +263,7 @@ def layout(page: Page, keep: set[int] | None = None) -> list[Block]:
     """
     tags, hidden = page.tag, page.hidden
     around, cells, tables, pres = page.nearest(BLOCK), page.nearest(CELLS), page.nearest(TABLES), page.nearest(PRE)
-    holds = page.running([t in HOLDS_BLOCKS for t in tags])
+    holds = page.running([t in HOLDS_BLOCKS for t in tags]) if any(tables) else [0]
     out: list[Block] = []
     prev, breaks = None, 0
     for node, row, chunk, link in page.pieces:

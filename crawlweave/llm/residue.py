@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions.common import salted_join, small, written
 from crawlweave.llm import pagetree as P
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.prose import STOP, sentences, tokens
+from crawlweave.llm.prose import STOP, WORD, sentences, tokens
 
 # Ways in which template languages write a place to be filled.
 PLACEHOLDER = re.compile(
@@ -32,7 +32,7 @@ PLACEHOLDER = re.compile(
     r"|%%[\w .-]+%%|@@[\w .-]+@@|(?<![\w%])%[A-Za-z_][\w.]+%(?![\w%])|__[A-Z][A-Z_]{2,}__|[{\[][a-z]+(?:[_.][a-z]+)+[}\]]|[{\[][A-Z][A-Z_]{3,}[}\]]"
     r"|[{\[](?:insert|enter|your|add|put)\b[^}\]\n]+[}\]]|<(?:insert|enter|your)\b[^>\n]+>",
 )
-SIGN = re.compile(r"[{\[<%@_]")
+SIGN = re.compile(r"[{\[<%@_$]")
 # Words right before a placeholder that is written about, not left unfilled.
 NAMED = re.compile(
     r"\b(writes?|puts?|uses?|using|inserts?|replaces?|placeholder|variable|syntax|schreib\w*|verwende\w*|ersetz\w*|platzhalter|écrivez|écrire|utilis\w+|remplac\w+"
@@ -43,7 +43,8 @@ NAMED = re.compile(
 DOUBTFUL = re.compile(r"[{\[<]\s*[A-Za-z][\w. -]*[}\]>]|\$[A-Za-z_]\w*")
 # What unset variables print as.
 UNSET = frozenset(["undefined", "null", "nan", "[object object]", "#ref!", "#n/a", "(null)"])
-UNSET_SIGN = re.compile(r"undefined|null|nan|object\]|#ref!|n/a", re.I)
+UNSET_SIGNS = ("undefined", "null", "nan", "object]", "#ref!", "n/a")
+EMPTY_SIGNS = (" ,", " .", " )", "()", "( )", '""', '" "')
 UNSET_SPAN = re.compile(r"[\[(#]?\w[\w/ ]*?[\])!]|[\w/]+")
 EMPTY = re.compile(r"(?<=\S)\s+(?=[,.)])|\(\s*\)|\"\s*\"|:\s*$")
 # Standard wordings of servers, browsers and interpreters: status codes and reasons, script notices, traces.
@@ -61,10 +62,12 @@ NUMBER_SIGN = re.compile(r"[45]\d\d|#\d")
 # The words of the usual filler text.
 FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
 CUT = re.compile(r"(?<=[.!?…])\s+")
-MASK = re.compile(r"\S*[/()\"_.:#]\S*\w\S*|\S*\d\S*")
+VARYING = re.compile(r"\d|[/()\"_.:#].*\w")
+CODE = frozenset(["pre", "code"])
 TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Full sentences from which a body that stands at one address a site is taken for an article that sites copy.
 ARTICLE = 2
+EMPHASIS = frozenset("b i em strong dd h1 h2".split())
 VALUE, BLANK = 1, 2
 
 SCHEMA = (
@@ -85,9 +88,18 @@ def _code(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
-def masked(text: str) -> str:
-    """A sentence without what differs between two uses of one message: numbers, addresses, ids."""
-    return " ".join(MASK.sub(" ", text.lower()).split())
+def masked(text: str) -> tuple[str, int]:
+    """A sentence without what differs between two uses of one message (numbers, addresses, ids), and its number of words."""
+    kept, words = [], 0
+    for t in text.lower().split():
+        if t.isalpha() or t[:-1].isalpha() and t[-1] in ".,;:!?…":
+            words += 1
+        elif VARYING.search(t):
+            continue
+        else:
+            words += WORD.search(t) is not None
+        kept.append(t)
+    return " ".join(kept), words
 
 
 def unfilled(text: str) -> bool:
@@ -95,16 +107,18 @@ def unfilled(text: str) -> bool:
     return any(not NAMED.search(text[: m.start()]) for m in PLACEHOLDER.finditer(text))
 
 
-def candidates(text: str) -> list[dict]:
+def candidates(text: str) -> list[tuple[int, int, int]]:
     """Parts of a line that may be open slots, as token positions (the tokens lo + 1 to hi): names, defaults, nothing."""
     found = []
-    if "$" in text or SIGN.search(text):
+    if SIGN.search(text):
         found += [(m.start(), m.end(), VALUE) for r in (PLACEHOLDER, DOUBTFUL) for m in r.finditer(text)]
-    if UNSET_SIGN.search(text):
+    low = text.lower()
+    if any(w in low for w in UNSET_SIGNS):
         found += [(m.start(), m.end(), VALUE) for m in UNSET_SPAN.finditer(text) if m[0].lower() in UNSET]
-    for m in EMPTY.finditer(text):
-        at = m.start() + (m[0][0] in '(":')
-        found.append((at, at, BLANK))
+    if text[-1] == ":" or any(w in text for w in EMPTY_SIGNS):
+        for m in EMPTY.finditer(text):
+            at = m.start() + (m[0][0] in '(":')
+            found.append((at, at, BLANK))
     if not found:
         return []
     spans = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -112,7 +126,7 @@ def candidates(text: str) -> list[dict]:
     out = []
     for a, b, kind in found:
         lo = bisect_right(ends, a)
-        out.append(dict(lo=lo, hi=lo if kind == BLANK else max(lo, bisect_left(begins, b)), kind=kind))
+        out.append((lo, lo if kind == BLANK else max(lo, bisect_left(begins, b)), kind))
     return out
 
 
@@ -122,7 +136,7 @@ def page_row(item, site, url, split):
     code: dict[int, list[str]] = {}
     lines: dict[int, list[str]] = {}
     where: dict[int, int] = {}
-    pre = page.nearest(frozenset(["pre", "code"]))
+    pre = page.nearest(CODE)
     for b in split.blocks:
         for node, row, piece in zip(b.nodes, b.rows, b.parts):
             if row in body:
@@ -143,45 +157,41 @@ def page_row(item, site, url, split):
         return got
 
     texts = {row: (" ".join(" ".join(parts).split()) if row in code else split.text(row)) for row, parts in lines.items()}
-    bodies = [texts[row] for row in sorted(texts) if texts[row]]
-    cut = [tokens(x) for x in bodies]
+    texts = {row: texts[row] for row in sorted(texts) if texts[row]}
+    bodies = list(texts.values())
+    cut = [tokens(text) if row in code else split.words(row) for row, text in texts.items()]
     words = sum(map(len, cut))
     sign = standard_sign("\n".join(bodies).lower())
     units, whole = [], []
     for text in bodies:
         for part in CUT.split(text):
-            bare = masked(part)
+            bare, size = masked(part)
             whole.append(bare)
-            units.append(dict(line=_h(bare), words=len(tokens(bare)), known=not bare or sign and standard_sign(part.lower()) and STANDARD.search(part) is not None))
+            units.append((_h(bare), size, not bare or sign and standard_sign(part.lower()) and STANDARD.search(part) is not None))
     known = {w for ws in cut if not FILLER.isdisjoint(ws) for w in ws}
-    filler = sum(len(ws) for ws in cut if known and ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws))
+    filler = sum(len(ws) for ws in cut if ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws)) if known else 0
     opened, recs = False, []
-    for row in sorted(texts):
-        text = texts[row]
-        if not text:
-            continue
+    for row, text in texts.items():
         if SIGN.search(text) and PLACEHOLDER.search(text) and unfilled(text):
             opened = True
         spot = f"{site}|{place(where[row])}"
-        recs.append(dict(place=_h(spot), form=_h(f"{spot}|{TOKEN.search(text)[0]}"), text=text, cands=candidates(text)))
+        recs.append((_h(spot), _h(f"{spot}|{TOKEN.search(text)[0]}"), text, candidates(text)))
     held = []
     if body:
-        filled = page.running([0] * len(page.tag))
-        own = [0] * len(page.tag)
-        for node, _, piece, _ in page.pieces:
-            own[node] += bool(piece.strip())
-        filled = page.running(own)
+        filled = sorted({node for node, _, piece, _ in page.pieces if piece != "\n"})
         for n, t in enumerate(page.tag):
-            if t in ("b", "i", "em", "strong", "dd", "h1", "h2") and page.line[n] in body and not page.hidden[n]:
-                gap = filled[page.end[n] + 1] == filled[n]
+            if t in EMPHASIS and page.line[n] in body and not page.hidden[n]:
+                k = bisect_left(filled, n)
+                gap = k == len(filled) or filled[k] > page.end[n]
                 if not gap or page.end[n] == n:
-                    held.append(dict(place=_h(f"{site}|blank|{place(n)}"), gap=gap))
+                    held.append((_h(f"{site}|blank|{place(n)}"), gap))
     full = 0
     for x in bodies:
         full += sentences(x)
         if full >= ARTICLE:
             break
-    return [(item, site, _h((url or "").split("#")[0].split("?")[0]), words, filler, full >= ARTICLE and not any(u["known"] and u["words"] for u in units), opened, _h("\n".join(whole)), units, recs, held)]
+    article = full >= ARTICLE and not any(known and size for _, size, known in units)
+    return [(item, site, _h((url or "").split("#")[0].split("?")[0]), words, filler, article, opened, _h("\n".join(whole)), units, recs, held)]
 
 
 def _token_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

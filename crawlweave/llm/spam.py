@@ -25,9 +25,9 @@ PROSE = 3
 
 
 def page_row(item, site, url, split):
-    lines = [split.text(n - 1) for n in sorted([*split.body, *split.closing])]
-    cut = [prose.tokens(x) for x in lines]
-    ws = [w for x in cut for w in x]
+    rows = [n - 1 for n in sorted([*split.body, *split.closing])]
+    lines = [split.text(n) for n in rows]
+    ws = [w for n in rows for w in split.words(n)]
     if not ws:
         return ()
     lang = prose.language("\n".join(b.text for b in split.blocks))
@@ -42,14 +42,21 @@ def page_row(item, site, url, split):
             rank += 1
             curve[min(BINS - 1, 1 + (rank - 1).bit_length())] += n
     full = sum(prose.sentences(x, own) for x in lines)
-    spectrum = [dict(freq=f, types=t) for f, t in sorted(Counter(counts.values()).items())]
+    spectrum = sorted(Counter(counts.values()).items())
     rest = residue.page_row(item, site, url, split)[0]
     return [(*rest[:3], len(ws), *rest[4:], lang, full, spectrum, [c / len(ws) for c in curve])]
 
 
-def curves(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
-    """The page rows with size, slope and residual of the fitted curve of every page body; `residue`'s columns ride along."""
-    pages = written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "spectra")
+SMALL = ["row", "item_id", "lang", "words", "sentences", "curve"]
+
+
+def page_rows(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
+    """What the curves and `residue_of` need of every page with body; written, with a unique `row`."""
+    return written(map_pages(items, page_row, SCHEMA, id_col, url_col, domain_col, text_col).withColumn("row", F.monotonically_increasing_id()), "spectra")
+
+
+def curves(pages: DataFrame) -> DataFrame:
+    """(row, item_id, lang, words, sentences, reference, curve, slope, residual, size): the fitted curve of every page body."""
     points = pages.select("row", F.explode("spectrum").alias("p")).select("row", "p.freq", "p.types")
     w = Window.partitionBy("row").orderBy(F.desc("freq"))
     # All words of one frequency share the ranks after those of higher frequency: their middle stands for them.
@@ -62,18 +69,18 @@ def curves(items: DataFrame, id_col: str = "item_id", url_col: str = "url", doma
     slope = F.when(vx > 1e-9, cxy / vx).otherwise(F.lit(0.0))
     fit = fit.select("row", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), vy - F.when(vx > 1e-9, cxy * cxy / vx).otherwise(F.lit(0.0))) / F.col("n")).alias("residual"))
     size = F.floor(F.log2("words")).cast("int")
-    return pages.drop("spectrum").join(fit, "row").withColumn("size", size)
+    prose_like = F.expr(f"sentences >= {PROSE} and not open and filler = 0")
+    return pages.select(*SMALL, prose_like.alias("reference")).join(fit, "row").withColumn("size", size)
 
 
 def spam_scores(items: DataFrame, id_col: str = "item_id", url_col: str = "url", domain_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
     """`curves` with `slope_z`, `residual_z` and `divergence` from prose of the language at comparable length."""
-    page = written(curves(items, id_col, url_col, domain_col, text_col), "curves")
-    return scores_of(page)
+    return scores_of(written(curves(page_rows(items, id_col, url_col, domain_col, text_col)), "curves"))
 
 
 def scores_of(page: DataFrame, least: int = 20) -> DataFrame:
     """Scores of written `curves`. Where a class has fewer than `least` prose pages the language's, the class's, then all prose stands in."""
-    prose_pages = page.where(f"sentences >= {PROSE} and not open and filler = 0")
+    prose_pages = page.where("reference")
     stats = [F.count("*").alias("m"), F.avg("slope").alias("ms"), F.stddev_pop("slope").alias("ss"), F.avg("residual").alias("mr"), F.stddev_pop("residual").alias("sr"), F.array(*[F.avg(F.col("curve")[k]) for k in range(BINS)]).alias("mean")]
     # Languages x length classes (powers of two): a bound that doesn't grow with the data.
     near = prose_pages.groupBy("lang", "size").agg(*stats).where(F.col("m") >= least)
@@ -106,9 +113,9 @@ def spam_pages(items: DataFrame, z: float = 6.0, divergence: float = 0.25, sprea
     are lists with running text and no spam. Without any prose no page is flagged.
     Null and empty pages and pages without body are never flagged. Rows that come twice give one row.
     """
-    page = written(curves(items, id_col, url_col, domain_col, text_col), "curves")
-    off = scores_of(page).where(off_prose(z, divergence, spread))
+    pages = page_rows(items, id_col, url_col, domain_col, text_col)
+    off = scores_of(written(curves(pages), "curves")).where(off_prose(z, divergence, spread))
     if most_sentences is not None:
         off = off.where(F.col("sentences") <= most_sentences)
     off = off.select("item_id").distinct()
-    return off.join(residue.residue_of(page).select("item_id"), "item_id", "left_anti")
+    return off.join(residue.residue_of(pages).select("item_id"), "item_id", "left_anti")

@@ -91,7 +91,7 @@ def test_fit_matches_least_squares(spark):
     import numpy as np
 
     df = spam_items(spark)
-    got = {r.item_id: r for r in spam.curves(df).where("item_id in (0, 101)").collect()}
+    got = {r.item_id: r for r in spam.curves(spam.page_rows(df)).where("item_id in (0, 101)").collect()}
     for i, raw in ((0, df.where("item_id = 0").first().raw_content), (101, df.where("item_id = 101").first().raw_content)):
         counts = {}
         for line in lines(raw):
@@ -226,8 +226,8 @@ def test_alignment_decides_doubtful_names_defaults_and_blanks(spark):
 def test_the_curve_decides(spark):
     """Ablation: without the curve test all prose would come out too; the check of sentences then leaves out the list with running text."""
     df = spam_items(spark)
-    page_ = spam.curves(df)
-    scored = spam.scores_of(page_)
+    page_ = spam.page_rows(df)
+    scored = spam.scores_of(spam.curves(page_))
     left = residue.residue_of(page_).select("item_id")
     every = {r.item_id for r in scored.select("item_id").join(left, "item_id", "left_anti").collect()}
     off = {r.item_id for r in scored.where(spam.off_prose()).select("item_id").join(left, "item_id", "left_anti").collect()}
