@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.functions.common import site_key, written
+from crawlweave.functions.common import salted_join, site_key, written
 from crawlweave.llm.pagetree import line_text
 
 DIGITS = re.compile("[0-9]+")
@@ -69,14 +69,16 @@ def repeated_lines(items: DataFrame, min_docs: int = 5, min_share: float = 0.0,
         counts = counts.where(F.col("docs") >= min_docs).join(sites, "site").where(F.col("docs") >= F.col("site_docs") * min_share)
     else:
         counts = counts.where(F.col("docs") >= min_docs)
-    found = lines.join(counts.select("site", "line"), ["site", "line"], "left_semi")
-    return found.select("item_id", F.col("line_no").cast("long").alias("line_no")).dropDuplicates() if _repeats(items, id_col) else found.select("item_id", F.col("line_no").cast("long").alias("line_no"))
+    # One row a frequent line and site: broadcast when small, else the rows of a hot line are dealt over copies of it.
+    frequent = written(counts.select("site", "line"), "frequent")
+    found = salted_join(lines, frequent, ["site", "line"], F.xxhash64("item_id", "line_no"), "inner")
+    out = found.select("item_id", F.col("line_no").cast("long").alias("line_no"))
+    return out.dropDuplicates() if _repeats(items, id_col) else out
 
 
 def _repeats(items: DataFrame, id_col: str) -> bool:
     """Whether an id comes twice; counted, so that tables with unique ids spare a shuffle of the result."""
-    n = items.where(F.col(id_col).isNotNull()).select(id_col)
-    return n.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+    return items.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count() > 0
 
 
 def strip_repeated_lines(items: DataFrame, min_docs: int = 5, min_share: float = 0.0, id_col: str = "item_id", site_col: str = "domain", text_col: str = "raw_content") -> DataFrame:
@@ -86,9 +88,17 @@ def strip_repeated_lines(items: DataFrame, min_docs: int = 5, min_share: float =
     """
     gone = repeated_lines(items, min_docs, min_share, id_col, site_col, text_col).groupBy("item_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
     src = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("raw"))
-    kept = F.filter(F.split("raw", "\n", -1), lambda x, i: ~F.array_contains("gone", i + 1))
-    return src.join(gone, "item_id", "left").select(
-        "item_id",
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"),
-        F.when(F.col("gone").isNull(), F.col("raw")).otherwise(F.array_join(kept, "\n")).alias("text"),
-    )
+    return src.join(gone, "item_id", "left").mapInArrow(_rebuild, "item_id long, removed long, text string")
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents without their repeated lines, in time linear in their lines."""
+    for batch in batches:
+        texts, removed = [], []
+        for raw, gone in zip(batch.column("raw").to_pylist(), batch.column("gone").to_pylist()):
+            removed.append(len(gone or ()))
+            if gone and raw is not None:
+                drop = set(gone)
+                raw = "\n".join(line for no, line in enumerate(raw.split("\n"), 1) if no not in drop)
+            texts.append(raw)
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["item_id", "removed", "text"])

@@ -53,26 +53,29 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
     """(doc_id, source, h1, h2, tokens) of every document with non-blank text and a source; h1, h2: 128-bit hash of the text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), site_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
     src = src.where(r"doc_id is not null and source is not null and text rlike '\\S'")
-    src = src.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit("2")).alias("h2"), "text")
+    src = src.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("2"), "text").alias("h2"), "text")
     return src.mapInArrow(_count(tokenizer), "doc_id long, source string, h1 long, h2 long, tokens long")
 
 
-def _rates(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row a target: its tokens and repetition rate. The mix is as large as the caps allow with all shares met."""
+def _rates(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """One row a target: its tokens and repetition rate. Without a wanted total the mix is as large as the caps allow with all shares met."""
     want = targets.select(site_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("double").alias("max_repeats"))
     want = want.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     have = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
     both = want.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     room = F.when(F.col("tokens") > 0, F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
     # One row a target; the window holds the target table, not the data.
-    total = F.min(room).over(Window.partitionBy(F.lit(0)))
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.min(room).over(Window.partitionBy(F.lit(0)))
     rate = F.when(F.col("tokens") > 0, F.least("max_repeats", total * F.col("target_share") / F.col("tokens")))
     return both.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 1, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
+    `total_tokens`: the wanted size; a source whose cap doesn't allow its share of it gives what it can, and the report tells
+    the shares reached. Without it the mix is as large as the caps allow with all shares met.
+
     Mix: (doc_id, source, copy_no, tokens), a row per copy. Report: (source, target_share, max_repeats, texts, tokens,
     rate, mixed_tokens, share, most_copies), a row per target.
     Sources are compared trimmed and lower-cased. Null or blank texts, null sources and sources without target stay
@@ -84,7 +87,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     own = rows.join(small(wanted), "source", "left_semi")
     first = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("t")).select("t.*")
     texts = written(first, "texts")
-    rates = written(_rates(texts, targets), "rates")
+    rates = written(_rates(texts, targets, total_tokens), "rates")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     whole = F.floor("rate")
     copies = (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("int")

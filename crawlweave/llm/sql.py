@@ -1,6 +1,8 @@
 """SQL counterparts of the training-data queries, where SQL can state them.
 
-Problems 3, 5, 6, 9 and 10 rest on page trees, tokenizers and byte encodings; they are tested against brute force.
+Problems 3, 5, 6, 9 and 10 rest on page trees, tokenizers and byte encodings; they are tested against brute force, and so is
+the rate of wrong answers of problem 4, which depends on hashes. DuckDB knows NFC but not NFKC: the SQL of problem 8 holds
+for texts without compatibility characters, as in these tables; the tests cover the others.
 """
 
 from __future__ import annotations
@@ -46,13 +48,11 @@ def _seen(kind: str, tab: str, i: str, u: str) -> str:
     return f"SELECT '{kind}' AS rec_kind, {i} AS rec_id FROM (SELECT {i}, min({i}) OVER (PARTITION BY {_key(u)}) AS first FROM {tab} WHERE {u} IS NOT NULL) WHERE {i} > first"
 
 
-def _counts(kind: str, tab: str, i: str, u: str) -> str:
-    return f"SELECT '{kind}' AS rec_kind, count(*)::BIGINT AS rows, count(DISTINCT {_key(u)})::BIGINT AS new_keys, (count(*) - count(DISTINCT {_key(u)}))::BIGINT AS reported, 0::BIGINT AS wrong, 0.0::DOUBLE AS wrong_rate FROM {tab} WHERE {u} IS NOT NULL"
+WORDS = "regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '\\p{Cf}+', '', 'g'))), '[\\p{L}\\p{Nd}]+')"
 
 
 def _grams(i: str, tab: str) -> str:
-    words = "regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '\\p{Cf}+', '', 'g'))), '[\\p{L}\\p{Nd}]+')"
-    return f"SELECT DISTINCT {i}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM (SELECT {i}, {words} AS w FROM {tab} WHERE text IS NOT NULL)"
+    return f"SELECT DISTINCT {i}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM (SELECT {i}, {WORDS} AS w FROM {tab} WHERE text IS NOT NULL)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,6 +64,13 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"SELECT domain, form_type, form_id FROM {RANKED} WHERE rank <= 3",
         "p2_ranked": f"SELECT domain, form_type, probability, form_id, rank::BIGINT AS rank FROM {RANKED} WHERE rank <= 3",
         "p4_found": f"{_seen('link', 'links', 'link_id', 'url')} UNION ALL {_seen('node', 'nodes', 'node_id', 'original_url')}",
-        "p4_error_rate": f"{_counts('link', 'links', 'link_id', 'url')} UNION ALL {_counts('node', 'nodes', 'node_id', 'original_url')}",
         "p8_found": f"WITH a AS ({_grams('doc_id', 'documents')}), b AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)",
+        "p8_items": f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL), v AS (SELECT item_id, {WORDS} AS v FROM eval_items WHERE text IS NOT NULL),
+            a AS ({_grams('doc_id', 'documents')}), b AS ({_grams('item_id', 'eval_items')}), h AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)),
+            x AS (SELECT doc_id, item_id, w, v, len(v) AS n FROM h JOIN w USING (doc_id) JOIN v USING (item_id)),
+            p AS (SELECT doc_id, item_id, n, i, generate_subscripts(w, 1) AS j, unnest(w) AS word, v[i] AS mine FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM x)),
+            m AS (SELECT doc_id, item_id, n, i, j, j - i AS d FROM p WHERE word = mine),
+            r AS (SELECT doc_id, item_id, n, d, i - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY i) AS g FROM m),
+            s AS (SELECT doc_id, item_id, n, max(c) AS span FROM (SELECT doc_id, item_id, n, d, g, count(*) AS c FROM r GROUP BY ALL) GROUP BY ALL)
+            SELECT item_id, count(DISTINCT doc_id)::BIGINT AS docs, max(span)::BIGINT AS longest, max(span / n) AS share FROM s GROUP BY 1""",
     }

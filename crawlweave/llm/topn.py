@@ -25,19 +25,29 @@ from crawlweave.functions.common import partitions, scratch_path
 FOOTERS = "file string, rg int, rows long, g_min string, g_max string, s_min double, s_max double"
 
 
-def cluster(df: DataFrame, row_group_bytes: int = 256 << 10) -> str:
-    """Write (grp string, score double, tie string, id long) clustered by group; returns the path.
+#: A row group holds at most this part of the largest group, within these bytes.
+PART, LEAST_BYTES, MOST_BYTES = 16, 8 << 10, 128 << 20
+ROW_BYTES = 48
 
-    Null groups and null or NaN scores do not compete and are left out here.
+
+def cluster(df: DataFrame, row_group_bytes: int | None = None) -> str:
+    """Write (grp string, score double, tie string, id long) clustered by group; returns the path, which `top_n` takes again.
+
+    Null groups and null or NaN scores do not compete and are left out here. Without `row_group_bytes` row groups are cut so that
+    the largest group fills several (its counted rows merge map-side): only then is there something to skip.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "clustered")
     order = [F.asc("grp"), F.desc("score"), F.asc_nulls_last("tie"), F.asc("id")]
     src = df.where(F.col("grp").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    if row_group_bytes is None:
+        most = src.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+        row_group_bytes = min(MOST_BYTES, max(LEAST_BYTES, most * ROW_BYTES // PART))
     (
         src.repartitionByRange(partitions(spark), *order)
         .sortWithinPartitions(*order)
         .write.option("parquet.block.size", row_group_bytes)
+        .option("parquet.page.size", max(1 << 10, min(1 << 20, row_group_bytes // 8)))
         .option("parquet.enable.dictionary", "true")
         .option("parquet.column.statistics.enabled", "true")
         .parquet(path)
@@ -148,8 +158,9 @@ class _Rev:
 
 
 def _candidates(spark: SparkSession, path: str, n: int) -> DataFrame:
-    files = spark.read.parquet(path).select(F.input_file_name().alias("file")).distinct()
-    spread = files.repartition(partitions(spark), "file")
+    names = spark.read.parquet(path).inputFiles()  # from the listing: as many as the table has files
+    files = spark.createDataFrame([(f,) for f in names], "file string")
+    spread = files.repartition(max(1, min(len(names), partitions(spark))), "file")
     foot = spread.mapInPandas(_footers, FOOTERS)
     # A row group of one group with at least n rows shows that the group's n-th score is no less than its minimum.
     floor = foot.where((F.col("g_min") == F.col("g_max")) & (F.col("rows") >= n) & F.col("s_min").isNotNull()).groupBy(F.col("g_min").alias("g")).agg(F.max("s_min").alias("floor"))
@@ -159,24 +170,32 @@ def _candidates(spark: SparkSession, path: str, n: int) -> DataFrame:
     return work.mapInPandas(_read(n), "grp string, score double, tie string, id long, rg_read long, rg_skipped long, file string")
 
 
-def top_n(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: str, n: int = 3, row_group_bytes: int = 256 << 10) -> DataFrame:
+def keyed(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: str) -> DataFrame:
+    """(grp, score, tie, id): the group columns as one text that tells them apart whatever they hold."""
+    some = F.lit(True)
+    for g in group_cols:
+        some &= F.col(g).isNotNull()
+    return df.where(some).select(
+        F.to_json(F.array(*[F.col(g).cast("string") for g in group_cols])).alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("string").alias("tie"), F.col(row_id).cast("long").alias("id")
+    )
+
+
+def top_n(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: str, n: int = 3, row_group_bytes: int | None = None) -> DataFrame:
     """The `n` best rows of every group: score descending, then `tie` (a string) ascending, then `row_id` ascending.
 
     Columns: the group columns as strings, `score`, `row_id` (both by their names), `rank` from 1.
     Null group columns, null scores and NaN do not compete. A null tie comes after every other. Rows that come
     twice compete as they are. Strings are ordered by their UTF-8 bytes. An empty table gives an empty result.
     """
-    sep = "\u0001"
-    some = F.lit(True)
-    for g in group_cols:
-        some &= F.col(g).isNotNull()
-    src = df.where(some).select(
-        F.concat_ws(sep, *[F.col(g).cast("string") for g in group_cols]).alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("string").alias("tie"), F.col(row_id).cast("long").alias("id")
-    )
-    path = cluster(src, row_group_bytes)
-    best = _candidates(df.sparkSession, path, n)
+    path = cluster(keyed(df, group_cols, score, tie, row_id), row_group_bytes)
+    return top_n_of(df.sparkSession, path, group_cols, score, row_id, n)
+
+
+def top_n_of(spark: SparkSession, path: str, group_cols: list[str], score: str, row_id: str, n: int = 3) -> DataFrame:
+    """`top_n` of a table that `cluster` wrote from `keyed` rows: for any n, and as often as wanted."""
+    best = _candidates(spark, path, n)
     w = Window.partitionBy("grp").orderBy(F.desc("score"), F.asc_nulls_last("tie"), F.asc("id"))
-    parts = F.split("grp", sep)
+    parts = F.from_json("grp", "array<string>")
     return (
         best.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= n)
@@ -184,9 +203,8 @@ def top_n(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: st
     )
 
 
-def skipping_report(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: str, n: int = 3, row_group_bytes: int = 256 << 10) -> DataFrame:
+def skipping_report(df: DataFrame, group_cols: list[str], score: str, tie: str, row_id: str, n: int = 3, row_group_bytes: int | None = None) -> DataFrame:
     """(files, row_groups_read, row_groups_skipped) of one `top_n` run over the clustered table."""
-    sep = "\u0001"
-    src = df.dropna(subset=group_cols).select(F.concat_ws(sep, *group_cols).alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("string").alias("tie"), F.col(row_id).cast("long").alias("id"))
-    per = _candidates(df.sparkSession, cluster(src, row_group_bytes), n).groupBy("file").agg(F.max("rg_read").alias("r"), F.max("rg_skipped").alias("s"))
+    path = cluster(keyed(df, group_cols, score, tie, row_id), row_group_bytes)
+    per = _candidates(df.sparkSession, path, n).groupBy("file").agg(F.max("rg_read").alias("r"), F.max("rg_skipped").alias("s"))
     return per.agg(F.count("*").alias("files"), F.coalesce(F.sum("r"), F.lit(0)).alias("row_groups_read"), F.coalesce(F.sum("s"), F.lit(0)).alias("row_groups_skipped"))

@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.functions.common import small, written
+from crawlweave.functions.common import salted_join, small, written
 
 FORMAT = regex.compile(r"\p{Cf}+")
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -118,13 +118,15 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = 12, k: int = 6, doc_id:
 
     span: length of the longest shared run; doc_at, item_at: its first word in either (from 0). Null texts, and texts
     of fewer words, have no leak. Rows that come twice give one row a pair. Empty tables give an empty result.
-    The items' fingerprints, and the hit pairs, are broadcast only when counted and small; else Spark joins by shuffle.
+    The items' fingerprints, and the hit pairs, are broadcast only when counted and measured small; else they are joined by shuffle.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
     e = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     run = _prints(k, span)
     test = written(e.mapInArrow(run, "id long, fp long").distinct(), "test-prints")
-    hits = d.mapInArrow(run, "id long, fp long").join(small(test.withColumnRenamed("id", "item_id")), "fp")
+    # A fingerprint is one key of the join, with the items that hold it beside it, so that a hot one can be dealt over copies.
+    keyed = written(test.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("fp", "lot").agg(F.collect_list("id").alias("items")).drop("lot"), "keyed-prints")
+    hits = salted_join(d.mapInArrow(run, "id long, fp long"), keyed, ["fp"], F.xxhash64("id"), "inner").select("id", F.explode("items").alias("item_id"))
     pairs = written(hits.select(F.col("id").alias("doc_id"), "item_id").distinct(), "hits")
     texts = d.withColumnRenamed("id", "doc_id").join(small(pairs), "doc_id")
     both = texts.join(small(e.select(F.col("id").alias("item_id"), F.col("text").alias("passage"))), "item_id")

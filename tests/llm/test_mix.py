@@ -50,3 +50,21 @@ def test_counts_are_those_of_the_tokenizer(spark):
     enc = M.encoder(M.TOKENIZER)
     got = {r.doc_id: r.tokens for r in M.token_counts(d.withColumn("tokens", d.doc_id).withColumn("h1", d.doc_id)).collect()}
     assert got == {r.doc_id: len(enc.encode_ordinary(r.text)) for r in d.collect()}
+
+
+def test_a_wanted_total(spark):
+    """Against the arithmetic on the tokens: rates, caps, shares, and every copy count within one of the rate."""
+    rows = [(i, "big", f"some words of text number {i} and more of it") for i in range(4000)] + [(10_000 + i, "small", f"few other words here {i}") for i in range(150)]
+    d = docs(spark, rows)
+    want = targets(spark, [("big", 0.8, 2), ("small", 0.2, 3)])
+    size = {r.source: r["sum(tokens)"] for r in M.token_counts(d).groupBy("source").sum("tokens").collect()}
+    for total in (1000, 20_000, 10 * sum(size.values())):
+        out, report = M.mix(d, want, total_tokens=total)
+        r = {x.source: x for x in report.collect()}
+        mixed = {s: r[s].mixed_tokens for s in size}
+        for s, share, cap in (("big", 0.8, 2), ("small", 0.2, 3)):
+            rate = min(cap, total * share / size[s])
+            assert r[s].rate == pytest.approx(rate) and r[s].most_copies <= cap
+            assert mixed[s] == pytest.approx(rate * size[s], rel=0.25) and r[s].share == pytest.approx(mixed[s] / sum(mixed.values()))
+        copies = out.groupBy("source", "doc_id").count().collect()
+        assert all(int(r[c.source].rate) <= c["count"] <= int(r[c.source].rate) + 1 for c in copies)

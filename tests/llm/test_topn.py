@@ -45,3 +45,19 @@ def test_row_groups_are_skipped(spark):
     df = spark.range(200_000).selectExpr("'hot' as g", "cast((id * 7919) % 200000 as double) as p", "cast(id as string) as url", "id")
     r = T.skipping_report(df, ["g"], "p", "url", "id", 3, 16 << 10).first()
     assert r.row_groups_skipped > r.row_groups_read > 0
+
+
+def test_groups_are_told_apart_whatever_they_hold(spark):
+    rows = [("a\x01b", "c", 0.5, 1), ("a", "b\x01c", 0.6, 2), ("a", "b", 0.7, 3), ('a","b', "", 0.8, 4), ("", "", 0.9, 5)]
+    df = spark.createDataFrame(rows, "g string, h string, p double, id bigint").withColumn("url", F.lit("u"))
+    got = {(r.g, r.h): (r.id, r["rank"]) for r in T.top_n(df, ["g", "h"], "p", "url", "id", 3).collect()}
+    assert got == {(g, h): (i, 1) for g, h, _, i in rows}
+
+
+def test_a_clustered_table_is_used_again_and_skipped_by_itself(spark):
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 500)) as g", "cast((id * 7919) % 60000 as double) as p", "cast(id as string) as url", "id")
+    path = T.cluster(T.keyed(df, ["g"], "p", "url", "id"))
+    rows = [(r.g, r.p, r.url, r.id) for r in df.collect()]
+    for n in (1, 4):
+        assert sorted((r.g, r.id, r["rank"]) for r in T.top_n_of(spark, path, ["g"], "p", "id", n).collect()) == brute(rows, n)
+    assert T.skipping_report(df, ["g"], "p", "url", "id", 3).first().row_groups_skipped > 0
