@@ -88,17 +88,21 @@ def _code(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
+_kinds: dict[str, int] = {}  # token -> 1: a word, 0: none, -1: left out; refilled when it has grown
+
+
 def masked(text: str) -> tuple[str, int]:
     """A sentence without what differs between two uses of one message (numbers, addresses, ids), and its number of words."""
     kept, words = [], 0
     for t in text.lower().split():
-        if t.isalpha() or t[:-1].isalpha() and t[-1] in ".,;:!?…":
-            words += 1
-        elif VARYING.search(t):
-            continue
-        else:
-            words += WORD.search(t) is not None
-        kept.append(t)
+        kind = _kinds.get(t)
+        if kind is None:
+            if len(_kinds) > 200_000:
+                _kinds.clear()
+            kind = _kinds[t] = -1 if VARYING.search(t) else int(WORD.search(t) is not None)
+        if kind >= 0:
+            kept.append(t)
+            words += kind
     return " ".join(kept), words
 
 
@@ -200,14 +204,17 @@ def _token_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("g"), batch.column("cands"), pa.array(toks, pa.list_(pa.int32()))], ["row", "g", "cands", "toks"])
 
 
-def open_slots(pages: DataFrame, blank_share: float, min_uses: int, constant: float = 0.9) -> DataFrame:
+def open_slots(pages: DataFrame, blank_share: float, min_uses: int, constant: float = 0.9, only: DataFrame | None = None) -> DataFrame:
     """(row) of the records that leave a slot open which other records of their place fill.
 
     Only places with a candidate take part. Lines of a place, and those of them that begin alike, are aligned: tokens that the
     share `constant` of at least 3 lines hold are the template. Counts merge map-side, so a hot site is no hot group.
     """
     recs = pages.select("row", F.explode("recs").alias("r")).select("row", "r.*")
-    marked = recs.where("size(cands) > 0").select(F.explode(F.array("place", "form")).alias("g")).distinct()
+    asked = recs.where("size(cands) > 0")
+    if only is not None:
+        asked = asked.join(only, "row", "left_semi")
+    marked = asked.select(F.explode(F.array("place", "form")).alias("g")).distinct()
     marked = written(marked, "marked-places")
     lines = recs.select("row", "text", F.to_json("cands").alias("cands"), F.explode(F.array("place", "form")).alias("g"))
     lines = salted_join(lines, marked, ["g"], F.xxhash64("row"), how="inner")
@@ -254,27 +261,29 @@ def residue(items: DataFrame, min_sites: int = 3, blank_share: float = 0.95, res
     return residue_of(pages, min_sites, blank_share, rest_words, min_paths, min_uses)
 
 
-def residue_of(pages: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, min_uses: int = 20) -> DataFrame:
-    """`residue` of written page rows with a unique `row`."""
+def residue_of(pages: DataFrame, min_sites: int = 3, blank_share: float = 0.95, rest_words: int = 3, min_paths: int = 5, min_uses: int = 20, only: DataFrame | None = None) -> DataFrame:
+    """`residue` of written page rows with a unique `row`. `only`: the rows (a column `row`) that need an answer; all are compared with."""
+    mine = pages.join(only, "row", "left_semi") if only is not None else pages
     why = lambda df, reason: df.select("item_id", F.lit(reason).alias("reason"))
-    sure = why(pages.where("open"), "slot")
-    ids = pages.select("row", "item_id")
-    slot = why(ids.join(small(open_slots(pages, blank_share, min_uses)), "row"), "slot")
+    sure = why(mine.where("open"), "slot")
+    ids = mine.select("row", "item_id")
+    slot = why(ids.join(small(open_slots(pages, blank_share, min_uses, only=only)), "row"), "slot")
     held = pages.where("size(held) > 0").select("item_id", F.explode("held").alias("h")).select("item_id", "h.*")
     gaps = held.groupBy("place").agg(F.count("*").alias("n"), F.sum(F.col("gap").cast("long")).alias("gaps")).where(f"gaps > 0 and n >= {int(min_uses)} and n - gaps >= {float(blank_share)} * n").select("place", F.lit(True).alias("filled"))
     blank = why(salted_join(held.where("gap"), gaps, ["place"], F.xxhash64("item_id")).where("filled"), "slot")
-    filler = why(pages.where("filler > 0 and filler * 2 >= words"), "filler")
+    filler = why(mine.where("filler > 0 and filler * 2 >= words"), "filler")
     # Whole bodies: the addresses of each site that show it.
     copies = pages.where("words > 0").groupBy("whole", "site").agg(F.count_distinct("path").alias("paths"))
     copies = copies.groupBy("whole").agg(F.count("site").alias("sites"), F.sum("paths").alias("paths"), F.max("paths").alias("most"))
     template = copies.where((F.col("most") >= min_paths) | (F.col("sites") >= min_sites) & (F.col("paths") >= 2 * F.col("sites"))).select("whole", F.lit(True).alias("template"))
-    own = salted_join(pages.where("words > 0").select("row", "item_id", "site", "whole", "article", "units"), template, ["whole"], F.xxhash64("row"))
-    units = own.where("size(units) > 0").select("row", "item_id", "site", "whole", "article", F.explode("units").alias("u")).select("row", "item_id", "site", "whole", "article", "u.*")
+    units = pages.where("words > 0").select("site", "whole", "article", F.explode("units").alias("u")).select("site", "whole", "article", "u.*")
     # A sentence that always comes within the same long body is a copied article's.
     shown = units.where("not known").groupBy("line", "site").agg(F.min("whole").alias("w0"), F.max("whole").alias("w1"), F.min("article").alias("copied"))
     shown = shown.groupBy("line").agg(F.count("site").alias("sites"), F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("copied").alias("copied"))
     shown = shown.where((F.col("sites") >= min_sites) & ((F.col("w0") != F.col("w1")) | ~F.col("copied"))).select("line", F.lit(True).alias("shown"))
-    told = salted_join(units, shown, ["line"], F.xxhash64("row")).withColumn("told", F.col("known") | F.col("shown").isNotNull())
+    own = salted_join(mine.where("words > 0").select("row", "item_id", "whole", "units"), template, ["whole"], F.xxhash64("row"))
+    asked = own.where("template is null").select("row", "item_id", F.explode("units").alias("u")).select("row", "item_id", "u.*")
+    told = salted_join(asked, shown, ["line"], F.xxhash64("row")).withColumn("told", F.col("known") | F.col("shown").isNotNull())
     rest = told.groupBy("row", "item_id").agg(F.sum(F.when(F.col("told"), 0).otherwise(F.col("words"))).alias("rest"), F.max("told").alias("any"))
     message = why(rest.where(F.col("any") & (F.col("rest") <= rest_words)), "message").unionByName(why(own.where("template"), "message"))
     return sure.unionByName(slot).unionByName(blank).unionByName(filler).unionByName(message).groupBy("item_id").agg(F.max("reason").alias("reason"))

@@ -117,5 +117,6 @@ def spam_pages(items: DataFrame, z: float = 6.0, divergence: float = 0.25, sprea
     off = scores_of(written(curves(pages), "curves")).where(off_prose(z, divergence, spread))
     if most_sentences is not None:
         off = off.where(F.col("sentences") <= most_sentences)
-    off = off.select("item_id").distinct()
-    return off.join(residue.residue_of(pages).select("item_id"), "item_id", "left_anti")
+    off = written(off.select("row", "item_id"), "off-prose")
+    left = residue.residue_of(pages, only=off.select("row")).select("item_id")
+    return off.select("item_id").distinct().join(left, "item_id", "left_anti")
