@@ -99,6 +99,17 @@ def epsilon_mix(greedy: DataFrame, others: DataFrame, eps: float, seed: str, key
     return greedy.withColumn("from_random", F.lit(False)).unionByName(extra, allowMissingColumns=True)
 
 
+def random_requests(frontier: DataFrame, n: int, eps: float, seed: str, key: str = "seq") -> DataFrame:
+    """Exploration beside a batch of n: as many seeded random live entries as n (1 + eps) draws with probability eps give,
+    flagged `from_random`. The number is a binomial of the seed, the entries a top-k of hashes."""
+    import numpy as np
+
+    rng = np.random.default_rng(list(seed.encode()))
+    k = int(rng.binomial(round(n * (1 + eps)), eps))
+    live = frontier.where(~F.coalesce(F.col("removed"), F.lit(False)))
+    return live.orderBy(order_key(f"{seed}:random", F.col(key)), key).limit(k).withColumn("from_random", F.lit(True))
+
+
 def shuffled(batch: DataFrame, seed: str, key: str = "seq") -> DataFrame:
     return batch.orderBy(order_key(seed, F.col(key)), key)
 
