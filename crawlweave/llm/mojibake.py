@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -196,7 +197,8 @@ class Automaton:
                                 letters.setdefault(g, set()).add((true, enc))
         self.pairs = ahocorasick.Automaton()
         for g, by in letters.items():
-            self.pairs.add_word(g, tuple(by))
+            kind = 1 if ("", "") in by else 2 if ("", "upper") in by else 0
+            self.pairs.add_word(g, (kind, tuple(p for p in sorted(by) if p[0])))
         self.pairs.make_automaton()
         self.triples, self.garbled_triples, self.letters = _western_table()
         #: a garbled accent: a foreign letter, capital or box sign, which can't stand inside a lower-case Latin word
@@ -333,25 +335,28 @@ def _segments(text: str) -> tuple[str, int, str]:
     stands. Neighbouring runs that speak for one pair of encodings are a garbled stretch if they hold enough of them; only
     its runs are replaced, so correct words beside it stay.
     """
-    runs = [(m.start(), m.end()) for m in RUN.finditer(text)]
-    if not runs:
+    found = list(automaton().pairs.iter(text))
+    if not found:
         return text, 0, ""
-    begins = [a for a, _ in runs]
-    hits: list[Counter[tuple[str, str]] | None] = [None] * len(runs)
+    runs = [(m.start(), m.end()) for m in RUN.finditer(text)]
     plain, upper = [0] * len(runs), [0] * len(runs)
-    for end, by in automaton().pairs.iter(text):
-        k = bisect_right(begins, end) - 1
-        if k < 0 or runs[k][1] <= end:
-            continue
-        for pair in by:
-            if pair[0]:
-                if hits[k] is None:
-                    hits[k] = Counter()
-                hits[k][pair] += 1
-            elif pair[1]:
-                upper[k] += 1
+    heard: list[list | None] = [None] * len(runs)
+    k, last = 0, runs[0][1]
+    for end, (kind, pairs) in found:
+        while last <= end:
+            k += 1
+            last = runs[k][1]
+        if kind == 1:
+            plain[k] += 1
+        elif kind:
+            upper[k] += 1
+        if pairs:
+            if heard[k] is None:
+                heard[k] = [pairs]
             else:
-                plain[k] += 1
+                heard[k].append(pairs)
+    # A run that has more pairs as it stands speaks for no re-reading.
+    hits = [Counter(chain.from_iterable(x)) if x and len(x) >= n else None for x, n in zip(heard, plain)]
     total: Counter[tuple[str, str]] = Counter()
     for h, n in zip(hits, plain):
         if h:
@@ -386,7 +391,7 @@ def _stretches(text: str, runs: list[tuple[int, int]], hits: list, plain: list[i
     # A run inside a word of ASCII letters is an accent, no word of its own.
     inside = [text[a - 1 : a].isascii() and text[a - 1 : a].isalpha() or text[b : b + 1].isascii() and text[b : b + 1].isalpha() for a, b in runs]
     gain = [-1 if inner else (h[pair] if h else 0) - n for h, n, inner in zip(hits, plain, inside)]
-    strange = [_odd(text[a:b], pair[1]) for a, b in runs]
+    strange = lambda i: _odd(text[slice(*runs[i])])
     out: list[int] = []
     k = 0
     while k < len(runs):
@@ -401,26 +406,26 @@ def _stretches(text: str, runs: list[tuple[int, int]], hits: list, plain: list[i
         own = range(k, last + 1)
         score, size = sum(gain[i] for i in own), sum(b - a for a, b in runs[k : last + 1])
         found = sum(h[pair] for i in own if (h := hits[i]))
-        if found >= 0.22 * size and score > sum(upper[i] for i in own) and (score >= 4 or score >= 2 and size >= 4 and all(strange[i] for i in own)):
+        if found >= 0.22 * size and score > sum(upper[i] for i in own) and (score >= 4 or score >= 2 and size >= 4 and all(map(strange, own))):
             first = k
             # Words too short to speak for themselves follow their neighbours.
-            while first and gain[first - 1] == 0 and first - 1 not in out and _follows(text, runs[first - 1], pair, strange[first - 1]):
+            while first and gain[first - 1] == 0 and first - 1 not in out and _follows(text, runs[first - 1], pair):
                 first -= 1
-            while last + 1 < len(runs) and gain[last + 1] == 0 and _follows(text, runs[last + 1], pair, strange[last + 1]):
+            while last + 1 < len(runs) and gain[last + 1] == 0 and _follows(text, runs[last + 1], pair):
                 last += 1
             out.extend(range(first, last + 1))
         k = max(j, last + 1)
     return sorted(set(out))
 
 
-def _odd(run: str, reader: str) -> bool:
+def _odd(run: str) -> bool:
     """Whether no correct text writes this run: four foreign Latin letters in a row, or a capital after a small letter."""
     if _cyrillic(run[0]) or "Ͱ" <= run[0] < "Ѐ":
         return len(run) > 2 and sum(x.islower() and y.isupper() for x, y in zip(run, run[1:])) > 0
     return len(run) >= 4
 
 
-def _follows(text: str, span: tuple[int, int], pair: tuple[str, str], odd: bool) -> bool:
+def _follows(text: str, span: tuple[int, int], pair: tuple[str, str]) -> bool:
     """Whether a run without frequent pairs belongs to the garbled stretch beside it."""
     run = text[span[0] : span[1]]
     again = _reread(run, *pair)
@@ -429,7 +434,7 @@ def _follows(text: str, span: tuple[int, int], pair: tuple[str, str], odd: bool)
     latin = not any(_cyrillic(c) or "Ͱ" <= c < "Ѐ" for c in run)
     if len(run) == 1:
         return again in SINGLE and (latin or run not in SINGLE) or not again.isalpha() and latin
-    return latin and again[1:].islower() or odd or again.islower() and run.isupper()
+    return latin and again[1:].islower() or _odd(run) or again.islower() and run.isupper()
 
 
 def _reread(seg: str, true: str, enc: str) -> str:
@@ -469,6 +474,16 @@ def _western(text: str) -> tuple[str, int, str]:
     return "".join([*out, text[at:]]), n, f"{pair[0]} read as {pair[1]}"
 
 
+BESIDE_PLAIN = re.compile(r"(?<=[A-Za-z])[^\x00-\x7f]|[^\x00-\x7f](?=[A-Za-z])")
+
+
+def _triple(text: str, at: int) -> str:
+    """A letter between its neighbours; what no word holds is a space."""
+    x = text[at - 1] if at else " "
+    y = text[at + 1] if at + 1 < len(text) else " "
+    return f"{' ' if x in WHITE else x}{text[at]}{' ' if y in WHITE else y}"
+
+
 def _western_words(text: str) -> tuple[str, int, str]:
     """Undo western letters read with another single-byte encoding by the frequent triples of the text's language: (text, spans, pair).
 
@@ -476,9 +491,10 @@ def _western_words(text: str) -> tuple[str, int, str]:
     no western language, as its function words tell, needs two of them. A sign beside a word is no vote.
     """
     auto = automaton()
-    spots = [(m.start(), f"{text[m.start() - 1] if m.start() and text[m.start() - 1] not in WHITE else ' '}{m[0]}{text[m.end()] if m.end() < len(text) and text[m.end()] not in WHITE else ' '}") for m in NONASCII.finditer(text)]
-    if not any(t in auto.garbled_triples for _, t in spots):
+    # Every garbled triple holds a plain letter.
+    if not any(_triple(text, m.start()) in auto.garbled_triples for m in BESIDE_PLAIN.finditer(text)):
         return text, 0, ""
+    spots = [(m.start(), _triple(text, m.start())) for m in NONASCII.finditer(text)]
     sentences = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
     ends = [b for _, b in sentences]
     order = {p: -n for n, p in enumerate((t, e) for t in [*WESTERN, *CENTRAL] for e in dict.fromkeys([*WESTERN_READERS, *READ_AS]))}
