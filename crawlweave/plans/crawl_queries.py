@@ -254,11 +254,12 @@ def _ok(c):
     return f"CASE WHEN NOT isnan({c}) THEN {c} END"
 
 
-@query("SELECT page_id, hash, form['login'] AS login FROM forms WHERE form IS NOT NULL")
+@query(f"SELECT page_id, hash, {_ok("form['login']")} AS login FROM forms WHERE form IS NOT NULL")
 def forms_flatten(spark, d):
     """Nested forms of pages, a row per form."""
     pages = table(spark, d, "forms").where("form is not null").select("page_id", F.array(F.struct("form", "hash")).alias("forms"))
-    return E.flatten_forms(pages).select("page_id", "hash", F.try_element_at("form", F.lit("login")).alias("login"))
+    login = F.try_element_at("form", F.lit("login"))
+    return E.flatten_forms(pages).select("page_id", "hash", F.when(~F.isnan(login), login).alias("login"))
 
 
 @query(f"SELECT form_id, {', '.join(COLS)} FROM {FORMS}")
