@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,10 +31,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def _word_gram(words: Column, k: int):
-    return lambda i: F.array_join(F.slice(words, i, k), " ")
-
-
 def _char_gram(text: Column, k: int):
     return lambda i: F.substr(text, i, F.lit(k))
 
@@ -42,11 +41,13 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    parts = []
-    for k in range(1, n + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-        parts.append(F.when(F.size(words) >= k, F.transform(starts, _word_gram(words, k))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*parts))
+    """Longer grams grow from shorter ones: a gram and the word after it, pair by pair."""
+    grams, parts = words, [words]
+    for k in range(2, n + 1):
+        left = F.greatest(F.size(words) - (k - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), left), F.slice(words, F.lit(k), left), lambda g, w: F.concat(g, F.lit(" "), w))
+        parts.append(grams)
+    return F.coalesce(F.concat(*parts), F.array().cast("array<string>"))
 
 
 def char_ngrams(text: Column, lo: int, hi: int) -> Column:
@@ -81,26 +82,35 @@ def log_scale(count: Column, n_terms: int) -> Column:
 def relevancy(text: Column, positive: list[str], negative: list[str], negative_weight: float = 0.33) -> Column:
     """max(0, scaled positive hits - 0.33 x scaled negative hits); 0 for null text.
 
-    Terms are looked up among the 1..n-grams of the text; n comes from the longest term of either list. A term listed
-    twice counts twice.
+    A term hits where its words (those that single spaces part) stand in a row in the text: looked up as text among the joined
+    words, so no list of n-grams is built. A term listed twice counts twice.
     """
-    n = max_ngram([*positive, *negative])
 
-    def score(grams: Column) -> Column:
-        hits = lambda terms: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(grams, t))) if terms else F.lit(0)
+    def score(line: Column) -> Column:
+        def hits(terms: list[str]) -> Column:
+            out = F.lit(0)
+            for t in terms:
+                out = out + F.contains(line, F.lit(f" {t} ")).cast("int")
+            return out
+
         return F.greatest(F.lit(0.0), log_scale(hits(positive), len(positive)) - F.lit(negative_weight) * log_scale(hits(negative), len(negative)))
 
-    return F.when(text.isNull(), F.lit(0.0)).otherwise(let(ngrams(tokens(F.lower(text)), n), score))
+    words = F.concat(F.lit(" "), F.array_join(tokens(F.lower(text)), " "), F.lit(" "))
+    return F.when(text.isNull(), F.lit(0.0)).otherwise(let(words, score))
+
+
+def unescape(text: Column) -> Column:
+    """All entities of HTML decoded, in Arrow batches."""
 
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
-# Named entities that are decoded.
-ENTITIES = [("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&raquo;", "»"), ("&laquo;", "«"), ("&amp;", "&")]
+    return run(text)
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of a page, lower-cased: no scripts, styles, comments or tags; common entities decoded; white space collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
+def html_text(page: Column) -> Column:
+    """Visible text of a page, lower-cased: no scripts, styles, comments or tags; entities decoded; white space collapsed."""
+    out = F.regexp_replace(page, r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return squash(out)
+    return F.trim(F.regexp_replace(F.lower(unescape(out)), r"[\s\u00A0]+", " "))

@@ -1,7 +1,6 @@
 """The crawl log: running totals over an event log ordered by step.
 
-A running window over the whole log would be one task. Here rows are cut into chunks of steps: windows run inside a
-chunk, and each chunk starts from the sum of those before it (one row a chunk).
+A running window over the whole log would be one task; `common.running_sums` cuts the log into range parts.
 """
 
 from __future__ import annotations
@@ -9,23 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 100_000
-
-
-def running_sums(log: DataFrame, t: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """`log` with running sums in the order of t (one row a step)."""
-    rows = log.select("*", *[c.alias(f"__{k}") for k, c in sums.items()], F.floor(F.col(t) / chunk).alias("__chunk"))
-    totals = rows.groupBy("__chunk").agg(*[F.sum(f"__{k}").alias(f"__{k}_sum") for k in sums])
-    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
-    starts = totals.select("__chunk", *[F.coalesce(F.sum(f"__{k}_sum").over(before), F.lit(0)).alias(f"__{k}_start") for k in sums])
-    inside = Window.partitionBy("__chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(starts, "__chunk")
-    return out.select(*log.columns, *[(F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) + F.col(f"__{k}_start")).alias(k) for k in sums])
-
+from crawlweave.functions.common import running_sums
 
 def returns(log: DataFrame, t: str, reward: str) -> DataFrame:
     """`log` with `return` (sum of rewards so far) and `average` (per step; steps without reward count)."""
-    out = running_sums(log, t, {"return": F.coalesce(F.col(reward), F.lit(0.0)), "steps": F.lit(1)})
+    out = running_sums(log, [F.asc(t)], {"return": F.coalesce(F.col(reward), F.lit(0.0)), "steps": F.lit(1)})
     return out.withColumn("average", F.try_divide("return", "steps"))
 
 
@@ -34,7 +21,7 @@ def rolling_mean(log: DataFrame, t: str, reward: str, n: int = 100) -> DataFrame
 
     Running sums at positions p and p - n, met by an equi-join: no window reaches over chunks.
     """
-    got = running_sums(log.where(F.col(reward).isNotNull()).select(t, reward), t, {"s": F.col(reward), "position": F.lit(1)})
+    got = running_sums(log.where(F.col(reward).isNotNull()).select(t, reward), [F.asc(t)], {"s": F.col(reward), "position": F.lit(1)})
     past = got.select((F.col("position") + n).alias("position"), F.col("s").alias("past"))
     out = got.join(past, "position", "left")
     return out.select(t, "position", ((F.col("s") - F.coalesce("past", F.lit(0.0))) / F.least(F.col("position"), F.lit(n))).alias("run_average"))
@@ -48,7 +35,7 @@ def distinct_so_far(log: DataFrame, t: str, keys: dict[str, Column]) -> DataFram
         first = log.select(t, key.alias("k")).where("k is not null").groupBy("k").agg(F.min(t).alias(t)).groupBy(t).agg(F.count("*").alias(name))
         parts = first if parts is None else parts.join(first, t, "full")
     marked = out.join(parts, t, "left").select(t, *[F.coalesce(n, F.lit(0)).alias(f"__new_{n}") for n in keys])
-    return running_sums(marked, t, {n: F.col(f"__new_{n}") for n in keys}).select(t, *keys)
+    return running_sums(marked, [F.asc(t)], {n: F.col(f"__new_{n}") for n in keys}).select(t, *keys)
 
 
 def close_times(log: DataFrame, domain: str, t: str, reward: str, threshold: float, max_requests: int | None, max_relevant: int | None) -> DataFrame:

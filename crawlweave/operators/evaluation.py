@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlweave.functions.rand import uniform
+
 
 def spread_forms(forms: DataFrame, names: dict[str, str], form: str = "form", default: float = 0.0) -> DataFrame:
     """Form maps as columns: {type in the map: column name}. Types a map lacks get the default; null maps, null for all."""
@@ -101,3 +103,9 @@ def side_by_side(logs: DataFrame, step: str, run: str, value: str, runs: list[st
 def fold(key: Column, k: int) -> Column:
     """Fold of a group, the same for all its rows."""
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
+
+
+def split(df: DataFrame, key: Column, share: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test): `share` of the keys go to the test part, by a seeded hash, the same in every run."""
+    held = uniform(seed, key) < share
+    return df.where(~held | key.isNull()), df.where(held)

@@ -5,8 +5,11 @@ Names instead of hash buckets: no collisions, and a weight can be read back. Blo
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,16 @@ from crawlweave.functions import urls
 
 def char_features(links: DataFrame, row_id: str, text: Column, block: str, lo: int, hi: int) -> DataFrame:
     """(row_id, feature, value): distinct character n-grams, each 1/sqrt(n), so that every row has length 1."""
-    grams = links.select(F.col(row_id), T.char_ngrams(F.coalesce(text, F.lit("")), lo, hi).alias("g")).withColumn("value", 1 / F.sqrt(F.size("g").cast("double")))
-    return grams.select(row_id, F.explode("g").alias("gram"), "value").select(row_id, F.concat(F.lit(f"{block}:"), F.col("gram")).alias("feature"), "value")
+    src = links.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [list({t[i : i + k]: 0 for k in range(lo, hi + 1) for i in range(len(t) - k + 1)}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([1 / math.sqrt(len(g)) if g else 0.0 for g in grams]), pa.array(grams, pa.list_(pa.string()))], ["row_id", "value", "grams"])
+
+    kind = src.schema["row_id"].dataType.simpleString()
+    got = src.mapInArrow(run, f"row_id {kind}, value double, grams array<string>")
+    return got.select(F.col("row_id").alias(row_id), F.explode("grams").alias("gram"), "value").select(row_id, F.concat(F.lit(f"{block}:"), F.col("gram")).alias("feature"), "value")
 
 
 def link_text_features(links: DataFrame, row_id: str) -> DataFrame:

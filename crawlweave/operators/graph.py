@@ -55,13 +55,31 @@ def choices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node_id"), F.col("link.url").alias("url")).where("url is not null").distinct()
 
 
-def examples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def examples(nodes: DataFrame, edges: DataFrame, graph: str | None = None) -> DataFrame:
     """(node_id, via, reward, choices): an example per in-edge of a visited, good node, with how many addresses it
-    offers; the addresses themselves are in `choices`."""
-    good = nodes.where("visited and ok").select("node_id", "reward")
-    into = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("via"))
-    offers = choices(edges).groupBy("node_id").agg(F.count("*").alias("choices"))
-    return good.join(into, "node_id").join(offers, "node_id", "left").select("node_id", "via", "reward", F.coalesce("choices", F.lit(0)).alias("choices"))
+    offers; the addresses themselves are in `choices`, or in `with_offers`. `graph`: a column that tells several graphs apart."""
+    keys = [graph] if graph else []
+    good = nodes.where("visited and ok").select(*keys, "node_id", "reward")
+    into = edges.select(*keys, F.col("dst").alias("node_id"), F.col("src").alias("via"))
+    offers = edges.where("link.url is not null").select(*keys, F.col("src").alias("node_id"), F.col("link.url").alias("url")).distinct().groupBy(*keys, "node_id").agg(F.count("*").alias("choices"))
+    return good.join(into, [*keys, "node_id"]).join(offers, [*keys, "node_id"], "left").select(*keys, "node_id", "via", "reward", F.coalesce("choices", F.lit(0)).alias("choices"))
+
+
+def with_offers(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """`examples` with `offers`, the sorted array of the addresses that the node's page links to: one value holds the links of
+    one page."""
+    offers = choices(edges).groupBy("node_id").agg(F.sort_array(F.collect_list("url")).alias("offers"))
+    return found.join(offers, "node_id", "left").withColumn("offers", F.coalesce("offers", F.array().cast("array<string>")))
+
+
+def merged(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of several graphs with a `graph` column, so that equal ids don't meet; for `examples(..., graph="graph")`."""
+    nodes = edges = None
+    for name, (n, e) in graphs.items():
+        n, e = n.withColumn("graph", F.lit(name)), e.withColumn("graph", F.lit(name))
+        nodes = n if nodes is None else nodes.unionByName(n)
+        edges = e if edges is None else edges.unionByName(e)
+    return nodes, edges
 
 
 def positive_domains(nodes: DataFrame, domain, cut: float = 0.5) -> DataFrame:

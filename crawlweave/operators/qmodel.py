@@ -11,14 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlweave.functions.common import small
+from crawlweave.functions.common import salted_join, small
 from crawlweave.functions.numeric import UNFIT_SCORE
 from crawlweave.functions.rand import order_key, uniform
 
 
 def linear_terms(features: DataFrame, weights: DataFrame, row_id: str) -> DataFrame:
     """(row_id, term): sum of weight times value; features without weight count 0, rows without any weight are absent."""
-    return features.join(small(weights.select("feature", "w")), "feature").groupBy(row_id).agg(F.sum(F.col("w") * F.col("value")).alias("term"))
+    met = salted_join(features, weights.select("feature", "w"), ["feature"], F.xxhash64(F.col(row_id)), "inner")  # a feature of all rows is a hot key
+    return met.groupBy(row_id).agg(F.sum(F.col("w") * F.col("value")).alias("term"))
 
 
 def predict(rows: DataFrame, row_id: str, features: DataFrame, weights: DataFrame, intercept: float | None, page_id: str | None = None, page_features: DataFrame | None = None) -> DataFrame:
@@ -77,11 +78,18 @@ def sync_steps(t: Column, every: int = 100) -> Column:
     return F.floor(t / every).cast("long")
 
 
+#: Most examples of one ordered pass.
+SGD_ROWS = 100_000
+
+
 def sgd(examples: DataFrame, order: str, eta: float = 0.1, alpha: float = 1e-6, l1: bool = False) -> DataFrame:
     """(feature, w): one ordered pass of squared-loss steps with a constant rate over (order, y, features map).
 
-    The steps depend on each other, so this is one group by nature; its size is the replay sample, which is bounded.
+    The steps depend on each other, so this is one group by nature; its size is the replay sample. More than 100,000
+    examples are refused: `gradient_step` takes any number.
     """
+    if examples.limit(SGD_ROWS + 1).count() > SGD_ROWS:
+        raise ValueError("too many examples for one ordered pass; draw a replay sample or use gradient_step")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         w: dict[str, float] = {}

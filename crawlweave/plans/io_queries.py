@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from crawlweave.functions import numeric as N
+from crawlweave.functions import text as T
 from crawlweave.functions import urls as U
 from crawlweave.functions.common import scratch_path, table
+from crawlweave.operators import evaluation as E
+from crawlweave.operators import extraction as EX
 from crawlweave.operators import features as X
 from crawlweave.operators import frontier as FR
+from crawlweave.operators import graph as GR
 from crawlweave.operators import hashing as H
 from crawlweave.plans import spiders as P
 from crawlweave.plans.catalogue import canonical, query, registered, site
@@ -246,7 +252,58 @@ def content_words(spark, d):
     """Words without a few stop words, all of which are in the list of all languages."""
     few = ["the", "of", "and", "a", "der", "die", "und", "le", "la", "et", "el", "y", "и", "в"]
     assert set(few) <= set(X.stop_words())
-    from crawlweave.functions import text as T
-
     words = T.tokens(F.lower("text"))
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(words, lambda w: ~w.isin(few))).cast("long").alias("words"))
+
+
+@query("SELECT n.node_id, e.src AS via, n.reward, coalesce(c.u, []) AS offers FROM nodes n JOIN edges e ON e.dst = n.node_id LEFT JOIN (SELECT src, list_sort(list_distinct(list(link.url) FILTER (link.url IS NOT NULL))) AS u FROM edges GROUP BY 1) c ON c.src = n.node_id WHERE n.visited AND n.ok")
+def graph_offers(spark, d):
+    """Training examples from the graph with the addresses each node offers."""
+    edges = table(spark, d, "edges")
+    return GR.with_offers(GR.examples(table(spark, d, "nodes"), edges), edges).select("node_id", "via", "reward", "offers")
+
+
+@query("SELECT g.graph, n.node_id, e.src AS via, coalesce(c.k, 0)::BIGINT AS choices FROM (VALUES ('a', 0), ('b', 1)) g(graph, odd), nodes n, edges e LEFT JOIN (SELECT graph, src, count(DISTINCT link.url) AS k FROM edges, (VALUES ('a', 0), ('b', 1)) h(graph, odd) WHERE src % 2 = odd GROUP BY 1, 2) c ON c.src = e.dst AND c.graph = CASE WHEN e.src % 2 = 0 THEN 'a' ELSE 'b' END WHERE e.dst = n.node_id AND e.src % 2 = g.odd AND n.visited AND n.ok")
+def graphs_examples(spark, d):
+    """Examples of two graphs together: the links of even and of odd nodes."""
+    nodes, edges = table(spark, d, "nodes"), table(spark, d, "edges")
+    n, e = GR.merged({"a": (nodes, edges.where("src % 2 = 0")), "b": (nodes, edges.where("src % 2 = 1"))})
+    return GR.examples(n, e, "graph").select("graph", "node_id", "via", "choices")
+
+
+@query("SELECT form_id, ('0x' || substr(md5('split:' || page_id), 1, 13))::BIGINT / 4503599627370496.0 < 0.2 AS test FROM forms")
+def train_test_split(spark, d):
+    """Forms of a fifth of the pages are held out."""
+    train, test = E.split(table(spark, d, "forms"), F.col("page_id"), 0.2, "split")
+    return train.select("form_id", F.lit(False).alias("test")).unionByName(test.select("form_id", F.lit(True).alias("test")))
+
+
+def _titles(html: str, url: str):
+    """The headings of a page as items; every seventh page breaks the extractor."""
+    if url and len(url) % 7 == 0:
+        raise ValueError(url)
+    for m in re.finditer(r"(?is)<title>([^<]*)</title>", html):
+        yield {"title": m[1], "other": 1}
+
+
+@query("WITH t AS (SELECT item_id AS page_id, unnest(regexp_extract_all(raw_content, '(?is)<title>([^<]*)</title>', 1)) AS title FROM cdr_items WHERE raw_content IS NOT NULL AND (url IS NULL OR length(url) % 7 <> 0)) SELECT page_id, title FROM t WHERE title <> ''")
+def extracted_items(spark, d):
+    """A Python extractor over all pages, with a callback that drops empty items."""
+    pages = table(spark, d, "cdr_items").select(F.col("item_id").alias("page_id"), "url", F.col("raw_content").alias("html"))
+    return EX.items(pages, _titles, "title string", on_item=lambda df: df.where("title <> ''")).select("page_id", "title")
+
+
+_ENT = [("&copy;", "©"), ("&raquo;", "»"), ("&laquo;", "«"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def _page_text(x: str) -> str:
+    out = f"regexp_replace(regexp_replace({x}, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for a, b in _ENT:
+        out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace(lower({out}), '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT item_id, {_page_text('raw_content')} AS text FROM cdr_items WHERE raw_content IS NOT NULL")
+def page_texts(spark, d):
+    """Visible text of every page for text features."""
+    return table(spark, d, "cdr_items").where("raw_content is not null").select("item_id", T.html_text(F.col("raw_content")).alias("text"))

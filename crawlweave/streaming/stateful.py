@@ -6,6 +6,8 @@ says otherwise. State stores need RocksDB for `transformWithStateInPandas` (`use
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,23 +70,33 @@ class SlotQueue(StatefulProcessor):
         self.shut = handle.getValueState("shut", "closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Operations of a batch in the order of `op_no` where it is given. The queue is read once a batch, when something leaves it."""
+        pdf = pd.concat(list(rows))
+        if "op_no" in pdf:
+            pdf = pdf.sort_values("op_no", kind="stable")
         out: list[tuple] = []
-        for pdf in rows:
-            for op, seq, url, priority in zip(pdf["op"], pdf["seq"], pdf["url"], pdf["priority"]):
-                if op == "close":
-                    out += [(key[0], int(k[0]), v[0], int(v[1]), "dropped") for k, v in self.entries.iterator()]
-                    self.entries.clear()
-                    self.shut.update((True,))
-                elif op == "push":
-                    if self.shut.exists():
-                        out.append((key[0], int(seq), url, int(priority), "rejected"))
-                    else:
-                        self.entries.updateValue((int(seq),), (url, int(priority)))
-                elif op == "pop":
-                    best = sorted(((-v[1], k[0], v[0]) for k, v in self.entries.iterator()))[: int(priority)]
-                    for p, s, u in best:
-                        self.entries.removeKey((s,))
-                        out.append((key[0], int(s), u, int(-p), "popped"))
+        heap: list[tuple] | None = None
+        for op, seq, url, priority in zip(pdf["op"], pdf["seq"], pdf["url"], pdf["priority"]):
+            if op != "push" and heap is None:
+                heap = [(-v[1], k[0], v[0]) for k, v in self.entries.iterator()]
+                heapq.heapify(heap)
+            if op == "close":
+                out += [(key[0], int(s), u, int(-p), "dropped") for p, s, u in sorted(heap)]
+                heap = []
+                self.entries.clear()
+                self.shut.update((True,))
+            elif op == "push":
+                if self.shut.exists():
+                    out.append((key[0], int(seq), url, int(priority), "rejected"))
+                else:
+                    self.entries.updateValue((int(seq),), (url, int(priority)))
+                    if heap is not None:
+                        heapq.heappush(heap, (-int(priority), int(seq), url))
+            elif op == "pop":
+                for _ in range(min(int(priority), len(heap))):
+                    p, s, u = heapq.heappop(heap)
+                    self.entries.removeKey((s,))
+                    out.append((key[0], int(s), u, int(-p), "popped"))
         yield pd.DataFrame(out, columns=["slot", "seq", "url", "priority", "state"])
 
     def close(self) -> None:
@@ -144,26 +156,48 @@ def windowed_counts(events: DataFrame, ts: str, late: str, size: str, *keys: str
     return events.withColumn(ts, at).withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"))
 
 
+def _counters_path(spark: SparkSession, checkpoint: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-counters")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _load_counters(spark: SparkSession, checkpoint: str) -> dict:
+    path, fs = _counters_path(spark, checkpoint)
+    if not fs.exists(path):
+        return {}
+    rows = [json.loads(r[0]) for r in spark.read.text(path.toString()).collect()]  # a few bytes a batch, the last two kept
+    return max(rows, key=lambda r: r["epoch"], default={})
+
+
+def _save_counters(spark: SparkSession, checkpoint: str, state: dict) -> None:
+    path, fs = _counters_path(spark, checkpoint)
+    spark.createDataFrame([(json.dumps(state),)], "c string").coalesce(1).write.mode("overwrite").text(f"{path.toString()}/epoch={state['epoch']}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}/epoch={state['epoch'] - 2}")
+    fs.delete(old, True)
+
+
 def learn(batches: DataFrame, fit: Callable[[DataFrame, int], None], checkpoint: str, switch: Callable[[int], None] | None = None, steps_before_switch: int = 100, entries: Callable[[], int] | None = None):
     """Start the learning loop: `fit` gets every micro-batch; `switch` runs when the target model is to be replaced.
 
+    The counters lie beside the checkpoint, so a restarted loop goes on counting.
     With `entries` (queue size) the switch is put off until the interval that keeps re-scoring within its share of time.
     """
-    state = {"t": 0, "wait": 0}
+    spark = batches.sparkSession
+    state = {"t": 0, "wait": 0, "epoch": -1} | _load_counters(spark, checkpoint)
 
     def step(df: DataFrame, epoch: int) -> None:
         n = df.count()
-        if not n:
+        if not n or epoch <= state["epoch"]:  # a batch that is repeated after a failure counts once
             return
         before = state["t"] // steps_before_switch
-        state["t"] += n
-        state["wait"] -= n
+        state.update(t=state["t"] + n, wait=state["wait"] - n, epoch=epoch)
         fit(df, epoch)
         if switch and state["t"] // steps_before_switch > before and state["wait"] <= 0:
             switch(state["t"])
             if entries:
                 size = df.sparkSession.range(1).select(reschedule_interval(F.lit(entries())).alias("i")).first()[0]
                 state["wait"] = int(size)
+        _save_counters(spark, checkpoint, state)
 
     return batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,6 +9,8 @@ from crawlweave.functions import text as T
 from crawlweave.functions import urls as U
 from crawlweave.functions.html import anchors
 
+U.add_suffixes("co.example")  # the invented network of the tests
+
 
 def one(spark, expr, **cols):
     schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'bigint' if isinstance(v, int) else 'string'}" for k, v in cols.items()) or "x int"
@@ -112,3 +114,32 @@ def test_anchors():
     page = "<A HREF='/a' title=\"x>y\">one <b>two</b><a href=/b><img alt='pic'> t</a><a>no</a><script><a href='/no'></script><a href='/c'>unclosed"
     assert anchors(page) == [(0, "/a", [("title", "x>y")], "one two"), (1, "/b", [], "t pic"), (2, "/c", [], "unclosed")]
     assert anchors("") == []
+
+
+def test_relative_addresses_as_the_standard_library_resolves_them(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.test/a/b.html", "http://a.test", "http://a.test/a/b/?q=/x/y", "http://a.test/a/"]
+    hrefs = ["./y", "../x", "../../../x", "y?z=../..", "/p/./q/../r", "//o.test/x", "#f", "?k", "", "http://x.test/", "a/../b/.", "..", "."]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    got = df.select("b", "h", U.resolve(F.col("b"), F.col("h")).alias("r")).collect()
+    assert [(r.b, r.h, r.r) for r in got] == [(b, h, urljoin(b, h)) for b in bases for h in hrefs]
+
+
+def test_canonical_escapes_and_ports(spark):
+    want = {
+        "HTTP://A.test:80/%7euser/%c3%a9?b=%41&a=1#f": "http://a.test/~user/%C3%A9?a=1&b=A",
+        "https://a.test:443": "https://a.test/",
+        "https://a.test:80/x": "https://a.test:80/x",
+        "http://a.test:8080/": "http://a.test:8080/",
+        "http://a.test/a b?%zz=%2f&&": "http://a.test/a%20b?%zz=%2F",
+        "http://b.test/100%": "http://b.test/100%",
+    }
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.c for r in df.select("u", U.canonical(F.col("u")).alias("c")).collect()} == want
+
+
+def test_registry_suffixes(spark):
+    want = {"http://x.foo.co.id/": "foo.co.id", "http://foo.com.br": "foo.com.br", "http://co.uk": "", "http://a.b.example.com": "example.com", "http://a.co.de": "co.de", "http://10.0.0.1/": ""}
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.d for r in df.select("u", U.registered_domain(F.col("u")).alias("d")).collect()} == want

@@ -125,7 +125,7 @@ def test_running_windows_match_plain_ones(spark):
     want = log.where("reward is not null").select("t", F.avg("reward").over(w.rowsBetween(-99, 0)).alias("m")).toPandas().set_index("t").m
     got = C.rolling_mean(log, "t", "reward", 100).toPandas().set_index("t").run_average.sort_index()
     assert ((want - got).abs() < 1e-9).all() and len(want) == len(got)
-    total = C.running_sums(log, "t", {"s": F.coalesce("reward", F.lit(0.0))}, chunk=64).agg(F.max("s")).first()[0]
+    total = C.running_sums(log, [F.asc("t")], {"s": F.coalesce("reward", F.lit(0.0))}).agg(F.max("s")).first()[0]
     assert total == log.agg(F.sum("reward")).first()[0]
 
 
