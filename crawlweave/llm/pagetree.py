@@ -283,7 +283,7 @@ def layout(page: Page, keep: set[int] | None = None) -> list[Block]:
         kind = tags[block] if block else "p"
         key = (block, cell, row if kind in CONTAINER and kind != "td" else -1, 0 if pre else breaks)
         if key != prev:
-            data = cell and not holds[page.end[table] + 1] - holds[table + 1]
+            data = cell and (not table or holds[page.end[table] + 1] == holds[table + 1])
             out.append(Block(block, "cell" if data else kind, cell, table, pre))
             prev = key
         b = out[-1]
