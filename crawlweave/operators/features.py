@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from crawlweave.functions import text as T
 from crawlweave.functions import urls
+from crawlweave.operators import topicmodel
 
 
 def char_features(links: DataFrame, row_id: str, text: Column, block: str, lo: int, hi: int) -> DataFrame:
@@ -92,9 +93,10 @@ def topics(docs: DataFrame, text: str, n_topics: int = 50, vocabulary: int = 100
     """Topic model of texts: stop words out, counts, online LDA, topic shares that sum to 1. Returns the fitted pipeline.
 
     Every iteration draws as many documents as there are, with replacement: a document is in none of n with probability
-    exp(-n). Learning offset 10 and decay 0.7 let so few and large steps move the model.
+    exp(-n). Learning offset 10 and decay 0.7 let so few and large steps move the model. The fit is `topicmodel.fit`;
+    `topic_shares` applies the model in the same way.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 
@@ -102,10 +104,23 @@ def topics(docs: DataFrame, text: str, n_topics: int = 50, vocabulary: int = 100
         RegexTokenizer(inputCol=text, outputCol="words", pattern=T.TOKEN, gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="words", outputCol="content", stopWords=stop_words()),
         CountVectorizer(inputCol="content", outputCol="counts", vocabSize=vocabulary, minDF=min_df),
-        LDA(featuresCol="counts", topicDistributionCol="raw_topics", k=n_topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7, seed=seed),
-        Normalizer(inputCol="raw_topics", outputCol="topics", p=1.0),
     ]
-    return Pipeline(stages=stages).fit(docs.where(F.col(text).isNotNull()))
+    lda = LDA(featuresCol="counts", topicDistributionCol="raw_topics", k=n_topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7, seed=seed)
+    texts = docs.where(F.col(text).isNotNull())
+    counter = Pipeline(stages=stages).fit(texts)
+    keep = [c for c, kind in docs.dtypes if c != text and kind != "void"]
+    fitted = topicmodel.fit(counter.transform(texts).select(*[f"`{c}`" for c in keep], "counts"), lda, len(counter.stages[2].vocabulary))
+    return PipelineModel([*counter.stages, fitted, Normalizer(inputCol="raw_topics", outputCol="topics", p=1.0)])
+
+
+def topic_shares(model, docs: DataFrame | None = None, text: str = "text", name: str = "topics") -> DataFrame:
+    """Documents with the topic shares of a `topics` pipeline, an array, in place of the text; without `docs` those it was fitted on, whose words are counted already."""
+    from pyspark.ml import PipelineModel
+
+    if docs is None:
+        return topicmodel.shares(model.stages[3].counted, "counts", model.stages[3], name)
+    counted = PipelineModel(model.stages[:3]).transform(docs)
+    return topicmodel.shares(counted.select(*[c for c in docs.columns if c != text], "counts"), "counts", model.stages[3], name)
 
 
 def stop_words() -> list[str]:

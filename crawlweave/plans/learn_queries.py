@@ -218,13 +218,10 @@ def sgd_weights(spark, d):
 @query(None)
 def lda_topics(spark, d):
     """Topic shares of every document, summing to 1."""
-    from pyspark.ml.functions import vector_to_array
-
-    from crawlweave.operators.features import topics
+    from crawlweave.operators.features import topic_shares, topics
 
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    model = topics(docs, "text")
-    return model.transform(docs).select("doc_id", F.transform(vector_to_array("topics"), lambda x: F.round(x, 4)).alias("topics"))
+    return topic_shares(topics(docs, "text")).select("doc_id", F.transform("topics", lambda x: F.round(x, 4)).alias("topics"))
 
 
 @query(None)
