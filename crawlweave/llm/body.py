@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from crawlweave.functions.common import salted_join, site_key, written
 from crawlweave.llm import pagetree as P
-from crawlweave.llm.prose import tokens
+from crawlweave.llm import prose
 
 DATE = re.compile(r"\d{4}-\d\d?-\d\d?|\d\d?[./]\d\d?[./]\d{2,4}")
 # Class names by which templates mark bylines, share links, pointers to other pages, notices and side boxes.
@@ -53,7 +53,7 @@ class Split:
     end so, with the hash of its text and whether share links follow; block: signature of the body's block;
     how: `heading`, `site`, `alone` or ``; blocks: the page's layout."""
 
-    __slots__ = ("page", "blocks", "body", "closing", "closing_text", "shared", "block", "how", "_texts", "_words")
+    __slots__ = ("page", "blocks", "body", "closing", "closing_text", "shared", "block", "how", "_texts", "_parts")
 
     def __init__(self, page: P.Page) -> None:
         self.page, self.blocks = page, P.layout(page)
@@ -63,19 +63,25 @@ class Split:
         self.shared = False
         self.block = self.how = ""
         self._texts: dict[int, str] = {}
-        self._words: dict[int, list[str]] = {}
+        self._parts: dict[int, list[tuple[str, list[str]]]] = {}
 
     def text(self, row: int) -> str:
         """The text of a source line, counted from 0."""
-        if row not in self._texts:
-            self._texts[row] = P.line_text(self.page.lines[row])
-        return self._texts[row]
+        got = self._texts.get(row)
+        if got is None:
+            got = self._texts[row] = P.line_text(self.page.lines[row])
+        return got
+
+    def parts(self, row: int) -> list[tuple[str, list[str]]]:
+        """A source line cut at closing marks (`prose.parts`)."""
+        got = self._parts.get(row)
+        if got is None:
+            got = self._parts[row] = prose.parts(self.text(row).lower())
+        return got
 
     def words(self, row: int) -> list[str]:
         """The words of a source line."""
-        if row not in self._words:
-            self._words[row] = tokens(self.text(row))
-        return self._words[row]
+        return [w for _, ws in self.parts(row) for w in ws]
 
     @property
     def lines(self) -> list[str]:
@@ -98,8 +104,12 @@ def _heading_box(page: P.Page) -> tuple[int, int]:
     if not n:
         return 0, 0
     box = next((a for a in page.up(page.parent[n]) if page.tag[a] in P.CONTAINER), 0)
-    total = _text_sizes(page, 1)
-    held = lambda k: total[page.end[k] + 1] - total[k]
+    total: list[int] = []
+
+    def held(k: int) -> int:
+        total.extend(() if total else _text_sizes(page, 1))
+        return total[page.end[k] + 1] - total[k]
+
     while box and page.tag[box] in ("header", "div") and page.tag[page.parent[box]] in BOXES and held(box) - held(n) < 40:
         box = page.parent[box]
     return box, n
@@ -184,13 +194,14 @@ def _flags(page: P.Page, box: int) -> list[int]:
 
 def _label(out: Split, box: int, head: int) -> None:
     page = out.page
-    own = [b for b in out.blocks if page.inside(b.nodes[0], box)]
+    stop = page.end[box]
+    own = [b for b in out.blocks if box <= b.nodes[0] <= stop]
     anchors: dict[int, list[int]] = {}
     for n in range(box + 1, page.end[box] + 1):
         if page.tag[n] == "a":
             anchors.setdefault(page.line[n], []).append(n)
     flags = _flags(page, box)
-    at = [b.nodes[max(range(len(b.parts)), key=lambda k: len(b.parts[k]))] for b in own]  # the node of a block's longest piece
+    at = [b.nodes[0] if len(b.nodes) == 1 else b.nodes[(sizes := [len(p) for p in b.parts]).index(max(sizes))] for b in own]  # the node of a block's longest piece
     around = [flags[n - box] if n >= box else 0 for n in at]
     share = [bool(b.linked and f & ITEM and b.linked == b.size and (f & SHARE or _share_link(page, anchors.get(b.rows[0], ())))) for b, f in zip(own, around)]
     verdicts: list[bool] = []

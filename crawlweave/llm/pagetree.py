@@ -13,7 +13,7 @@ import html
 import re
 from bisect import bisect_right
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+TAG = re.compile(r"(<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 STRIP = re.compile(r"<[^>]*>")
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -112,40 +112,35 @@ def _out_of_sight(attrs: str) -> bool:
     return "style" in low and HIDDEN.search(low) is not None or "hidden" in low and HIDE.search(low) is not None
 
 
+class _Kinds(dict):
+    """Tag name as written -> (name, block, closes p, heading, void, raw text, unseen, implied ends); refilled when it has grown."""
+
+    def __missing__(self, written: str) -> tuple:
+        if len(self) > 5_000:
+            self.clear()
+        t = written.lower()
+        kind = self[written] = (t, t in BLOCK, t in CLOSES_P, t in HEADINGS, t in VOID, t in RAWTEXT, t in UNSEEN, IMPLIED.get(t))
+        return kind
+
+
+_kinds = _Kinds()
+
+
 def parse(raw: str) -> Page:
     """Build the page tree, in time linear in the text. Any string gives a tree; nothing raises."""
     page = Page()
     page.lines = raw.split("\n")
-    starts, at = [0], -1
-    while (at := raw.find("\n", at + 1)) >= 0:
-        starts.append(at + 1)
     tags, parent, attrs, lines, hidden, pieces = page.tag, page.parent, page.attrs, page.line, page.hidden, page.pieces
     stack = [0]
     open_at: dict[str, list[int]] = {}  # tag -> places on the stack where it is open
     blocks: list[int] = []  # places of open block tags
     ended: set[int] = set()  # links ended by another link while tags inside them are still open
-    links, skip, last = 0, None, 0
-
-    def text(begin: int, end: int) -> None:
-        chunk = raw[begin:end]
-        if not chunk.strip():
-            return
-        row = bisect_right(starts, begin) - 1
-        for part in chunk.split("\n"):
-            if part.strip():
-                pieces.append((stack[-1], row, part, links > 0))
-            row += 1
+    links, skip, row = 0, None, 0
+    unread: list[str] = []  # what stands inside a raw-text element
 
     def cut(k: int) -> None:
         """Close what is open from place k on."""
         nonlocal links
-        if k == len(stack) - 1 and not ended:  # the usual case: only the innermost tag
-            t = tags[stack.pop()]
-            open_at[t].pop()
-            if blocks and blocks[-1] == k:
-                blocks.pop()
-            links -= t == "a"
-            return
         while len(stack) > k or stack[-1] in ended:
             gone = stack.pop()
             if gone in ended:
@@ -166,30 +161,60 @@ def parse(raw: str) -> Page:
                 best = p[-1]
         return best
 
-    for m in TAG.finditer(raw):
-        name = m[2]
+    def text(chunk: str) -> None:
+        for k, part in enumerate(chunk.split("\n"), row):
+            if part and not part.isspace():
+                pieces.append((stack[-1], k, part, links > 0))
+
+    # Texts and tags in turn: a text, then what TAG's groups hold.
+    read = TAG.split(raw)
+    rest = read.pop()
+    read = iter(read)
+    for chunk, other, closing, name, given in zip(read, read, read, read, read):
         if skip:
-            if not (name and m[1] and name.lower() == skip):
+            if not (name and closing and name.lower() == skip):
+                unread += (chunk, other or f"<{closing}{name}{given}>")
                 continue
-            text(last, m.start())
+            if unread:
+                chunk = "".join(unread) + chunk
+                unread.clear()
             skip = None
-        elif m.start() > last:
-            text(last, m.start())
-        last = m.end()
+        if chunk:
+            if "\n" not in chunk:
+                if not chunk.isspace():
+                    pieces.append((stack[-1], row, chunk, links > 0))
+            else:
+                if not chunk.isspace():
+                    text(chunk)
+                row += chunk.count("\n")
+        at_row = row
         if not name:
+            row += other.count("\n")
             continue
-        name = name.lower()
-        if m[1]:
+        if "\n" in given:
+            row += given.count("\n")
+        name, block, closes, heading, void, raw_text, unseen, implied = _kinds[name]
+        if closing:
             at = open_at.get(name)
-            if at and (name not in CLOSE_STOP or lowest(CLOSE_STOP[name]) < at[-1]):
-                cut(at[-1])
+            if not at:
+                continue
+            k = at[-1]
+            if k == len(stack) - 1 and not ended:  # the usual case: the innermost tag
+                stack.pop()
+                at.pop()
+                if block:
+                    blocks.pop()
+                elif name == "a":
+                    links -= 1
+            elif name not in CLOSE_STOP or lowest(CLOSE_STOP[name]) < k:
+                cut(k)
             continue
-        if name in CLOSES_P and blocks:
+        if closes and blocks:
             t = tags[stack[blocks[-1]]]
-            if t == "p" or t in HEADINGS and name in HEADINGS:
+            if t == "p" or heading and t in HEADINGS:
                 cut(blocks[-1])
-        if name in IMPLIED:
-            ends, stop = IMPLIED[name]
+        if implied:
+            ends, stop = implied
             held = [p for t in ends if (p := open_at.get(t))]
             if held:
                 floor = lowest(stop)
@@ -201,30 +226,33 @@ def parse(raw: str) -> Page:
             links -= 1
             if stack[-1] in ended:
                 cut(len(stack))
-        row = bisect_right(starts, m.start()) - 1
+        top = stack[-1]
         if name == "br":
-            pieces.append((stack[-1], row, "\n", False))
+            pieces.append((top, at_row, "\n", False))
         tags.append(name)
-        parent.append(stack[-1])
-        given = m[3]
+        parent.append(top)
         attrs.append(given)
-        lines.append(row)
-        hidden.append(hidden[stack[-1]] or name in UNSEEN or bool(given) and _out_of_sight(given))
-        if name in VOID or given.endswith("/") and name in ("svg", "iframe"):
+        lines.append(at_row)
+        hidden.append(hidden[top] or unseen or bool(given) and _out_of_sight(given))
+        if void or given.endswith("/") and name in ("svg", "iframe"):
             continue
-        open_at.setdefault(name, []).append(len(stack))
-        if name in BLOCK:
+        if name in open_at:
+            open_at[name].append(len(stack))
+        else:
+            open_at[name] = [len(stack)]
+        if block:
             blocks.append(len(stack))
+        elif name == "a":
+            links += 1
         stack.append(len(tags) - 1)
-        links += name == "a"
-        if name in RAWTEXT:
+        if raw_text:
             skip = name
-    if last < len(raw):
-        text(last, len(raw))
-    page.end = list(range(len(tags)))
+    text("".join(unread) + rest)
+    page.end = end = list(range(len(tags)))
     for n in range(len(tags) - 1, 0, -1):
-        if page.end[n] > page.end[parent[n]]:
-            page.end[parent[n]] = page.end[n]
+        k = parent[n]
+        if end[n] > end[k]:
+            end[k] = end[n]
     return page
 
 

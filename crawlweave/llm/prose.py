@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\W_]+(?:[’'\-][^\W_]+)*")
 
@@ -29,19 +30,26 @@ def tokens(text: str) -> list[str]:
 def language(text: str) -> str:
     """The language whose function words are the most; `und` without any."""
     hits: dict[str, int] = {}
-    get = LANGS.get
-    for w in text.lower().split():
-        for lang in get(w, ()):
-            hits[lang] = hits.get(lang, 0) + 1
+    for w, n in Counter(filter(LANGS.__contains__, text.lower().split())).items():
+        for lang in LANGS[w]:
+            hits[lang] = hits.get(lang, 0) + n
     return max(hits.items(), key=lambda kv: (kv[1], kv[0]))[0] if hits else "und"
 
 
-def sentences(text: str, own: frozenset[str] = STOP) -> int:
-    """Full sentences: five words or more up to a closing mark, with function words or without the separators of a list."""
-    n = at = 0
-    for m in STOPS.finditer(text):
-        part, at = text[at : m.start()], m.end()
-        ws = tokens(part)
-        if len(ws) >= 5 and (sum(w in own for w in ws) * 8 >= len(ws) or len(LISTED.findall(part)) * 6 < len(ws)):
+def parts(low: str) -> list[tuple[str, list[str]]]:
+    """A lower-cased text cut at closing marks, with the words of each part; the last part is not closed. No word spans a mark."""
+    return [(part, WORD.findall(part)) for part in STOPS.split(low)]
+
+
+def full(cut: list[tuple[str, list[str]]], own: frozenset[str] = STOP) -> int:
+    """Full sentences among `parts`: five words or more up to a closing mark, with function words or without the separators of a list."""
+    n = 0
+    for part, ws in cut[:-1]:
+        if len(ws) >= 5 and (sum(map(own.__contains__, ws)) * 8 >= len(ws) or len(LISTED.findall(part)) * 6 < len(ws)):
             n += 1
     return n
+
+
+def sentences(text: str, own: frozenset[str] = STOP) -> int:
+    """Full sentences of a text."""
+    return full(parts(text.lower()), own)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions.common import salted_join, small, written
 from crawlweave.llm import pagetree as P
 from crawlweave.llm.body import map_pages
-from crawlweave.llm.prose import STOP, WORD, sentences, tokens
+from crawlweave.llm.prose import STOP, WORD, full, parts
 
 # Ways in which template languages write a place to be filled.
 PLACEHOLDER = re.compile(
@@ -56,9 +56,9 @@ STANDARD = re.compile(
     r"|^traceback\b|^fatal error|^warning: |\bsql error\b|stack trace|^\W*#\d+ \S+\(|unhandled exception",
     re.I,
 )
-# Every STANDARD wording holds one of these, or a status code, so that running text is passed over quickly.
-STANDARD_SIGNS = "not found,gefunden,introuvable,encontr,найден,denied,forbidden,verweigert,refusé,denegado,запрещ,negado,gateway,unavailable,intern,внутренняя,script,traceback,fatal,warning,sql,stack,unhandled".split(",")
-NUMBER_SIGN = re.compile(r"[45]\d\d|#\d")
+# Every STANDARD wording holds one of these, or begins with a number, so that running text is passed over quickly.
+STANDARD_SIGNS = "not found,gefunden,introuvable,encontr,найден,denied,forbidden,verweigert,refusé,denegado,запрещ,negado,gateway,unavailable,intern,внутренняя,script,traceback,fatal,warning,sql,stack,unhandled,erro,fehler,erreur,http,шибка".split(",")
+NUMBER_SIGN = re.compile(r"\W*(?:[45]\d\d|#\d)")
 # The words of the usual filler text.
 FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit".split())
 CUT = re.compile(r"(?<=[.!?…])\s+")
@@ -80,30 +80,34 @@ def _h(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def standard_sign(low: str) -> bool:
-    return any(w in low for w in STANDARD_SIGNS) or NUMBER_SIGN.search(low) is not None
+def standard_sign(low: str, signs: list[str] = STANDARD_SIGNS) -> bool:
+    return NUMBER_SIGN.match(low) is not None or any(w in low for w in signs)
 
 
 def _code(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
-_kinds: dict[str, int] = {}  # token -> 1: a word, 0: none, -1: left out; refilled when it has grown
+class _Kinds(dict):
+    """token -> 1: a word, 0: none, -1: left out; refilled when it has grown."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        kind = self[token] = -1 if VARYING.search(token) else int(WORD.search(token) is not None)
+        return kind
+
+
+_kinds = _Kinds()
 
 
 def masked(text: str) -> tuple[str, int]:
     """A sentence without what differs between two uses of one message (numbers, addresses, ids), and its number of words."""
-    kept, words = [], 0
-    for t in text.lower().split():
-        kind = _kinds.get(t)
-        if kind is None:
-            if len(_kinds) > 200_000:
-                _kinds.clear()
-            kind = _kinds[t] = -1 if VARYING.search(t) else int(WORD.search(t) is not None)
-        if kind >= 0:
-            kept.append(t)
-            words += kind
-    return " ".join(kept), words
+    toks = text.lower().split()
+    kinds = list(map(_kinds.__getitem__, toks))
+    if -1 in kinds:
+        toks = [t for t, kind in zip(toks, kinds) if kind >= 0]
+    return " ".join(toks), kinds.count(1)
 
 
 def unfilled(text: str) -> bool:
@@ -144,9 +148,15 @@ def page_row(item, site, url, split):
     for b in split.blocks:
         for node, row, piece in zip(b.nodes, b.rows, b.parts):
             if row in body:
-                where.setdefault(row, node)  # the first piece's place stands for the line
-                (code if pre[node] else lines).setdefault(row, []).append(piece)
+                if row not in where:
+                    where[row] = node  # the first piece's place stands for the line
+                side = code if pre[node] else lines
+                if row in side:
+                    side[row].append(piece)
+                else:
+                    side[row] = [piece]
     paths: dict[int, str] = {}
+    spots: dict[str, int] = {}
 
     def place(node: int) -> str:
         """Tags from the root; shared prefixes are built once."""
@@ -160,26 +170,34 @@ def page_row(item, site, url, split):
             got = paths[n] = f"{got if len(got) < 256 else _h(got)}/{page.tag[n]}"
         return got
 
-    texts = {row: (" ".join(" ".join(parts).split()) if row in code else split.text(row)) for row, parts in lines.items()}
+    texts = {row: (" ".join(" ".join(pieces).split()) if row in code else split.text(row)) for row, pieces in lines.items()}
     texts = {row: texts[row] for row in sorted(texts) if texts[row]}
-    bodies = list(texts.values())
-    cut = [tokens(text) if row in code else split.words(row) for row, text in texts.items()]
-    words = sum(map(len, cut))
-    sign = standard_sign("\n".join(bodies).lower())
+    pieces_of = [parts(text.lower()) if row in code else split.parts(row) for row, text in texts.items()]
+    words = sum(len(ws) for got in pieces_of for _, ws in got)
+    together = "\n".join(texts.values())
+    low = together.lower()
+    # What no line of the page holds isn't looked for line by line.
+    signs = [w for w in STANDARD_SIGNS if w in low]
+    marked, doubt = SIGN.search(together) is not None, any(w in low for w in UNSET_SIGNS) or any(w in together for w in EMPTY_SIGNS)
     units, whole = [], []
-    for text in bodies:
+    for text in texts.values():
         for part in CUT.split(text):
             bare, size = masked(part)
             whole.append(bare)
-            units.append((_h(bare), size, not bare or sign and standard_sign(part.lower()) and STANDARD.search(part) is not None))
+            told = standard_sign(part.lower(), signs) if signs else NUMBER_SIGN.match(part) is not None
+            units.append((_h(bare), size, not bare or told and STANDARD.search(part) is not None))
+    cut = [[w for _, ws in got for w in ws] for got in pieces_of] if any(w in low for w in FILLER) else []
     known = {w for ws in cut if not FILLER.isdisjoint(ws) for w in ws}
     filler = sum(len(ws) for ws in cut if ws and sum(w in known for w in ws) >= 0.4 * len(ws) and sum(w in STOP for w in ws) <= 0.1 * len(ws)) if known else 0
     opened, recs = False, []
     for row, text in texts.items():
-        if SIGN.search(text) and PLACEHOLDER.search(text) and unfilled(text):
+        sign = marked and SIGN.search(text) is not None
+        if sign and not opened and PLACEHOLDER.search(text) and unfilled(text):
             opened = True
         spot = f"{site}|{place(where[row])}"
-        recs.append((_h(spot), _h(f"{spot}|{TOKEN.search(text)[0]}"), text, candidates(text)))
+        if spot not in spots:
+            spots[spot] = _h(spot)
+        recs.append((spots[spot], _h(f"{spot}|{TOKEN.search(text)[0]}"), text, candidates(text) if sign or doubt or text[-1] == ":" else []))
     held = []
     if body:
         filled = sorted({node for node, _, piece, _ in page.pieces if piece != "\n"})
@@ -189,12 +207,12 @@ def page_row(item, site, url, split):
                 gap = k == len(filled) or filled[k] > page.end[n]
                 if not gap or page.end[n] == n:
                     held.append((_h(f"{site}|blank|{place(n)}"), gap))
-    full = 0
-    for x in bodies:
-        full += sentences(x)
-        if full >= ARTICLE:
+    seen = 0
+    for got in pieces_of:
+        seen += full(got)
+        if seen >= ARTICLE:
             break
-    article = full >= ARTICLE and not any(known and size for _, size, known in units)
+    article = seen >= ARTICLE and not any(known and size for _, size, known in units)
     return [(item, site, _h((url or "").split("#")[0].split("?")[0]), words, filler, article, opened, _h("\n".join(whole)), units, recs, held)]
 
 

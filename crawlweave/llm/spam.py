@@ -20,28 +20,22 @@ from crawlweave.llm.body import map_pages
 SCHEMA = residue.SCHEMA + ", lang string, sentences int, spectrum array<struct<freq:int,types:int>>, curve array<double>"
 #: Parts of the curve: function words, then the other words by rank 1, 2, 3-4, 5-8, ... , 65 and beyond.
 BINS = 9
+RANKS = [(0, 1), *((1 << k, 2 << k) for k in range(BINS - 3)), (1 << BINS - 3, None)]
 #: Full sentences from which a page counts as prose.
 PROSE = 3
 
 
 def page_row(item, site, url, split):
     rows = [n - 1 for n in sorted([*split.body, *split.closing])]
-    lines = [split.text(n) for n in rows]
     ws = [w for n in rows for w in split.words(n)]
     if not ws:
         return ()
-    lang = prose.language("\n".join(b.text for b in split.blocks))
+    lang = prose.language(" ".join([part for b in split.blocks for part in b.parts]))
     own = prose.SETS.get(lang, prose.STOP)
     counts = Counter(ws)
-    curve = [0.0] * BINS
-    rank = 0
-    for w, n in counts.most_common():
-        if w in own:
-            curve[0] += n
-        else:
-            rank += 1
-            curve[min(BINS - 1, 1 + (rank - 1).bit_length())] += n
-    full = sum(prose.sentences(x, own) for x in lines)
+    others = sorted([n for w, n in counts.items() if w not in own], reverse=True)
+    curve = [len(ws) - sum(others), *(sum(others[a:b]) for a, b in RANKS)]
+    full = sum(prose.full(split.parts(n), own) for n in rows)
     spectrum = sorted(Counter(counts.values()).items())
     rest = residue.page_row(item, site, url, split)[0]
     return [(*rest[:3], len(ws), *rest[4:], lang, full, spectrum, [c / len(ws) for c in curve])]

@@ -253,6 +253,29 @@ def test_prompts_are_told_by_many_sites(spark):
     assert B.body_lines(df.limit(2)).count() == 2 * 3  # two sites don't tell
 
 
+def test_a_body_line_is_cut_into_words_once(monkeypatch):
+    read = []
+
+    class Counted:
+        def findall(self, text, inner=prose.WORD):
+            read.append(text)
+            return inner.findall(text)
+
+    s = B.split_page(page(f"<p>{TEXT} {TEXT}</p>\n<p>{TEXT} Price 12.5.</p>\n<p>404 times HTTP was on the 500 pages.</p>"), None)
+    monkeypatch.setattr(prose, "WORD", Counted())
+    row = spam.page_row(1, "s", None, s)[0]
+    body = [s.text(n - 1) for n in sorted([*s.body, *s.closing])]
+    assert sum(map(len, read)) <= sum(map(len, body))
+    monkeypatch.undo()
+    assert row[3] == sum(len(prose.tokens(x)) for x in body) and row[12] == sum(prose.sentences(x, prose.SETS["en"]) for x in body) == 4
+
+
+def test_source_lines_beside_raw_text_and_wide_tags():
+    p = P.parse("a\n<script>\nif (a<b) {<p>\n</script>b\n<!--\n\n<p>--><div\nid='x'>c\n\n d<br></div\n>e\n<textarea>f<b>\ng</b></textarea>h<style>\nx")
+    assert [(row, text) for _, row, text, _ in p.pieces] == [(0, "a"), (2, "if (a<b) {<p>"), (3, "b"), (7, "c"), (9, " d"), (9, "\n"), (10, "e"), (11, "f<b>"), (12, "g</b>"), (12, "h"), (13, "x")]
+    assert [(t, n) for t, n in zip(p.tag, p.line)] == [("#root", 0), ("script", 1), ("div", 6), ("br", 9), ("textarea", 11), ("style", 12)]
+
+
 @pytest.mark.parametrize("raw", ["<div>" * 10_000 + "x", "<table>" + "<tr><td>a<td>12</tr>" * 2000 + "</table>", "<p><td>" + "<div>" * 9000 + "</p>" * 9000, "<b>" * 9000 + "<hr>" * 9000, "<a><b>" * 9000, "<div><h1>" * 5000])
 def test_page_work_is_linear(raw):
     import time
